@@ -19,7 +19,9 @@ from ._common import on_workers
 
 #: Hash buckets, labelled rows taken of each grade (those of the least hash of their id), one
 #: in how many documents of the sample must have a bucket, and steps of the fit.
-BUCKETS, SAMPLE, LEAST, STEPS = 1 << 18, 4000, 100, 220
+BUCKETS, SAMPLE, LEAST, STEPS = 1 << 18, 4000, 500, 400
+#: Standard errors by which a bucket's share must differ between grades.
+SCREEN = 4.0
 WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>{}[]=_~^\\@")] = True
@@ -43,19 +45,29 @@ def features(text: str | None) -> np.ndarray:
         f"\0bang{share((buf == 33).sum(), len(every))}",
         f"\0uniq{share(len(set(every)), len(every)) if len(every) > 50 else 'few'}",
         f"\0line{share(len(set(lines)), len(lines)) if len(lines) > 3 else 'few'}",
+        f"\0odd{share(sum(1 for x in every if x[-1:] in b'*%$&#|<>'), len(every))}",
         f"\0mean{min(30, len(low) // max(1, len(every)))}",
     ]
     seen = set(words)
     return np.unique(np.fromiter((zlib.crc32(x) % BUCKETS for x in [*seen, *(s.encode() for s in shape)]), np.int64))
 
 
-def fit(sets: list[np.ndarray], grade: np.ndarray, grades: int = 3, steps: int = STEPS, least: int = LEAST, l2: float = 1e-3) -> dict:
+def fit(sets: list[np.ndarray], grade: np.ndarray, grades: int = 3, steps: int = STEPS, least: int = LEAST, l2: float = 1e-3, screen: float = SCREEN) -> dict:
     """Weights of the buckets and ordered thresholds, by Adam on the mean log likelihood."""
     n = len(sets)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     col = np.concatenate(sets) if n else np.empty(0, np.int64)
     count = np.bincount(col, minlength=BUCKETS)
-    used = np.flatnonzero(count >= max(3, n // least))
+    # Screening: buckets whose share of documents differs between the grades below and above a threshold.
+    far = np.zeros(BUCKETS, bool)
+    for j in range(1, grades if n else 1):
+        up = grade >= j
+        a, b = int(up.sum()), int(n - up.sum())
+        if a and b:
+            one = np.bincount(col[up[row]], minlength=BUCKETS)
+            p = count / n
+            far |= np.abs(one / a - (count - one) / b) > screen * np.sqrt(p * (1 - p) * (1 / a + 1 / b)) + 1e-12
+    used = np.flatnonzero(far & (count >= max(2, n // least)))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     keep = place[col] >= 0
