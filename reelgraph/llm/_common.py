@@ -15,7 +15,11 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout."""
+    """Let Python workers import this package when it is run from a checkout, and keep their batches small.
+
+    Texts may be long: a batch of Spark's usual 10,000 rows can take a worker hundreds of MB.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
