@@ -30,7 +30,7 @@ from ._common import as_local, drop_dir, mix, on_workers, prefix_hash, shared_di
 
 LENGTH, GRAM = 50, 24
 #: Documents from which a gram's suffixes are reduced first, and rows of a range.
-HOT, RANGE_ROWS = 1000, 150_000
+HOT, RANGE_ROWS = 1000, 50_000
 
 
 def sliding(h: np.ndarray, w: int, take) -> np.ndarray:
