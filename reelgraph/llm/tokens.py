@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from ._common import as_local, on_workers, shared_dir, stored
 
 END_ID = 2
-#: Words whose ids a worker remembers, and tokens of a shard.
-WORDS_KEPT, SHARD_TOKENS = 400_000, 1 << 21
-#: Fixed value: how byte-level BPE splits a text before its merges.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words whose ids a worker remembers (as many again stay from the time before), and tokens of a shard.
+WORDS_KEPT, SHARD_TOKENS = 700_000, 1 << 21
+#: The letters, numbers and white space of Latin-1, and how byte-level BPE splits a text before its merges.
+L, N, S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t\n\x0b\x0c\r \x85\xa0"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 _encoders: dict = {}
 
 
@@ -39,33 +41,40 @@ def encoder(path: str):
     if path in _encoders:
         return _encoders[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     spec = json.loads(tok.to_str())
     pre = spec.get("pre_tokenizer") or {}
     by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-    added = regex.compile("|".join(map(regex.escape, [x["content"] for x in spec.get("added_tokens", [])])) or r"(?!)")
-    odd = regex.compile("[^\x00-\x1b\x20-\x84\x86-\xff]")
-    find = regex.compile(WORDS).findall
+    added = re.compile("|".join(map(re.escape, [x["content"] for x in spec.get("added_tokens", [])])) or r"(?!)")
+    odd = re.compile("[^\x00-\xff]")
+    find = re.compile(WORDS).findall
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
     def whole(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(text: str | None) -> bytes:
+        nonlocal known, before
         if not text:
             return b""
         if not by_word or odd.search(text) or added.search(text):
             return whole(text)
         words = find(text)
-        new = [w for w in set(words) if w not in known]
+        own = set(words)
+        new = own.difference(known)
         if new:
             if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known, before, new = {}, known, own
+            ask = []
+            for w in new:
+                if (x := before.get(w)) is None:
+                    ask.append(w)
+                else:
+                    known[w] = x
+            for w, e in zip(ask, tok.encode_batch_fast(ask, add_special_tokens=False) if ask else (), strict=True):
                 known[w] = array("I", e.ids).tobytes()
         return b"".join(map(known.__getitem__, words))
 
