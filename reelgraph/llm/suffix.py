@@ -6,7 +6,7 @@ every string of LENGTH bytes has an anchor that its text alone decides. The step
 
 1. The texts are copied to block files in the shared folder; exact copies of an earlier text go at once.
 2. Each block sends its anchors' hashes (4 bytes and a count of documents each), dealt by hash, and
-   gets back one bit for each: whether another document has it. Strings whose anchor (the leftmost
+   gets back those that another document has. Strings whose anchor (the leftmost
    least GRAM in them) nobody else has are done.
 3. The other anchors' suffixes (up to LENGTH bytes, with what stands before as far as open strings
    reach) are range-partitioned by their leading bytes with sampled splitters, sorted within each
@@ -137,31 +137,27 @@ def _find(files: list[str], path: str, ranges: int, length: int, gram: int):
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a range: bits for its keys, whether several documents have it, and many."""
+    """For each block of a range: its keys that several documents have, and whether many have them."""
     pdf = pdf.sort_values("block")
     keys = [np.frombuffer(x, "<u4") for x in pdf["keys"]]
     value, back = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(back, weights=np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["docs"]]), minlength=len(value))[back]
     cut = np.cumsum([len(k) for k in keys])[:-1]
-    out = [(b, r, np.packbits(x > 1).tobytes(), np.packbits(x > HOT).tobytes(), len(x)) for b, r, x in zip(pdf["block"], pdf["range"], np.split(n, cut), strict=True)]
-    return pd.DataFrame(out, columns=["block", "range", "shared", "hot", "n"])
+    out = [(b, r, k[x > 1].tobytes(), (x[x > 1] > HOT).tobytes()) for b, r, k, x in zip(pdf["block"], pdf["range"], keys, np.split(n, cut), strict=True)]
+    return pd.DataFrame(out, columns=["block", "range", "keys", "hot"])
 
 
 def _contexts(files: list[str], path: str, ranges: int, length: int, gram: int):
     """Suffix rows of the anchors that other documents have too, with the strings they stand for."""
-    def bits(table, name):
-        return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table[name].to_pylist(), table["n"].to_pylist(), strict=True)]).astype(bool)
-
     def run(batches):
         for pdf in batches:
             for block in pdf["block"]:
-                reply = _side(f"{path}/answers", block, ["range", "shared", "hot", "n"])
+                reply = _side(f"{path}/answers", block, ["range", "keys", "hot"])
                 if reply is None:
                     continue
-                reply = reply.sort_by("range")
-                shared, hot = bits(reply, "shared"), bits(reply, "hot")
-                key = _keys(files[block], path, ranges, length, gram)[0]
-                key, hot = key[shared], hot[shared]
+                reply = sorted(reply.to_pylist(), key=lambda x: x["range"])
+                key = np.concatenate([np.frombuffer(x["keys"], "<u4").astype(np.uint64) | np.uint64(x["range"]) << np.uint64(32) for x in reply])
+                hot = np.concatenate([np.frombuffer(x["hot"], bool) for x in reply])
                 out, held = [], 0
                 for row, doc, raw, _, copy in _block(files[block], path, []):
                     if copy or len(raw) < length or not len(key):
@@ -243,6 +239,16 @@ def _compare(length: int, gram: int):
     return run
 
 
+def _hot(rows, mins) -> pd.DataFrame:
+    """found of a block's rows of hot grams, from the least doc_ids of their surroundings."""
+    least = dict(zip(zip(mins["k1"].to_pylist(), mins["k2"].to_pylist(), strict=True), mins["mins"].to_pylist(), strict=True))
+    rows = rows.to_pandas()
+    table = np.array([least[k] for k in zip(rows["k1"], rows["k2"], strict=True)], np.int64)
+    below = table < rows["doc_id"].to_numpy()[:, None]
+    rows["found"] = (below << np.arange(table.shape[1])).sum(axis=1) & rows["open"]
+    return rows[rows["found"] != 0]
+
+
 def _cut(files: list[str], path: str, carry: list[str], length: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text", *carry]
 
@@ -251,14 +257,22 @@ def _cut(files: list[str], path: str, carry: list[str], length: int):
             for block in pdf["block"]:
                 hits: dict[int, list] = {}
                 table = _side(f"{path}/found", block, ["row", "place", "found"])
-                if table is not None:
-                    row, place, mask = (table[c].to_numpy() for c in ("row", "place", "found"))
+                more = _side(f"{path}/hot-rows", block, ["row", "place", "doc_id", "open", "k1", "k2"])
+                parts = [table.to_pandas()] if table is not None else []
+                if more is not None:
+                    parts.append(_hot(more, _side(f"{path}/hot-mins", block, ["k1", "k2", "mins"])))
+                if parts:
+                    row, place, mask = pd.concat(parts)[["row", "place", "found"]].to_numpy(np.int64).T
                     by = np.argsort(row, kind="stable")
                     for part in np.split(by, np.flatnonzero(np.diff(row[by])) + 1):
                         hits[int(row[part[0]])] = (place[part], mask[part])
                 out, held = [], 0
                 for r, doc, raw, rest, copy in _block(files[block], path, carry):
                     n = len(raw)
+                    if not copy and r not in hits:
+                        out.append((doc, n, 0, 0, hashlib.sha256(raw).hexdigest(), [], raw.decode("utf-8", "ignore"), *rest))
+                        held += n
+                        continue
                     gone = np.zeros(n + 1, np.int32)
                     if copy and n >= length:
                         gone[0], gone[n] = 1, -1
@@ -311,7 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     same.join(first, "digest").where("doc_id > first").select("doc_id", "first", "block").repartition("block").write.partitionBy("block").parquet(f"{work}/copies")
 
     keys = blocks.mapInPandas(_find(files, work, ranges, length, gram), "range int, block int, keys binary, docs binary")
-    answers = keys.groupBy("range").applyInPandas(_answer, "block int, range int, shared binary, hot binary, n int")
+    answers = keys.groupBy("range").applyInPandas(_answer, "block int, range int, keys binary, hot binary")
     answers.repartition(len(files), "block").write.partitionBy("block").parquet(f"{work}/answers")
 
     fields = "suffix binary, before binary, doc_id long, block int, row int, place int, open long, hot boolean"
@@ -322,11 +336,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     dealt = contexts.where("NOT hot").unionByName(once).withColumn("lead", F.substring("suffix", 1, gram)).repartitionByRange(parts, "lead").drop("lead")
     compared = stored(dealt.mapInPandas(_compare(length, gram), "suffix binary, before binary, open long, block int, row int, place int, hot boolean, found long, mins array<long>"), f"{work}/compared", compression="zstd")
 
-    of = contexts.where("hot").join(compared.where("hot").select("suffix", "before", "open", "mins"), ["suffix", "before", "open"])
-    mask = F.aggregate(F.transform("mins", lambda m, o: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), o)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    of = of.select("block", "row", "place", mask.bitwiseAND(F.col("open")).alias("found")).where("found <> 0")
-    found = compared.where("NOT hot").select("block", "row", "place", "found").unionByName(of)
-    found.repartition(len(files), "block").write.partitionBy("block").parquet(f"{work}/found")
+    # Each block gets the least doc_ids of the surroundings it has, once each, and its hot rows.
+    name = [F.xxhash64("suffix", "before", "open").alias("k1"), F.xxhash64("open", F.lit(1), "before", "suffix").alias("k2")]
+    hot = contexts.where("hot").select("block", "row", "place", "doc_id", "open", *name)
+    hot.repartition(len(files), "block").write.partitionBy("block").parquet(f"{work}/hot-rows")
+    mins = compared.where("hot").select("mins", *name)
+    hot.select("block", "k1", "k2").distinct().join(mins, ["k1", "k2"]).repartition(len(files), "block").write.partitionBy("block").parquet(f"{work}/hot-mins")
+    compared.where("NOT hot").select("block", "row", "place", "found").repartition(len(files), "block").write.partitionBy("block").parquet(f"{work}/found")
     for part in ("answers", "contexts", "compared", "digests"):
         drop_dir(spark, f"{work}/{part}")
 
