@@ -1,7 +1,7 @@
 """Token ids of a public tokenizer, and the binary files that hold them as wavelet matrices.
 
 A shard file holds the ids of consecutive documents as a wavelet matrix: one bit plane per bit of an
-id, highest first; each plane orders the ids by the bits above (zeros before ones, stable). Planes
+id's place among the shard's distinct ids, highest first; each plane orders the ids by the bits above (zeros before ones, stable). Planes
 are cut into blocks that are compressed on their own, with the number of ones before each block, so
 access, rank, select and decoding read only the blocks they need.
 """
@@ -28,7 +28,7 @@ END_ID = 2
 WORDS_KEPT, SHARD_TOKENS = 700_000, 1 << 21
 #: The letters, numbers and white space of Latin-1, and how byte-level BPE splits a text before its merges.
 L, N, S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t\n\x0b\x0c\r \x85\xa0"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+WORDS = rf" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 _encoders: dict = {}
 
 
@@ -47,8 +47,7 @@ def encoder(path: str):
     spec = json.loads(tok.to_str())
     pre = spec.get("pre_tokenizer") or {}
     by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-    added = re.compile("|".join(map(re.escape, [x["content"] for x in spec.get("added_tokens", [])])) or r"(?!)")
-    odd = re.compile("[^\x00-\xff]")
+    added = [x["content"] for x in spec.get("added_tokens", [])]
     find = re.compile(WORDS).findall
     known: dict[str, bytes] = {}
     before: dict[str, bytes] = {}
@@ -60,7 +59,11 @@ def encoder(path: str):
         nonlocal known, before
         if not text:
             return b""
-        if not by_word or odd.search(text) or added.search(text):
+        if not by_word or any(a in text for a in added):
+            return whole(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
             return whole(text)
         words = find(text)
         own = set(words)
@@ -92,8 +95,15 @@ class Wavelet:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        levels = max(1, int(ids.max(initial=0)).bit_length())
-        now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+        alphabet = np.unique(ids) if ids.max(initial=0) >> 22 else np.flatnonzero(np.bincount(ids))
+        levels = max(1, (len(alphabet) - 1).bit_length())
+        kind = np.uint16 if levels <= 16 else np.uint32
+        if ids.max(initial=0) >> 22:
+            now = np.searchsorted(alphabet, ids).astype(kind)
+        else:
+            place = np.zeros(int(ids.max(initial=0)) + 1, kind)
+            place[alphabet] = np.arange(len(alphabet))
+            now = place[ids]
         body, head = [], {"n": len(ids), "levels": levels, "docs": len(doc_ids), "zeros": [], "blocks": [], "ones": []}
         at = 0
 
@@ -103,6 +113,7 @@ class Wavelet:
             at += len(body[-1])
             return [at - len(body[-1]), len(body[-1])]
 
+        head["alphabet"] = put(alphabet.astype("<u4").tobytes())
         head["doc_ids"], head["lengths"] = put(doc_ids.astype("<i8").tobytes()), put(lengths.astype("<i8").tobytes())
         for level in reversed(range(levels)):
             bit = (now & now.dtype.type(1 << level)) != 0
@@ -110,8 +121,13 @@ class Wavelet:
             ones = [int(np.count_nonzero(bit[i : i + cls.BLOCK])) for i in range(0, len(bit), cls.BLOCK)]
             head["ones"].append([0, *np.cumsum(ones).tolist()])
             head["blocks"].append([put(plane[i // 8 : (i + cls.BLOCK) // 8].tobytes()) for i in range(0, len(bit), cls.BLOCK)])
-            head["zeros"].append(len(bit) - sum(ones))
-            now = np.concatenate((now[~bit], now[bit]))
+            zeros = len(bit) - sum(ones)
+            head["zeros"].append(zeros)
+            if level:
+                after = np.empty_like(now)
+                np.compress(bit, now, out=after[zeros:])
+                np.compress(np.logical_not(bit, out=bit), now, out=after[:zeros])
+                now = after
         text = json.dumps(head).encode()
         return b"".join([cls.MAGIC, struct.pack("<Q", len(text)), text, *body])
 
@@ -127,6 +143,7 @@ class Wavelet:
         self.base = 16 + size
         self.n, self.levels = self.head["n"], self.head["levels"]
         self.kept: dict = {}
+        self.alphabet = np.frombuffer(self._get(self.head["alphabet"]), "<u4")
 
     def _get(self, at: list[int]) -> bytes:
         self.file.seek(self.base + at[0])
@@ -162,13 +179,15 @@ class Wavelet:
             ones = self._ones(level, i)
             i = self.head["zeros"][level] + ones if bit else i - ones
             out = out * 2 + bit
-        return out
+        return int(self.alphabet[out])
 
     def rank(self, x: int, i: int) -> int:
         """How often id x is among the first i ids."""
         lo, hi = 0, i
-        if x >> self.levels:
+        at = int(np.searchsorted(self.alphabet, x))
+        if at == len(self.alphabet) or self.alphabet[at] != x:
             return 0
+        x = at
         for level in range(self.levels):
             a, b = self._ones(level, lo), self._ones(level, hi)
             zeros = self.head["zeros"][level]
@@ -196,17 +215,15 @@ class Wavelet:
             raw = b"".join(self._get(x) for x in self.head["blocks"][level][:size])
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
             if now is None:
-                now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
-                now[self.head["zeros"][level] :] = 1
-                out = np.empty_like(now)
-                out[~bit], out[bit] = 0, 1
+                out = bit.astype(np.uint16 if self.levels <= 16 else np.uint32)
             else:
                 zeros = self.head["zeros"][level]
                 out = np.empty_like(now)
-                out[~bit] = now[:zeros]
-                out[bit] = now[zeros:] | now.dtype.type(1 << (self.levels - 1 - level))
+                now[zeros:] |= now.dtype.type(1 << (self.levels - 1 - level))
+                out[bit] = now[zeros:]
+                out[np.logical_not(bit, out=bit)] = now[:zeros]
             now = out
-        return now.astype("<u4")
+        return self.alphabet[now]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
