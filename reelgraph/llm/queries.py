@@ -73,7 +73,18 @@ _OPS = (op1_near_dedup, op2_chat_format, op3_token_files, op4_quality, op5_packi
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
+_ESCAPED = r"regexp_replace(replace(coalesce({}, ''), '\', '\\'), '(<|\[)((?:\|im_start\||\|im_sep\||\|im_end\||\|endoftext\||/?s|/?<SYS>)>|/?INST\])', '\1\\\2', 'g')"
+
 SQL: dict[str, str] = {
+    "op2_chat_format": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c),
+p AS (SELECT *, length({_ESCAPED.format("text")}) + CASE WHEN before = role THEN 10 ELSE 22 + length({_ESCAPED.format("role")}) + CASE WHEN before IS NULL THEN 0 ELSE 11 END END AS n FROM l)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  (sum(n) + 11)::BIGINT AS formatted_chars FROM p GROUP BY conv_id""",
     "op1_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -83,8 +94,8 @@ x AS (SELECT doc_id, unnest(s) AS x FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r(doc_id, at) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.at),
-c AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY 1)
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.node),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN c USING (doc_id)""",
     "op10_url_rules": """
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
