@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ._common import as_local, drop_dir, mix, on_workers, prefix_hash, shared_dir, span_hash, stored
 
 LENGTH, GRAM = 50, 24
-#: Documents from which a gram's suffixes are reduced first, and rows of a range.
-HOT, RANGE_ROWS = 1000, 50_000
+#: Documents from which a gram's suffixes are reduced first, rows of a range, and documents of a block.
+HOT, RANGE_ROWS, BLOCK_ROWS = 1000, 50_000, 4000
 
 
 def sliding(h: np.ndarray, w: int, take) -> np.ndarray:
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     work = shared_dir(spark, "repeats")
     carry = list(carry)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).where("doc_id IS NOT NULL")
-    copy = stored(rows, f"{work}/texts", compression="zstd")
+    copy = stored(rows, f"{work}/texts", compression="zstd", maxRecordsPerFile=str(BLOCK_ROWS))
     files = sorted(copy.inputFiles())
     schema = copy.schema
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in carry)
