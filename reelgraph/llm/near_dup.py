@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, mix, on_workers, prefix_hash, shared_dir, span_hash, stored
+from ._common import components, mix, on_workers, prefix_hash, released, shared_dir, span_hash, stored
 
 #: Largest bucket that is compared pair by pair, and how often leaders are elected before that.
 SPLIT, TURNS = 24, 3
@@ -71,6 +71,7 @@ def half_keys(h: np.ndarray, a: np.ndarray, m: int, t: int) -> np.ndarray:
 
 
 def _signatures(words: int, m: int, t: int):
+    @released
     def run(batches):
         left, right = multipliers(0, m, t), multipliers(1, m, t)
         for pdf in batches:
@@ -85,6 +86,7 @@ def _signatures(words: int, m: int, t: int):
 
 
 def _tokens(words: int):
+    @released
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["node"], "tokens": [shingle_set(x, words).view(np.int64) for x in pdf["text"]]})
@@ -108,6 +110,7 @@ def least_size(c: int) -> int:
 def _prefixes(percent: int):
     """Rows (node, token, small, large, role) of each node's prefixes; role 0: it is the smaller."""
 
+    @released
     def run(batches):
         for pdf in batches:
             out = []
@@ -127,6 +130,7 @@ def _prefixes(percent: int):
 
 
 def _compare(words: int):
+    @released
     def run(batches):
         kept: dict = {}
 
@@ -172,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     shared = half.groupBy("key").agg(F.count_if(F.lit(True)).alias("n")).where("n > 1").select("key")
     met = half.join(shared, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
     buckets = met.join(reps.select("node", "b"), "node").select("node", F.explode("keys").alias("key"), "b")
-    buckets = stored(buckets.select("node", "key", F.posexplode("b").alias("j", "other")).select("node", F.xxhash64("key", "j", "other").alias("bucket")), f"{work}/buckets")
+    buckets = stored(buckets.select("node", "key", F.posexplode("b").alias("j", "other")).select("node", "key", F.xxhash64("key", "j", "other").alias("bucket")), f"{work}/buckets")
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     active = stored(buckets.join(full, "bucket", "left_semi"), f"{work}/active-0")
 
@@ -202,13 +206,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
         led = stored(active.join(lead.select("bucket", F.col("l.node").alias("leader")), "bucket"), f"{work}/led-{turn}")
         pairs = led.where("node <> leader").select("leader", "node").distinct()
         known = confirmed(unmet(pairs) if turn else pairs, str(turn))
-        left = led.where("node <> leader").join(known.where(f"NOT ({links})"), ["leader", "node"], "left_semi").select("node", "bucket")
+        # Those not linked go on; buckets of one half key A_i and one leader become one, so a row isn't kept for each B_j.
+        left = led.where("node <> leader").select("leader", "node", "key").distinct()
+        left = left.join(known.where(f"NOT ({links})"), ["leader", "node"], "left_semi").select("node", "key", F.xxhash64("key", "leader").alias("bucket"))
         many = left.groupBy("bucket").agg(F.count("*").alias("n"))
-        active = stored(left.join(many.where("n > 1"), "bucket").select("node", "bucket", "n"), f"{work}/active-{turn + 1}")
+        active = stored(left.join(many.where("n > 1"), "bucket").select("node", "key", "bucket", "n"), f"{work}/active-{turn + 1}")
         few = active.where(f"n <= {SPLIT}")
         few = few.select(F.col("node").alias("leader"), "bucket").join(few.select("node", "bucket"), "bucket").where("leader < node").select("leader", "node").distinct()
         known = confirmed(unmet(few), f"{turn}-few")
-        open_rows = left.join(many.where(f"n > {SPLIT}"), "bucket", "left_semi").select("node", "bucket")
+        open_rows = left.join(many.where(f"n > {SPLIT}"), "bucket", "left_semi").select("node", "key", "bucket")
         active = stored(open_rows, f"{work}/active-{turn + 1}-large")
         if active.isEmpty():
             break
