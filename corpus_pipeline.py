@@ -7,14 +7,36 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgraph.llm import decontam, near_dup, packing, quality, suffix
-from reelgraph.llm._common import on_workers, shared_dir, stored
+from reelgraph.llm import _common
+from reelgraph.llm._common import drop_dir, on_workers, shared_dir, stored
 from reelgraph.llm.queries import vocabulary
 
 
+_spent: list[str] = []
+
+
+def stage(f):
+    """When a stage begins, the one before has been written, and its working folders can go."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _spent:
+            drop_dir(spark, _spent.pop())
+        before = len(_common.MADE)
+        out = f(spark, docs, sf_dir)
+        _spent.extend(_common.MADE[before:])
+        return out
+
+    return run_stage
+
+
+@stage
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     on_workers(spark)
@@ -23,12 +45,14 @@ def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.grade_documents(docs, model, carry=carry).where("kept").select(*docs.columns)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the least doc_id."""
     kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents are cut out; a document left without text goes."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -37,6 +61,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     judged = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -44,6 +69,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all that is left, in sequences of 1024 tokens."""
     return packing.pack_documents(docs, vocabulary())
@@ -58,6 +84,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     on_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), shared_dir(spark, f"stage-{i}"))
+    path = None
+    for i, (_, apply) in enumerate(STAGES):
+        out = stored(apply(spark, docs, sf_dir), to := shared_dir(spark, f"stage-{i}"))
+        if path:
+            drop_dir(spark, path)
+        docs, path = out, to
     return docs

@@ -25,6 +25,10 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+#: Folders made in this session, newest last.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a folder of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,7 +37,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}" if base.startswith("/") and spark.sparkContext.master.startswith("local") else base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def release() -> None:
+    """Give a worker's free memory back, so that it doesn't hold it while later stages run."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # no glibc
+        pass
+
+
+def released(run):
+    """A batch function that calls release() when its partition is done."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_local, drop_dir, mix, on_workers, prefix_hash, shared_dir, span_hash, stored
+from ._common import as_local, drop_dir, mix, on_workers, prefix_hash, released, shared_dir, span_hash, stored
 
 LENGTH, GRAM = 50, 24
 #: Documents from which a gram's suffixes are reduced first, rows of a range, and documents of a block.
@@ -123,6 +123,7 @@ def _keys(file: str, path: str, ranges: int, length: int, gram: int):
 def _find(files: list[str], path: str, ranges: int, length: int, gram: int):
     """Rows (range, block, keys, documents) of each block's anchors."""
 
+    @released
     def run(batches):
         for pdf in batches:
             for block in pdf["block"]:
@@ -149,6 +150,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _contexts(files: list[str], path: str, ranges: int, length: int, gram: int):
     """Suffix rows of the anchors that other documents have too, with the strings they stand for."""
+    @released
     def run(batches):
         for pdf in batches:
             for block in pdf["block"]:
@@ -193,6 +195,7 @@ def _contexts(files: list[str], path: str, ranges: int, length: int, gram: int):
 def _compare(length: int, gram: int):
     """Over one range: for each row the strings that a smaller doc_id has, or the least doc_id of each."""
 
+    @released
     def run(batches):
         frames = list(batches)
         if not frames:
@@ -252,6 +255,7 @@ def _hot(rows, mins) -> pd.DataFrame:
 def _cut(files: list[str], path: str, carry: list[str], length: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text", *carry]
 
+    @released
     def run(batches):
         for pdf in batches:
             for block in pdf["block"]:
