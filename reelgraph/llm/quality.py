@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "set": [features(t).astype("<i4").tobytes() for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own.select("doc_id", "grade"), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own.select("doc_id", "grade")), "doc_id")  # at most 3 * sample rows
     got = rows.mapInPandas(run, "doc_id long, grade int, set binary").toPandas().sort_values(["doc_id", "grade", "set"])
     return fit([np.frombuffer(x, "<i4").astype(np.int64) for x in got["set"]], got["grade"].to_numpy(np.int64))
 
