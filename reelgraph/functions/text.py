@@ -76,3 +76,17 @@ def time_value(text: Column) -> Column:
     n = lambda i: F.get(p, F.lit(i)).try_cast("int")
     two, three = n(0) * 60 + n(1), n(0) * 3600 + n(1) * 60 + n(2)
     return F.coalesce(F.when(F.size(p) == 2, two).when(F.size(p) == 3, three).cast("double"), F.lit(0.0))
+
+
+def timeline_events(text: Column, duration: Column) -> Column:
+    """Structs (start, end, description) of passages [MM:SS-MM:SS] text, any dash, over several lines too. An end
+    not after its start is 5 s after it; one beyond duration + 10 is the duration; blank passages are left out."""
+    shape = r"(?s)\[(\d+:\d+(?::\d+)?)\s*[-–—]\s*(\d+:\d+(?::\d+)?)\]\s*(.*?)(?=\n\s*\[\d|\z)"
+    part = lambda k: F.regexp_extract_all(text, F.lit(shape), k)
+
+    def event(x):
+        a, z = time_value(x["a"]), time_value(x["z"])
+        return F.struct(a.alias("start"), F.when(z <= a, a + 5).when(z > duration + 10, duration).otherwise(z).cast("double").alias("end"), F.trim(x["d"]).alias("description"))
+
+    found = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("z"), part(3).alias("d")), event)
+    return F.filter(found, lambda e: e["description"] != "")

@@ -262,3 +262,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from reelgraph.plans import selection  # noqa: E402, F401
