@@ -29,7 +29,7 @@ def tokens(text: Column) -> Column:
 
 def clean_keywords(k: Column) -> Column:
     """Trimmed, without blanks, the first of each."""
-    return F.array_distinct(F.filter(F.transform(k, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(k, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def visual_keywords(k: Column) -> Column:
@@ -90,3 +90,60 @@ def timeline_events(text: Column, duration: Column) -> Column:
 
     found = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("z"), part(3).alias("d")), event)
     return F.filter(found, lambda e: e["description"] != "")
+
+
+#: Words of questions that name nothing.
+NO_ENTITY = ("based", "content", "whose", "viewpoint", "relatively", "according", "following", "statement", "correct", "incorrect", "true", "false", "options", "option", "answer", "video", "clip", "frame", "scene", "mainly", "about", "which", "what", "how", "who", "where", "when", "why", "of", "the", "a", "an", "in", "on", "at", "to", "for", "and", "or", "but", "not", "this", "that", "these", "those", "person", "someone", "something", "thing", "object", "item", "based on", "based-on")
+
+
+def entities(k: Column) -> Column:
+    """Keywords that name something: tagged text:, with a digit, a capital, or two letters one of which is Chinese.
+    The first of each, whatever its case and spacing."""
+    def named(x):
+        low = F.regexp_replace(F.lower(x), r"\s+", " ")
+        return ~low.isin(*NO_ENTITY) & (low.startswith("text:") | x.rlike(r"\p{Nd}|\p{Lu}") | (has_cjk(x) & (F.length(x) >= 2)))
+
+    key = lambda x: F.regexp_replace(F.lower(x), r"\s+", " ")
+    kept = F.filter(F.transform(k, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "") & named(x))
+    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, key), key(x)) == i + 1)
+
+
+def option_texts(q: Column) -> Column:
+    """Letters and texts of lines like A. x, B) x or (C) x, as structs; of the same letter, the last."""
+    shape = r"^\s*\(?([A-Z])[.):]\s*(\S.*?)\s*$"
+    lines = F.filter(F.split(q, "\n"), lambda x: x.rlike(shape))
+    each = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, shape, 1).alias("option"), F.regexp_extract(x, shape, 2).alias("text")))
+    return F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, F.greatest(F.size(each), F.lit(1))), lambda y: y["option"] == x["option"]))
+
+
+def option_order(option: Column) -> Column:
+    """Sort key: single letters, then numbers by value, then the rest."""
+    number = option.rlike("^[0-9]+$")
+    return F.when(option.rlike("^[A-Z]$"), F.concat(F.lit("0"), option)).when(number, F.concat(F.lit("1"), F.lpad(option, 12, "0"))).otherwise(F.concat(F.lit("2"), option))
+
+
+def json_found(text: Column) -> Column:
+    """The JSON in a model's reply: all of it, else what a fence holds, else its first object without inner ones;
+    null where none of them can be read."""
+    as_is = F.trim(text)
+    fence = lambda mark: F.regexp_extract(text, r"(?s)```" + mark + r"\s*(.*?)\s*```", 1)
+    read = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    return F.coalesce(read(as_is), read(fence("json")), read(fence("")), read(F.regexp_extract(text, r"\{[^{}]*\}", 0)))
+
+
+def timeline_lines(text: Column, duration: Column) -> Column:
+    """Events of a text without times: lines of ten letters or more, without their bullets, each in an equal slot."""
+    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n")
+    slot = duration / F.size(lines)
+    each = F.transform(lines, lambda x, i: F.struct((i * slot).alias("start"), ((i + 1) * slot).alias("end"), F.when(F.length(F.trim(x)) >= 10, F.trim(F.regexp_replace(F.trim(x), r"^[\d.\-*\s]+", ""))).otherwise("").alias("description")))
+    return F.filter(each, lambda e: e["description"] != "")
+
+
+def truth(text: Column, default: bool) -> Column:
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("1", "true", "yes", "y", "on"), True).when(t.isin("0", "false", "no", "n", "off"), False).otherwise(F.lit(default))
+
+
+def most_steps(options: Column, base: int = 10, usual: int = 4, extra: int = 1) -> Column:
+    """Steps of the observation loop: base, and extra ones for each option beyond the usual number."""
+    return F.lit(max(1, base)) + F.greatest(options - usual, F.lit(0)) * max(0, extra)
