@@ -11,10 +11,8 @@ Pieces find their sequence by their rank among those of their length.
 
 from __future__ import annotations
 
-import math
 import zlib
 from array import array
-from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -41,22 +39,28 @@ def waste_bound(counts: dict[int, int], size: int) -> int:
     return best
 
 
-def best_fit(counts: dict[int, int], size: int) -> list[list[int]]:
-    """Best-fit decreasing, piece by piece."""
-    room: list[tuple[int, int]] = []
-    out: list[list[int]] = []
+def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Best-fit decreasing as (times, lengths in a sequence), over the counts of lengths.
+
+    A sequence that takes a piece is then the one of least room that holds the next piece of that length,
+    as long as it fits; so sequences of the same content fill alike and needn't be told apart.
+    """
+    open_: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     for k in sorted(counts, reverse=True):
-        for _ in range(counts[k]):
-            i = bisect_left(room, (k, -1))
-            if i < len(room):
-                left, b = room.pop(i)
-            else:
-                left, b = size, len(out)
-                out.append([])
-            out[b].append(k)
-            left -= k
-            room.insert(bisect_left(room, (left, b)), (left, b))
-    return out
+        n = counts[k]
+        for room in [*sorted(r for r in open_ if r >= k), size]:
+            if not n:
+                break
+            per = room // k
+            kinds = open_.pop(room) if room < size else [(-(-n // per), ())]
+            for times, held in kinds:
+                full = min(times, n // per)
+                rest = min(n - full * per, per) if full < times else 0
+                n -= full * per + rest
+                for t, m in ((full, per), (1 if rest else 0, rest), (times - full - (rest > 0), 0)):
+                    if t:
+                        open_.setdefault(room - m * k, []).append((t, held + (k,) * m))
+    return [kind for kinds in open_.values() for kind in kinds]
 
 
 def holds(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
@@ -127,21 +131,19 @@ def pack(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[in
     counts = {k: n for k, n in sorted(counts.items(), reverse=True) if n}
     total = sum(counts.values())
     bound = waste_bound(counts, size)
-    best: list | None = None
-    best_n = math.inf
-    if total <= 20_000:
-        fit = best_fit(counts, size)
-        best, best_n = [(1, tuple(b)) for b in fit], len(fit)
-    left = nodes
+    best = best_fit(counts, size)
+    best_n = sum(times for times, _ in best)
+    left, reached = nodes, False  # the first plan is always followed to its end
     single = total <= ONE_BY_ONE
 
     def search(now: dict[int, int], used: int, plan: list) -> None:
-        nonlocal best, best_n, left
+        nonlocal best, best_n, left, reached
         if not now:
+            reached = True
             if used < best_n:
                 best, best_n = list(plan), used
             return
-        if best is not None and (left <= 0 or best_n <= bound or used + waste_bound(now, size) >= best_n):
+        if best_n <= bound or reached and (left <= 0 or used + waste_bound(now, size) >= best_n):
             return
         left -= 1
         top = max(now)
@@ -155,7 +157,7 @@ def pack(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[in
             plan.append((times, (top, *f)))
             search(after, used + times, plan)
             plan.pop()
-            if best is not None and (left <= 0 or best_n <= bound):
+            if best_n <= bound or reached and left <= 0:
                 return
 
     import sys
@@ -166,7 +168,7 @@ def pack(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[in
         search(counts, 0, [])
     finally:
         sys.setrecursionlimit(deep)
-    return best or []
+    return best
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = END_ID) -> DataFrame:

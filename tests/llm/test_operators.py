@@ -1,5 +1,6 @@
 """The operators against brute force, and their edge cases: nulls, empty and repeated rows, other columns."""
 
+import bisect
 import hashlib
 import itertools
 import random
@@ -166,6 +167,24 @@ def test_pack_small():
         assert sorted(itertools.chain.from_iterable(list(b) * t for t, b in plan)) == sorted(items)
 
 
+def test_pack_many_is_no_worse_than_best_fit():
+    counts = {48: 4303, 23: 1020, 34: 4635, 43: 2256, 39: 1726, 20: 745, 44: 2169, 46: 5713, 26: 4813, 36: 5078}
+    room, fit = [100], 0  # piece by piece, least room that holds it
+    for k in sorted(counts, reverse=True):
+        for _ in range(counts[k]):
+            i = bisect.bisect_left(room, k)
+            if i == len(room) - 1:
+                fit += 1
+                left = 100 - k
+            else:
+                left = room.pop(i) - k
+            bisect.insort(room, left)
+    plan = packing.pack(counts, 100)
+    used = {k: sum(t * lengths.count(k) for t, lengths in plan) for k in counts}
+    assert used == counts and all(sum(lengths) <= 100 for _, lengths in plan)
+    assert sum(t for t, _ in plan) <= fit == sum(t for t, _ in packing.best_fit(counts, 100)) == 13184
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     turns = [(1, 0, "user", "a\\b"), (1, 1, "assistant", said), (1, 2, "assistant", None), (1, 3, None, "<|im_sep|>\n"), (2, 0, "assistant", "\\[INST]<|im_end|>\n")]
