@@ -153,6 +153,11 @@ def _compare(words: int):
     return run
 
 
+def crowded(met: DataFrame) -> DataFrame:
+    """(bucket) of those with an open row and two nodes besides the leader; other is null in the leader's rows."""
+    return met.groupBy("bucket").agg(F.max("open").alias("any"), F.min("other").alias("lo"), F.max("other").alias("hi")).where("any AND lo < hi").select("bucket")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 16, t: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row with a doc_id.
 
@@ -225,9 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     at = [spark.read.parquet(f"{work}/led-{i}").select("bucket", "node", "leader") for i in range(turn + 1)]
     met = reduce(DataFrame.unionByName, at)
     met = met.join(label.select("node", F.col("label").alias("of")), "node", "left").join(label.select(F.col("node").alias("leader"), F.col("label").alias("at")), "leader", "left")
-    met = stored(met.select("bucket", "node", F.coalesce("of", "node").alias("of"), (F.coalesce("of", "node") != F.coalesce("at", "leader")).alias("open")), f"{work}/met")
-    apart = met.groupBy("bucket").agg(F.max("open").alias("any"), F.approx_count_distinct("node").alias("n")).where(f"any AND n > 2").select("bucket")
-    there = stored(met.join(apart, "bucket", "left_semi").groupBy("node").agg(F.max("open").alias("open"), F.first("of").alias("of")), f"{work}/there")
+    met = stored(met.select("bucket", "node", F.expr("nullif(node, leader)").alias("other"), F.coalesce("of", "node").alias("of"), (F.coalesce("of", "node") != F.coalesce("at", "leader")).alias("open")), f"{work}/met")
+    there = stored(met.join(crowded(met), "bucket", "left_semi").groupBy("node").agg(F.max("open").alias("open"), F.first("of").alias("of")), f"{work}/there")
     tokens = stored(texts.join(there, "node", "left_semi").mapInPandas(_tokens(words), "node long, tokens array<long>"), f"{work}/tokens")
     each = tokens.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))

@@ -53,6 +53,12 @@ def test_near_duplicates(docs, rows):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), top[i], top[i] == i) for i in sets}
 
 
+def test_no_crowded_bucket_is_missed(spark):
+    met = spark.range(90_000).selectExpr("id DIV 3 AS bucket", "xxhash64(id) AS node", "if(id % 3 = 0, null, xxhash64(id)) AS other", "id % 3 = 2 AS open")
+    assert near_dup.crowded(met).count() == 30_000
+    assert near_dup.crowded(met.where("other IS NULL OR open")).count() == 0
+
+
 def test_repeats(docs, rows):
     first = {}
     for i, t, _ in rows:
