@@ -15,6 +15,7 @@ import html as _html
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import on_workers, shared_dir, stored
 from .urls import host_and_path
 
-#: Different pages that must agree on a node's text, and children products up to which levels are aligned in full.
+#: Different pages that must agree on a node's text, and children products up to which a level's whole table is kept.
 TEMPLATE, FULL = 5, 250_000
 #: Elements of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -119,11 +120,56 @@ def _size(t: list) -> int:
     return 1 + sum(_size(k) for k in t[1])
 
 
+def _wide(kids: list[Node], trees: list[list]) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a best matching of two long rows of children, by Hirschberg's halving.
+
+    Equal children at both ends belong together. What two children match depends on their shapes only.
+    """
+    known: dict = {}
+    mine = [known.setdefault(json.dumps(skeleton(k)), len(known)) for k in kids]
+    theirs = [known.setdefault(json.dumps(t), len(known)) for t in trees]
+    lo, hi, end = 0, len(kids), len(trees)
+    while lo < min(hi, end) and mine[lo] == theirs[lo]:
+        lo += 1
+    while lo < min(hi, end) and mine[hi - 1] == theirs[end - 1]:
+        hi, end = hi - 1, end - 1
+    pairs = [(i, i) for i in range(lo)] + [(hi + i, end + i) for i in range(len(kids) - hi)]
+    there, place = np.unique(np.array(theirs[lo:end], np.int64), return_inverse=True)
+    tree = dict(zip(theirs, trees, strict=True))
+    weight: dict[int, np.ndarray] = {}
+    for i in range(lo, hi):
+        if mine[i] not in weight:
+            weight[mine[i]] = np.array([align(kids[i], tree[t], 0, {}) for t in there.tolist()], np.int64)[place]
+
+    def last(rows, a: int, z: int, step: int) -> np.ndarray:
+        best = np.zeros(z - a + 1, np.int64)
+        for i in rows:
+            w = weight[mine[i]][a:z][::step]
+            best[1:] = np.maximum(best[:-1] + w, best[1:])
+            np.maximum.accumulate(best, out=best)
+        return best
+
+    todo = [(lo, hi, 0, end - lo)]
+    while todo:
+        i, k, a, z = todo.pop()
+        if i == k or a == z:
+            continue
+        if k - i == 1:
+            w = weight[mine[i]][a:z]
+            if w.max() > 0:
+                pairs.append((i, lo + a + int(w.argmax())))
+            continue
+        half = (i + k) // 2
+        at = a + int((last(range(i, half), a, z, 1) + last(range(k - 1, half - 1, -1), a, z, -1)[::-1]).argmax())
+        todo += [(i, half, a, at), (half, k, at, z)]
+    return pairs
+
+
 def align(node: Node, tree: list, number: int, out: dict) -> int:
     """Simple tree matching of a page's node with a reference tree; out: id(node) -> reference number.
 
     Returns the matched nodes. Children keep their order; levels of over FULL pairs are matched
-    tag by tag in order.
+    as well as others, in linear memory.
     """
     if node.tag != tree[0]:
         return 0
@@ -136,14 +182,9 @@ def align(node: Node, tree: list, number: int, out: dict) -> int:
     if not kids or not tree[1]:
         return 1
     if len(kids) * len(tree[1]) > FULL:
-        total, j = 1, 0
-        for k in kids:
-            while j < len(tree[1]) and tree[1][j][0] != k.tag:
-                j += 1
-            if j == len(tree[1]):
-                break
-            total += align(k, tree[1][j], numbers[j], out)
-            j += 1
+        total = 1
+        for i, j in _wide(kids, tree[1]):
+            total += align(kids[i], tree[1][j], numbers[j], out)
         return total
     m, n = len(kids), len(tree[1])
     each: dict = {}

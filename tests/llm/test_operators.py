@@ -220,6 +220,26 @@ def test_html(spark):
     assert got == {1: "Head & x one two three four", 2: "Head & x uno two three four", 3: "", 4: ""}
 
 
+def test_html_aligns_wide_levels_in_full():
+    rng = random.Random(7)
+    shapes = ["<p>x</p>", "<ul><li>a</li></ul>", "<ul><li>a</li><li>b</li></ul>", "<h2>t</h2>", "<blockquote><p>q</p></blockquote>"]
+    full = html.FULL
+    try:
+        for _ in range(60):
+            a, b = (html.parse("<body>" + "".join(rng.choices(shapes, k=rng.randint(1, 12))) + "</body>") for _ in range(2))
+            got = []
+            for html.FULL in (full, 0):
+                out = {}
+                got.append((html.align(a, html.skeleton(b), 0, out), len(out)))
+                assert len(set(out.values())) == len(out)
+            assert got[0] == got[1] and got[0][0] == got[0][1]
+    finally:
+        html.FULL = full
+    rows = "".join(f"<p>{i}</p>" for i in range(600))
+    page, out = html.parse(f"<body><h2>stray</h2>{rows}</body>"), {}
+    assert html.align(page, html.skeleton(html.parse(f"<body>{rows}</body>")), 0, out) == 602
+
+
 def test_rules(docs):
     got = {r.doc_id: r for r in rules.clean_lines(docs).collect()}
     assert len(got) == 78 and got[70].n_words == 0 and not got[70].kept
