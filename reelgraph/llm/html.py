@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host come from one program, so their trees align. The host's page of least page_id is its
-reference; its tree of tags is what the other pages are aligned with, by simple tree matching. Nodes
+Pages of a host come from one program, so their trees align. The trees of tags of all its pages that have
+html are merged into its reference, by simple tree matching: nodes that match are one, others are put between
+them. The pages are then aligned with the reference in the same way. Nodes
 whose text is the same in all aligned pages, of at least TEMPLATE different pages, are the template;
 the others are slots. Text is what slots hold inside the main region (article or main, else the body),
 without the elements that can't be content: menus, headers, footers, asides, forms, scripts, and
@@ -25,6 +26,8 @@ from .urls import host_and_path
 
 #: Different pages that must agree on a node's text, and children products up to which a level's whole table is kept.
 TEMPLATE, FULL = 5, 250_000
+#: Parts in which the trees of a host are merged before those are; rows are dealt by it, nothing is left out.
+PARTS = 256
 #: Elements of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -213,6 +216,34 @@ def align(node: Node, tree: list, number: int, out: dict) -> int:
     return total
 
 
+def _node(tree: list) -> Node:
+    node = Node(tree[0], False)
+    node.kids = [_node(t) for t in tree[1]]
+    return node
+
+
+def merge(tree: list, other: list) -> list:
+    """A tree with all nodes of both; those that simple tree matching pairs are one."""
+    top, out = _node(other), {}
+    if align(top, tree, 0, out) == _size(other):
+        return tree
+
+    def both(node: Node, t: list, number: int) -> list:
+        place = {out[id(k)]: i for i, k in enumerate(node.kids) if id(k) in out}
+        kids, i, at = [], 0, number + 1
+        for x in t[1]:
+            j = place.get(at)
+            if j is None:
+                kids.append(x)
+            else:
+                kids += [skeleton(k) for k in node.kids[i:j]] + [both(node.kids[j], x, at)]
+                i = j + 1
+            at += _size(x)
+        return [t[0], kids + [skeleton(k) for k in node.kids[i:]]]
+
+    return both(top, tree, 0)
+
+
 def blocks(source: str | None, tree: list | None) -> list[tuple[int, bool, str]]:
     """(reference number or -1, in the main region, text) of every run of text between block ends."""
     if not source:
@@ -276,13 +307,31 @@ def extract(pages: DataFrame, template: int = TEMPLATE) -> DataFrame:
     work = shared_dir(spark, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_and_path(F.col("url"))[0], F.lit("")))
-    first = rows.where("host <> ''").groupBy("host").agg(F.min("page_id").alias("page_id"))
 
     def trees(batches):
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "tree": [json.dumps(skeleton(parse(x or ""))) for x in pdf["html"]]})
+            yield pd.DataFrame({"host": pdf["host"], "tree": [json.dumps(skeleton(parse(x))) for x in pdf["html"]]})
 
-    tree = stored(rows.join(stored(first, f"{work}/first"), ["host", "page_id"]).mapInPandas(trees, "host string, tree string").groupBy("host").agg(F.min("tree").alias("tree")), f"{work}/trees")
+    def merged(batches):
+        at, tree = None, None
+        for pdf in batches:
+            for host, part, t in zip(pdf["host"], pdf["part"], pdf["tree"], strict=True):
+                if (host, part) == at:
+                    tree = merge(tree, json.loads(t))
+                    continue
+                if at:
+                    yield pd.DataFrame({"host": [at[0]], "part": [at[1]], "tree": [json.dumps(tree)]})
+                at, tree = (host, part), json.loads(t)
+        if at:
+            yield pd.DataFrame({"host": [at[0]], "part": [at[1]], "tree": [json.dumps(tree)]})
+
+    # Sorted, so the reference is the same in every run.
+    tree = rows.where("host <> '' AND trim(html) <> ''").mapInPandas(trees, "host string, tree string").distinct()
+    tree = tree.withColumn("part", F.expr(f"pmod(xxhash64(tree), {PARTS})").cast("int"))
+    shape = "host string, part int, tree string"
+    tree = stored(tree.select("host", "part", "tree").repartition("host", "part").sortWithinPartitions("host", "part", "tree").mapInPandas(merged, shape), f"{work}/trees")
+    tree = tree.select("host", F.lit(0).alias("part"), "tree").repartition("host").sortWithinPartitions("host", "tree")
+    tree = stored(tree.mapInPandas(merged, shape).select("host", "tree"), f"{work}/tree")
 
     def cut(batches):
         kept: dict = {}

@@ -240,6 +240,15 @@ def test_html_aligns_wide_levels_in_full():
     assert html.align(page, html.skeleton(html.parse(f"<body>{rows}</body>")), 0, out) == 602
 
 
+def test_html_learns_the_template_from_all_pages(spark):
+    assert html.merge(["b", [["p", []]]], ["b", [["h", []], ["p", [["i", []]]], ["u", []]]]) == ["b", [["h", []], ["p", [["i", []]]], ["u", []]]]
+    page = "<body><h2>Site</h2><p>own {}</p>{}</body>"
+    rows = [(1, "http://a.b/1", None), (2, "http://a.b/2", " "), (3, "http://a.b/3", page.format(3, ""))]
+    rows += [(i, f"http://a.b/{i}", page.format(i, "<ul><li>Tell others</li></ul>")) for i in range(4, 12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "", 2: ""} | {i: f"own {i}" for i in range(3, 12)}
+
+
 def test_rules(docs):
     got = {r.doc_id: r for r in rules.clean_lines(docs).collect()}
     assert len(got) == 78 and got[70].n_words == 0 and not got[70].kept
