@@ -298,7 +298,7 @@ def blocks(source: str | None, tree: list | None) -> list[tuple[int, bool, str]]
 def extract(pages: DataFrame, template: int = TEMPLATE) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages.
 
-    Null or empty html: empty text. A page alone on its host has no template. If a template would
+    Null or empty html: empty text. A host of less than template different pages has no template. If a template would
     take the whole text of a page's main region, nothing is taken from it. Repeated rows stay;
     other columns are not read.
     """
@@ -349,7 +349,8 @@ def extract(pages: DataFrame, template: int = TEMPLATE) -> DataFrame:
     found = rows.join(tree, "host", "left").mapInPandas(cut, "page_id long, url string, host string, blocks array<struct<node: int, main: boolean, text: string>>, page string")
     found = stored(found, f"{work}/blocks", compression="zstd")
     each = found.select("host", "page", F.explode("blocks").alias("b")).where("b.node >= 0").select("host", "page", "b.node", F.xxhash64("b.text").alias("h"))
-    same = each.groupBy("host", "node").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.approx_count_distinct("page").alias("pages")).where(f"lo = hi AND pages >= {template}")
+    each = each.groupBy("host", "node", "page").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    same = each.groupBy("host", "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("pages")).where(f"lo = hi AND pages >= {template}")
     same = stored(same.groupBy("host").agg(F.collect_set("node").alias("fixed")), f"{work}/template")
 
     out = found.join(same, "host", "left").withColumn("fixed", F.coalesce("fixed", F.expr("CAST(array() AS array<int>)")))

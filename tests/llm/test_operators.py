@@ -240,6 +240,14 @@ def test_html_aligns_wide_levels_in_full():
     assert html.align(page, html.skeleton(html.parse(f"<body>{rows}</body>")), 0, out) == 602
 
 
+def test_html_counts_pages_exactly(spark):
+    rows = [(5 * h + k, f"http://h{h}.x/{k}", f"<body><p>same</p><p>own {h} {k}</p></body>") for h in range(400) for k in range(5)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got if "same" in r.text} == set()
+    few = html.extract(spark.createDataFrame([r for r in rows if r[0] % 5 < 4], "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith("same own") for r in few)
+
+
 def test_html_learns_the_template_from_all_pages(spark):
     assert html.merge(["b", [["p", []]]], ["b", [["h", []], ["p", [["i", []]]], ["u", []]]]) == ["b", [["h", []], ["p", [["i", []]]], ["u", []]]]
     page = "<body><h2>Site</h2><p>own {}</p>{}</body>"
