@@ -77,7 +77,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", grade), ("minhash near-dedup", near_dedup), ("suffix-array dedup", repeats), ("benchmark decontamination", decontaminate), ("best-fit packing", pack)]
 
-#: Training, minhash and tokenizing can't be said in SQL; tests hold stages against brute force.
+#: Training, minhash and tokenizing can't be said in SQL; tests/test_pipeline.py holds run() and the stages against brute
+#: force, grading against planted grades.
 ORACLE_SQL = None
 
 
