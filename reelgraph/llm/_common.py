@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES = 2 << 20
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout, and keep their batches small.
+    """Let Python workers import this package when it is run from a checkout, and bound their batches by bytes.
 
     Texts may be long: a batch of Spark's usual 10,000 rows can take a worker hundreds of MB.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") == "64m":  # not set by the user
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
