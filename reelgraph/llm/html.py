@@ -1,20 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host come from one program, so their trees align. The trees of tags of all its pages that have
-html are merged into its reference, by simple tree matching: nodes that match are one, others are put between
-them. The pages are then aligned with the reference in the same way. Nodes
-whose text is the same in all aligned pages, of at least TEMPLATE different pages, are the template;
-the others are slots. Text is what slots hold inside the main region (article or main, else the body),
-without the elements that can't be content: menus, headers, footers, asides, forms, scripts, and
-whatever a class, id or role says is an advert, a notice, a comment or the like.
+Pages of a host come from one program, so their trees align. A page's tree of block elements is folded
+first: children of the same shape under one parent are one node, as a list's items are. The distinct
+trees of a host are merged into its wrapper by simple tree matching: nodes that match are one, others
+are put between them; then each tree is aligned with the wrapper in the same way, once however many
+pages have it. What a wrapper node holds on nearly all pages is template; nodes outside the article
+whose text is links are menus; the others are slots. Text is what slots hold inside the main region
+(article or main, else the body), without elements that HTML says are no content (menus, headers,
+footers, asides, forms, scripts) or whose class, id or role says so (adverts, notices, comments).
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as _html
-import json
 import re
+from collections.abc import Generator, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from ._common import on_workers, shared_dir, stored
 from .urls import host_and_path
 
-#: Different pages that must agree on a node's text, and children products up to which a level's whole table is kept.
-TEMPLATE, FULL = 5, 250_000
-#: Parts in which the trees of a host are merged before those are; rows are dealt by it, nothing is left out.
-PARTS = 256
+#: Different pages that must agree on a text, the share of a node's pages that they must be, and the share of a node's
+#: letters that must be links to make it a menu.
+TEMPLATE, SHARE, LINKS = 3, 0.9, 0.7
+#: Parts in which the trees of a host are merged before those are, and in which its pages meet the wrapper; rows are
+#: dealt by them, nothing is left out.
+PARTS, SALT = 64, 16
 #: Elements of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -37,17 +41,19 @@ NEVER = frozenset("head script style noscript template iframe textarea title nav
 AWAY = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# A quote counts after an equals sign only, as in browsers; a tag that doesn't end is none.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Node:
-    __slots__ = ("tag", "away", "parts", "kids")
+    __slots__ = ("tag", "away", "parts", "kids", "number")
 
     def __init__(self, tag: str, away: bool):
-        self.tag, self.away, self.parts, self.kids = tag, away, [], []
+        self.tag, self.away, self.parts, self.kids, self.number = tag, away, [], [], -1
 
 
+@lru_cache(4096)
 def _away(tag: str, attrs: str) -> bool:
     if tag in NEVER:
         return True
@@ -104,7 +110,7 @@ def parse(source: str) -> Node:
         node = Node(tag, _away(tag, m[3]))
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -115,246 +121,304 @@ def parse(source: str) -> Node:
     return root
 
 
-def skeleton(node: Node) -> list:
-    return [node.tag, [skeleton(k) for k in node.kids if k.tag not in VOID and not k.away]]
+Tree = tuple[tuple[str, int], ...]  # (tag, number of children) of every node, parents first
 
 
-def _size(t: list) -> int:
-    return 1 + sum(_size(k) for k in t[1])
+class Shape:
+    """A node of a folded tree."""
 
+    __slots__ = ("tag", "kids")
 
-def _wide(kids: list[Node], trees: list[list]) -> list[tuple[int, int]]:
-    """Pairs (i, j) of a best matching of two long rows of children, by Hirschberg's halving.
-
-    Equal children at both ends belong together. What two children match depends on their shapes only.
-    """
-    known: dict = {}
-    mine = [known.setdefault(json.dumps(skeleton(k)), len(known)) for k in kids]
-    theirs = [known.setdefault(json.dumps(t), len(known)) for t in trees]
-    lo, hi, end = 0, len(kids), len(trees)
-    while lo < min(hi, end) and mine[lo] == theirs[lo]:
-        lo += 1
-    while lo < min(hi, end) and mine[hi - 1] == theirs[end - 1]:
-        hi, end = hi - 1, end - 1
-    pairs = [(i, i) for i in range(lo)] + [(hi + i, end + i) for i in range(len(kids) - hi)]
-    there, place = np.unique(np.array(theirs[lo:end], np.int64), return_inverse=True)
-    tree = dict(zip(theirs, trees, strict=True))
-    weight: dict[int, np.ndarray] = {}
-    for i in range(lo, hi):
-        if mine[i] not in weight:
-            weight[mine[i]] = np.array([align(kids[i], tree[t], 0, {}) for t in there.tolist()], np.int64)[place]
-
-    def last(rows, a: int, z: int, step: int) -> np.ndarray:
-        best = np.zeros(z - a + 1, np.int64)
-        for i in rows:
-            w = weight[mine[i]][a:z][::step]
-            best[1:] = np.maximum(best[:-1] + w, best[1:])
-            np.maximum.accumulate(best, out=best)
-        return best
-
-    todo = [(lo, hi, 0, end - lo)]
-    while todo:
-        i, k, a, z = todo.pop()
-        if i == k or a == z:
-            continue
-        if k - i == 1:
-            w = weight[mine[i]][a:z]
-            if w.max() > 0:
-                pairs.append((i, lo + a + int(w.argmax())))
-            continue
-        half = (i + k) // 2
-        at = a + int((last(range(i, half), a, z, 1) + last(range(k - 1, half - 1, -1), a, z, -1)[::-1]).argmax())
-        todo += [(i, half, a, at), (half, k, at, z)]
-    return pairs
+    def __init__(self, tag: str, kids: list[Shape]):
+        self.tag, self.kids = tag, kids
 
 
-def align(node: Node, tree: list, number: int, out: dict) -> int:
-    """Simple tree matching of a page's node with a reference tree; out: id(node) -> reference number.
-
-    Returns the matched nodes. Children keep their order; levels of over FULL pairs are matched
-    as well as others, in linear memory.
-    """
-    if node.tag != tree[0]:
-        return 0
-    out[id(node)] = number
-    kids = [k for k in node.kids if k.tag not in VOID and not k.away]
-    numbers, at = [], number + 1
-    for t in tree[1]:
-        numbers.append(at)
-        at += _size(t)
-    if not kids or not tree[1]:
-        return 1
-    if len(kids) * len(tree[1]) > FULL:
-        total = 1
-        for i, j in _wide(kids, tree[1]):
-            total += align(kids[i], tree[1][j], numbers[j], out)
-        return total
-    m, n = len(kids), len(tree[1])
-    each: dict = {}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        row, up = best[i + 1], best[i]
-        for j in range(n):
-            w = 0
-            if kids[i].tag == tree[1][j][0]:
-                if kids[i].kids or tree[1][j][1]:
-                    own: dict = {}
-                    w = align(kids[i], tree[1][j], numbers[j], own)
-                    each[i, j] = own
+def fold(root: Node) -> str:
+    """The folded tree of a page's block elements as text; every element gets its node's number in it."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(k for k in node.kids if k.tag not in VOID)
+    known: dict[tuple, int] = {}
+    shapes: list[tuple[str, tuple[int, ...]]] = []
+    size: list[int] = []
+    of: dict[int, int] = {}
+    under: dict[int, tuple[int, ...]] = {}  # of an inline element: the blocks in it, which count as its parent's
+    for node in reversed(order):
+        kids = tuple(dict.fromkeys(x for k in node.kids if k.tag not in VOID for x in ((of[id(k)],) if k.tag in BLOCK else under[id(k)])))
+        if node.tag not in BLOCK:
+            under[id(node)] = kids
+            continue
+        shape = known.setdefault((node.tag, kids), len(known))
+        if shape == len(shapes):
+            shapes.append((node.tag, kids))
+            size.append(1 + sum(size[k] for k in kids))
+        of[id(node)] = shape
+    root.number = 0
+    places: dict[int, dict[int, int]] = {}
+    for node in order:
+        place = places.pop(id(node), None)
+        if place is None:
+            at, place = node.number + 1, {}
+            for k in shapes[of[id(node)]][1]:
+                place[k] = at
+                at += size[k]
+        for k in node.kids:
+            if k.tag in VOID:
+                continue
+            if k.tag in BLOCK:
+                k.number = place[of[id(k)]]
+            else:
+                k.number, places[id(k)] = node.number, place
+    out, todo = [], [of[id(root)]]
+    while todo:
+        tag, kids = shapes[todo.pop()]
+        out.append(f"{tag} {len(kids)}")
+        todo.extend(reversed(kids))
+    return ";".join(out)
+
+
+def unfold(text: str) -> Shape:
+    """The tree that fold() wrote."""
+    top = Shape("", [])
+    stack = [(top, 1)]
+    for x in text.split(";"):
+        tag, n = x.rsplit(" ", 1)
+        while not stack[-1][1]:
+            stack.pop()
+        node, left = stack[-1]
+        stack[-1] = (node, left - 1)
+        node.kids.append(Shape(tag, []))
+        stack.append((node.kids[-1], int(n)))
+    return top.kids[0]
+
+
+def written(tree: Shape) -> str:
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        out.append(f"{node.tag} {len(node.kids)}")
+        todo.extend(reversed(node.kids))
+    return ";".join(out)
+
+
+def _match(a: Shape, b: Shape) -> Generator:
+    """Simple tree matching of two nodes of one tag: (matched nodes, pairs as nested lists). Yields the pairs of
+    children it needs to know first, so depth costs no recursion."""
+    m, n = len(a.kids), len(b.kids)
+    if not m or not n:
+        return 1, [(a, b)]
+    weight, under = np.zeros((m, n), np.int64), {}
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            if x.tag == y.tag:
+                if x.kids and y.kids:
+                    weight[i, j], under[i, j] = yield x, y
                 else:
-                    w = 1
-            row[j + 1] = max(up[j] + w, up[j + 1], row[j])
-    i, j, total = m, n, 1 + best[m][n]
+                    weight[i, j] = 1
+    best = np.zeros((m + 1, n + 1), np.int64)
+    for i in range(m):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, :-1] + weight[i], best[i, 1:]))
+    i, j, pairs = m, n, [(a, b)]
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        if best[i, j] == best[i - 1, j]:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif best[i, j] == best[i, j - 1]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out |= each.get((i, j), {id(kids[i]): numbers[j]})
-    return total
+            pairs.append(under.get((i, j)) or (a.kids[i], b.kids[j]))
+    return 1 + int(best[m, n]), pairs
 
 
-def _node(tree: list) -> Node:
-    node = Node(tree[0], False)
-    node.kids = [_node(t) for t in tree[1]]
-    return node
-
+def align(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
+    """Pairs of nodes of a best simple tree matching; none if the roots differ."""
+    if a.tag != b.tag:
+        return []
+    stack, got = [_match(a, b)], None
+    while stack:
+        try:
+            x, y = stack[-1].send(got)
+            stack.append(_match(x, y))
+            got = None
+        except StopIteration as done:
+            stack.pop()
+            got = done.value
+    out, todo = [], [got[1]]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x)
+        else:
+            todo.extend(x)
+    return out
 
-def merge(tree: list, other: list) -> list:
-    """A tree with all nodes of both; those that simple tree matching pairs are one."""
-    top, out = _node(other), {}
-    if align(top, tree, 0, out) == _size(other):
-        return tree
 
-    def both(node: Node, t: list, number: int) -> list:
-        place = {out[id(k)]: i for i, k in enumerate(node.kids) if id(k) in out}
-        kids, i, at = [], 0, number + 1
-        for x in t[1]:
-            j = place.get(at)
-            if j is None:
-                kids.append(x)
+def merge(tree: Shape, other: Shape) -> Shape:
+    """tree with all nodes of both; those that simple tree matching pairs are one."""
+    pairs = align(tree, other)
+    mine = {id(b): a for a, b in pairs}
+    for a, b in pairs:
+        place = {id(k): i for i, k in enumerate(a.kids)}
+        kids, done = [], 0
+        for k in b.kids:
+            if (x := mine.get(id(k))) is None:
+                kids.append(k)
             else:
-                kids += [skeleton(k) for k in node.kids[i:j]] + [both(node.kids[j], x, at)]
-                i = j + 1
-            at += _size(x)
-        return [t[0], kids + [skeleton(k) for k in node.kids[i:]]]
+                at = place[id(x)]
+                kids += a.kids[done : at + 1]
+                done = at + 1
+        a.kids = kids + a.kids[done:]
+    return tree
 
-    return both(top, tree, 0)
 
+def numbers(tree: Shape, wrapper: Shape) -> list[int]:
+    """For every node of tree, parents first, the number of its node in the wrapper, or -1."""
+    number, todo, i = {}, [wrapper], 0
+    while todo:
+        node = todo.pop()
+        number[id(node)] = i
+        i += 1
+        todo.extend(reversed(node.kids))
+    at = {id(a): number[id(b)] for a, b in align(tree, wrapper)}
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        out.append(at.get(id(node), -1))
+        todo.extend(reversed(node.kids))
+    return out
 
-def blocks(source: str | None, tree: list | None) -> list[tuple[int, bool, str]]:
-    """(reference number or -1, in the main region, text) of every run of text between block ends."""
-    if not source:
-        return []
-    root = parse(source)
-    numbers: dict = {}
-    if tree:
-        align(root, tree, 0, numbers)
-    out: list[tuple[int, bool, str]] = []
+
+def blocks(root: Node) -> list[tuple[int, bool, int, str]]:
+    """(node, in the main region, characters in links, text) of every run of text between block ends."""
+    out: list[tuple[int, bool, int, str]] = []
     run: list[str] = []
-    where = [-1, False]
+    where = [-1, False, 0]
 
     def end() -> None:
         text = " ".join(_html.unescape("".join(run)).split())
         run.clear()
         if text:
-            out.append((where[0], where[1], text))
-
-    def walk(top: Node) -> None:
-        stack = [(top, iter(top.parts), -1, False)]
-        while stack:
-            node, parts, number, main = stack[-1]
-            for x in parts:
-                if isinstance(x, str):
-                    where[:] = [number, main]
-                    run.append(x)
-                    continue
-                if x.away or x.tag in RAW:
-                    if x.tag in BLOCK or x.tag in NEVER:
-                        where[:] = [number, main]
-                        end()
-                    continue
-                block = x.tag in BLOCK
-                if block:
-                    where[:] = [number, main]
-                    end()
-                if x.tag in VOID:
-                    continue
-                stack.append((x, iter(x.parts), numbers.get(id(x), -1) if block else number, main or x.tag in ("article", "main")))
-                break
-            else:
-                if node.tag in BLOCK:
-                    where[:] = [number, main]
+            out.append((where[0], where[1], min(where[2], len(text)), text))
+        where[2] = 0
+
+    stack = [(root, iter(root.parts), root.number, False, False)]
+    while stack:
+        node, parts, number, main, link = stack[-1]
+        for x in parts:
+            if isinstance(x, str):
+                where[:2] = [number, main]
+                if link:
+                    where[2] += len(x.strip())
+                run.append(x)
+                continue
+            if x.away or x.tag in RAW:
+                if x.tag in BLOCK or x.tag in NEVER:
+                    where[:2] = [number, main]
                     end()
-                stack.pop()
-        end()
+                continue
+            block = x.tag in BLOCK
+            if block:
+                where[:2] = [number, main]
+                end()
+            if x.tag in VOID:
+                continue
+            stack.append((x, iter(x.parts), x.number if block else number, main or x.tag in ("article", "main"), link or x.tag == "a"))
+            break
+        else:
+            if node.tag in BLOCK:
+                where[:2] = [number, main]
+                end()
+            stack.pop()
+    end()
+    return out
+
 
-    walk(root)
+BLOCKS = "page_id long, url string, host string, blocks array<struct<node: int, main: boolean, links: int, text: string>>, page long, tree string"
+
+
+def read_pages(rows: Iterable) -> list[tuple]:
+    out = []
+    for page, url, host, source in rows:
+        if not source or not source.strip():
+            out.append((page, url, host, [], 0, None))
+            continue
+        root = parse(source)
+        tree = fold(root)
+        own = [{"node": n, "main": m, "links": k, "text": x} for n, m, k, x in blocks(root)]
+        digest = hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        out.append((page, url, host, own, int.from_bytes(digest, "little", signed=True), tree if host else None))
     return out
 
 
+def _parsed(batches):
+    for pdf in batches:
+        yield pd.DataFrame(read_pages(zip(pdf["page_id"], pdf["url"], pdf["host"], pdf["html"], strict=True)), columns=["page_id", "url", "host", "blocks", "page", "tree"])
+
+
+def _merged(batches):
+    """One tree for each (host, part), whose rows follow each other."""
+    at, tree = None, None
+    for pdf in batches:
+        for host, part, t in zip(pdf["host"], pdf["part"], pdf["tree"], strict=True):
+            if (host, part) == at:
+                tree = merge(tree, unfold(t))
+                continue
+            if at:
+                yield pd.DataFrame({"host": [at[0]], "part": [at[1]], "tree": [written(tree)]})
+            at, tree = (host, part), unfold(t)
+    if at:
+        yield pd.DataFrame({"host": [at[0]], "part": [at[1]], "tree": [written(tree)]})
+
+
+def _numbered(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"host": pdf["host"], "key": pdf["key"], "numbers": [numbers(unfold(t), unfold(w)) for t, w in zip(pdf["tree"], pdf["wrapper"], strict=True)]})
+
+
 def extract(pages: DataFrame, template: int = TEMPLATE) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages.
 
-    Null or empty html: empty text. A host of less than template different pages has no template. If a template would
-    take the whole text of a page's main region, nothing is taken from it. Repeated rows stay;
-    other columns are not read.
+    Null or empty html: empty text. A host of less than template different pages has no template: its pages lose only
+    what HTML or a class says is no content. If the template would take all of a page's main region, nothing is
+    taken from it. A page without a host has no wrapper. Repeated rows stay, and count as one page; other columns are
+    not read. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     on_workers(spark)
     work = shared_dir(spark, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_and_path(F.col("url"))[0], F.lit("")))
+    found = stored(rows.select("page_id", "url", "host", "html").mapInPandas(_parsed, BLOCKS).withColumn("key", F.xxhash64("tree", F.length("tree"))), f"{work}/blocks", compression="zstd")
 
-    def trees(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "tree": [json.dumps(skeleton(parse(x))) for x in pdf["html"]]})
-
-    def merged(batches):
-        at, tree = None, None
-        for pdf in batches:
-            for host, part, t in zip(pdf["host"], pdf["part"], pdf["tree"], strict=True):
-                if (host, part) == at:
-                    tree = merge(tree, json.loads(t))
-                    continue
-                if at:
-                    yield pd.DataFrame({"host": [at[0]], "part": [at[1]], "tree": [json.dumps(tree)]})
-                at, tree = (host, part), json.loads(t)
-        if at:
-            yield pd.DataFrame({"host": [at[0]], "part": [at[1]], "tree": [json.dumps(tree)]})
-
-    # Sorted, so the reference is the same in every run.
-    tree = rows.where("host <> '' AND trim(html) <> ''").mapInPandas(trees, "host string, tree string").distinct()
-    tree = tree.withColumn("part", F.expr(f"pmod(xxhash64(tree), {PARTS})").cast("int"))
+    # Sorted, so the wrapper is the same in every run.
     shape = "host string, part int, tree string"
-    tree = stored(tree.select("host", "part", "tree").repartition("host", "part").sortWithinPartitions("host", "part", "tree").mapInPandas(merged, shape), f"{work}/trees")
-    tree = tree.select("host", F.lit(0).alias("part"), "tree").repartition("host").sortWithinPartitions("host", "tree")
-    tree = stored(tree.mapInPandas(merged, shape).select("host", "tree"), f"{work}/tree")
-
-    def cut(batches):
-        kept: dict = {}
-        for pdf in batches:
-            out = []
-            for page, url, host, source, t in zip(pdf["page_id"], pdf["url"], pdf["host"], pdf["html"], pdf["tree"], strict=True):
-                if t is not None and t not in kept:
-                    if len(kept) > 200:
-                        kept.clear()
-                    kept[t] = json.loads(t)
-                out.append((page, url, host, [{"node": n, "main": m, "text": x} for n, m, x in blocks(source, kept.get(t))], hashlib.blake2b((source or "").encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()))
-            yield pd.DataFrame(out, columns=["page_id", "url", "host", "blocks", "page"])
-
-    # Spark sends the trees to every task only while they are under its broadcast threshold.
-    found = rows.join(tree, "host", "left").mapInPandas(cut, "page_id long, url string, host string, blocks array<struct<node: int, main: boolean, text: string>>, page string")
-    found = stored(found, f"{work}/blocks", compression="zstd")
-    each = found.select("host", "page", F.explode("blocks").alias("b")).where("b.node >= 0").select("host", "page", "b.node", F.xxhash64("b.text").alias("h"))
-    each = each.groupBy("host", "node", "page").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    same = each.groupBy("host", "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("pages")).where(f"lo = hi AND pages >= {template}")
-    same = stored(same.groupBy("host").agg(F.collect_set("node").alias("fixed")), f"{work}/template")
-
-    out = found.join(same, "host", "left").withColumn("fixed", F.coalesce("fixed", F.expr("CAST(array() AS array<int>)")))
-    out = out.withColumn("region", F.when(F.exists("blocks", lambda b: b["main"]), F.filter("blocks", lambda b: b["main"])).otherwise(F.col("blocks")))
-    out = out.withColumn("slots", F.filter("region", lambda b: ~F.array_contains(F.col("fixed"), b["node"])))
+    trees = stored(found.where("tree IS NOT NULL").select("host", "key", "tree").distinct(), f"{work}/trees")
+    part = trees.select("host", F.pmod("key", F.lit(PARTS)).cast("int").alias("part"), "tree").repartition("host", "part").sortWithinPartitions("host", "part", "tree").mapInPandas(_merged, shape)
+    whole = part.select("host", F.lit(0).alias("part"), "tree").repartition("host").sortWithinPartitions("host", "part", "tree").mapInPandas(_merged, shape)
+    wrappers = stored(whole.select("host", F.col("tree").alias("wrapper")), f"{work}/wrappers")
+    aligned = stored(trees.join(wrappers, "host").repartition("host", "key").mapInPandas(_numbered, "host string, key long, numbers array<int>"), f"{work}/aligned")
+
+    # A host's pages meet its rows in SALT parts; small tables go to every task if Spark finds them under its threshold.
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    found = found.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALT)))
+    met = found.select("host", "key", "page", "salt", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["main"].alias("main"), b["links"].alias("links"), F.length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h"))).alias("b"))
+    met = met.join(salted(aligned), ["host", "key", "salt"]).select("host", "page", F.inline(F.transform("b", lambda b: F.struct(F.get("numbers", b["node"]).alias("node"), b["main"].alias("main"), b["links"].alias("links"), b["n"].alias("n"), b["h"].alias("h")))))
+    each = met.where("node >= 0").groupBy("host", "node", "page", "h").agg(F.max("main").alias("main"), F.sum("links").alias("links"), F.sum("n").alias("n"))
+    same = each.groupBy("host", "node", "h").agg(F.count("*").alias("n"))
+    per = each.groupBy("host", "node", "page").agg(F.max("main").alias("main"), F.sum("links").alias("links"), F.sum("n").alias("n"))
+    per = stored(per.groupBy("host", "node").agg(F.count("*").alias("pages"), F.max("main").alias("main"), (F.sum("links") >= LINKS * F.sum("n")).alias("menu")).where(f"pages >= {template}"), f"{work}/nodes")
+    constant = same.where(f"n >= {template}").join(per, ["host", "node"]).where(f"n >= {SHARE} * pages").groupBy("host").agg(F.collect_set(F.struct("node", "h")).alias("fixed"))
+    menus = per.where("menu AND NOT main").groupBy("host").agg(F.collect_set("node").alias("menus"))
+    learnt = stored(constant.join(menus, "host", "full"), f"{work}/template")
+
+    ruled = stored(aligned.join(learnt, "host"), f"{work}/ruled")
+    out = found.join(salted(ruled), ["host", "key", "salt"], "left")
+    region = F.when(F.exists("blocks", lambda b: b["main"]), F.filter("blocks", lambda b: b["main"])).otherwise(F.col("blocks"))
+    no = F.lit(False)
+    taken = lambda b: F.coalesce(F.array_contains("fixed", F.struct(F.get("numbers", b["node"]).alias("node"), F.xxhash64(b["text"]).alias("h"))), no) | F.coalesce(F.array_contains("menus", F.get("numbers", b["node"])), no)
+    out = out.withColumn("region", region)
+    out = out.withColumn("slots", F.filter("region", lambda b: ~taken(b)))
     out = out.withColumn("text", F.array_join(F.transform(F.when(F.size("slots") > 0, F.col("slots")).otherwise(F.col("region")), lambda b: b["text"]), " "))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

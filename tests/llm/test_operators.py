@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from reelgraph.llm import chat, decontam, html, near_dup, packing, quality, rules, suffix, tokens, urls
 from reelgraph.llm.queries import RULES, vocabulary
 
@@ -59,25 +60,53 @@ def test_no_crowded_bucket_is_missed(spark):
     assert near_dup.crowded(met.where("other IS NULL OR open")).count() == 0
 
 
-def test_repeats(docs, rows):
+def repeats(rows):
+    """[(n_bytes, n_removed, spans, digest)] of rows (doc_id, text), by brute force."""
     first = {}
-    for i, t, _ in rows:
+    for i, t in rows:
         b = (t or "").encode()
-        for k in range(len(b) - 49):
-            first.setdefault(b[k : k + 50], i)
-    want = {}
-    for i, t, _ in rows:
+        for k in range(len(b) - 49) if i is not None else ():
+            first[b[k : k + 50]] = min(i, first.get(b[k : k + 50], i))
+    out = []
+    for i, t in rows:
         b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        for k in range(len(b) - 49):
+        gone = np.zeros(len(b) + 2, bool)
+        for k in range(len(b) - 49) if i is not None else ():
             if first[b[k : k + 50]] < i:
-                gone[k : k + 50] = True
-        want[i] = (len(b), int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
-    for hot in (1000, 2):
-        suffix.HOT = hot
-        got = suffix.remove_repeats(docs, carry=("node",)).collect()
-        assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in got} == want
-    suffix.HOT = 1000
+                gone[k + 1 : k + 51] = True
+        edge = np.flatnonzero(gone[1:] != gone[:-1])
+        out.append((i, len(b), int(gone.sum()), edge.reshape(-1, 2).tolist(), hashlib.sha256(bytes(x for x, g in zip(b, gone[1:], strict=False) if not g)).hexdigest()))
+    return out
+
+
+def cut(df, **more):
+    return [(r.doc_id, r.n_bytes, r.n_removed, r.spans, r.kept_sha256) for r in suffix.remove_repeats(df, **more).collect()]
+
+
+@pytest.mark.parametrize(("range_rows", "stretch"), [(60_000, 1 << 19), (3, 1 << 19), (60_000, 80)])
+def test_repeats(docs, rows, monkeypatch, range_rows, stretch):
+    monkeypatch.setattr(suffix, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(suffix, "STRETCH", stretch)
+    assert sorted(cut(docs, carry=("node",))) == sorted(repeats([r[:2] for r in rows]))
+
+
+def test_repeats_of_odd_rows(spark):
+    rng = random.Random(9)
+    word = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    a, b, line = word(60), word(60), "a line that very many documents have, whatever stands around it."
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, None), (6, b[:100] + a[50:]), (7, None), (8, ""), (9, "é" * 40 + a), (9, a + "é" * 40), (10, "日" * 3000 + word(3000)), (11, "日" * 2999)]
+    rows += [(20 + i, word(8) + line + word(8)) for i in range(60)] + [(90, "abc" * 900), (91, "bca" * 50)]
+    extra = [(i, t, f"s{k}", [k], None) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(extra, "doc_id long, text string, spans string, n_bytes array<int>, doc long").repartition(4)
+    got = suffix.remove_repeats(df, carry=("spans", "n_bytes", "doc")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.spans, r.kept_sha256) for r in got], key=key) == sorted(repeats(rows), key=key)
+    assert all(r.carried.n_bytes == [int(r.carried.spans[1:])] and r.carried.doc is None for r in got)
+    for r in got:
+        raw = (rows[r.carried.n_bytes[0]][1] or "").encode()
+        for s, e in reversed(r.spans):
+            raw = raw[:s] + raw[e:]
+        assert r.text == raw.decode("utf-8", "ignore")
 
 
 def test_multikey_order():
@@ -220,41 +249,72 @@ def test_html(spark):
     assert got == {1: "Head & x one two three four", 2: "Head & x uno two three four", 3: "", 4: ""}
 
 
-def test_html_aligns_wide_levels_in_full():
+PAGES = "page_id long, url string, html string"
+
+
+def test_html_trees():
+    def most(a, b):  # simple tree matching, by recursion
+        if a.tag != b.tag:
+            return 0
+        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + most(x, y))
+        return 1 + best[-1][-1]
+
     rng = random.Random(7)
-    shapes = ["<p>x</p>", "<ul><li>a</li></ul>", "<ul><li>a</li><li>b</li></ul>", "<h2>t</h2>", "<blockquote><p>q</p></blockquote>"]
-    full = html.FULL
-    try:
-        for _ in range(60):
-            a, b = (html.parse("<body>" + "".join(rng.choices(shapes, k=rng.randint(1, 12))) + "</body>") for _ in range(2))
-            got = []
-            for html.FULL in (full, 0):
-                out = {}
-                got.append((html.align(a, html.skeleton(b), 0, out), len(out)))
-                assert len(set(out.values())) == len(out)
-            assert got[0] == got[1] and got[0][0] == got[0][1]
-    finally:
-        html.FULL = full
-    rows = "".join(f"<p>{i}</p>" for i in range(600))
-    page, out = html.parse(f"<body><h2>stray</h2>{rows}</body>"), {}
-    assert html.align(page, html.skeleton(html.parse(f"<body>{rows}</body>")), 0, out) == 602
+    shapes = ["<p>x</p>", "<ul><li>a</li></ul>", "<ul><li>a</li><li><p>b</p></li></ul>", "<h2>t</h2>", "<blockquote><p>q</p></blockquote>", "<div><div><p>u</p></div><h2>k</h2></div>", "<span><div>i</div></span>"]
+    for _ in range(60):
+        texts = [html.fold(html.parse("<body>" + "".join(rng.choices(shapes, k=rng.randint(1, 9))) + "</body>")) for _ in range(2)]
+        a, b = map(html.unfold, texts)
+        assert [html.written(a), html.written(b)] == texts
+        pairs = html.align(a, b)
+        assert len(pairs) == most(a, b) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+        whole = html.merge(html.unfold(texts[0]), html.unfold(texts[1]))
+        for t in texts:  # both trees are in the merged one whole
+            assert -1 not in (n := html.numbers(html.unfold(t), whole)) and len(set(n)) == len(n)
+
+
+def test_html_folds_what_repeats(spark):
+    one, two = (html.fold(html.parse("<body><h1>a</h1>" + "<p>x</p><h2>y</h2>" * n + "</body>")) for n in (1, 700))
+    assert one == two == "html 1;body 3;h1 0;p 0;h2 0"
+
+
+def test_html_deep_and_broken(spark):
+    deep = "<div>" * 5000 + "in" + "</div>" * 5000
+    rows = [(1, "http://d.x/1", deep), (2, "http://d.x/2", deep.replace("in", "out")), (3, "http://d.x/3", '<p class="a"">x</p>'), (4, "http://e.x/", "<p>a</p><p b"), (5, "http://e.x/", "<p>&lt;b&gt; 1 < 2</p></b><!-- x"), (6, None, "<p>no host</p>"), (7, "http://e.x/", " "), (7, "http://e.x/", None)]
+    got = sorted((r.page_id, r.text) for r in html.extract(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == [(1, "in"), (2, "out"), (3, "x"), (4, "a"), (5, "<b> 1 < 2"), (6, "no host"), (7, ""), (7, "")]
+
+
+def test_html_takes_constant_nodes_without_telling_classes(spark):
+    page = "<body><div><div>Home</div><div>Shop</div></div><div class='x1'><h2>Site</h2><p>own {}</p>{}</div><div>Made by us</div></body>"
+    rows = [(1, "http://a.b/1", None), (2, "http://a.b/2", " "), (3, "http://a.b/3", page.format(3, ""))]
+    rows += [(i, f"http://a.b/{i}", page.format(i, "<ul><li>Tell others</li></ul>" if i % 2 else "<p>more</p>" * (i - 3))) for i in range(4, 12)]
+    many = spark.createDataFrame(rows, PAGES).withColumn("blocks", F.lit(1)).withColumn("host", F.lit("x"))
+    got = {r.page_id: r.text for r in html.extract(many.repartition(3)).collect()}
+    assert got == {1: "", 2: "", 3: "own 3"} | {i: f"own {i}" if i % 2 else f"own {i}" + " more" * (i - 3) for i in range(4, 12)}
+    whole = {r.page_id: r.text for r in html.extract(many, template=10**9).collect()}
+    assert whole[5] == "Home Shop Site own 5 Tell others Made by us"
+
+
+def test_html_menus_by_their_links(spark):
+    page = "<div><a href=/>Go {0}</a> <a href=/>To {0}</a></div><div><p>text {0} <a href=/>link</a></p></div>"
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(i, f"http://a.b/{i}", page.format(i)) for i in range(4)], PAGES)).collect()}
+    assert got == {i: f"text {i} link" for i in range(4)}
 
 
 def test_html_counts_pages_exactly(spark):
-    rows = [(5 * h + k, f"http://h{h}.x/{k}", f"<body><p>same</p><p>own {h} {k}</p></body>") for h in range(400) for k in range(5)]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    rows = [(5 * h + k, f"http://h{h}.x/{k}", f"<body><p>same</p><p>own {h} {k}</p></body>") for h in range(400) for k in range(3)]
+    got = html.extract(spark.createDataFrame(rows, PAGES)).collect()
     assert {r.text for r in got if "same" in r.text} == set()
-    few = html.extract(spark.createDataFrame([r for r in rows if r[0] % 5 < 4], "page_id long, url string, html string")).collect()
-    assert all(r.text.startswith("same own") for r in few)
+    few = html.extract(spark.createDataFrame([r for r in rows if r[0] % 5 < 2] * 2, PAGES)).collect()
+    assert len(few) == 1600 and all(r.text.startswith("same own") for r in few)
 
 
-def test_html_learns_the_template_from_all_pages(spark):
-    assert html.merge(["b", [["p", []]]], ["b", [["h", []], ["p", [["i", []]]], ["u", []]]]) == ["b", [["h", []], ["p", [["i", []]]], ["u", []]]]
-    page = "<body><h2>Site</h2><p>own {}</p>{}</body>"
-    rows = [(1, "http://a.b/1", None), (2, "http://a.b/2", " "), (3, "http://a.b/3", page.format(3, ""))]
-    rows += [(i, f"http://a.b/{i}", page.format(i, "<ul><li>Tell others</li></ul>")) for i in range(4, 12)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {1: "", 2: ""} | {i: f"own {i}" for i in range(3, 12)}
+def test_html_leaves_a_page_that_is_all_template(spark):
+    rows = [(i, f"http://a.b/{i}", f"<nav>{i}</nav><article><p>one</p><p>two</p></article>") for i in range(4)]
+    assert {r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"one two"}
 
 
 def test_rules(docs):
