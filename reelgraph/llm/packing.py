@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import on_workers, shared_dir, stored
-from .tokens import END_ID, encoder
+from .tokens import END_ID, encoded, encoder
 
 #: Nodes of the search, fillings enumerated at each, and pieces up to which fillings are used one by one.
 NODES, FILLINGS, ONE_BY_ONE = 3000, 400, 48
@@ -187,8 +187,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
         part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                raw = encode(text) + end
+            for i, ids in zip(pdf["doc_id"], encoded(pdf["text"], encode), strict=True):
+                raw = ids + end
                 n = len(raw) // 4
                 to = n % size or size
                 start, piece = 0, 0

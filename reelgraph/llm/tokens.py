@@ -14,6 +14,8 @@ import re
 import struct
 import zlib
 from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +35,11 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+    """texts -> their ids as little-endian unsigned 32-bit integers, by the tokenizers library.
 
     Byte-level BPE merges inside words only, so for Latin-1 texts without added tokens the library's
-    ids of each distinct word are remembered and joined; other texts go to the library whole.
+    ids of each distinct word are remembered and joined; other texts go to the library whole. New words
+    go to it many at a time.
     """
     if path in _encoders:
         return _encoders[path]
@@ -48,43 +51,77 @@ def encoder(path: str):
     pre = spec.get("pre_tokenizer") or {}
     by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
     added = [x["content"] for x in spec.get("added_tokens", [])]
-    find = re.compile(WORDS).findall
+    find, plain = re.compile(WORDS).findall, re.compile(rf" [{L}]+").fullmatch
+    vocabulary = tok.get_vocab()
+    blank = np.zeros(max(vocabulary.values()) + 1, bool)
+    blank[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True  # the blank as byte-level BPE writes it
     known: dict[str, bytes] = {}
     before: dict[str, bytes] = {}
 
     def whole(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(text: str | None) -> bytes:
-        nonlocal known, before
-        if not text:
-            return b""
+    def simple(text: str) -> bool:
         if not by_word or any(a in text for a in added):
-            return whole(text)
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return whole(text)
-        words = find(text)
-        own = set(words)
-        new = own.difference(known)
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known, before, new = {}, known, own
-            ask = []
-            for w in new:
-                if (x := before.get(w)) is None:
-                    ask.append(w)
-                else:
-                    known[w] = x
-            for w, e in zip(ask, tok.encode_batch_fast(ask, add_special_tokens=False) if ask else (), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return b"".join(map(known.__getitem__, words))
+            return False
+        return True
+
+    def learn(words: list[str]) -> None:
+        """Words of a blank and letters are split as they stand when one follows the other, so they share a call;
+        of their ids only the first of each begins with the blank."""
+        rows = [w for w in words if plain(w)]
+        for i in range(0, len(rows), 512):
+            part = rows[i : i + 512]
+            ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [*np.flatnonzero(blank[ids]).tolist(), len(ids)]
+            if len(cut) == len(part) + 1 and not cut[0]:
+                raw = ids.tobytes()
+                known.update((w, raw[4 * a : 4 * z]) for w, a, z in zip(part, cut, cut[1:], strict=False))
+        rest = [w for w in words if w not in known]
+        for w, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+
+    def encode(texts: Iterable[str | None]) -> list[bytes]:
+        nonlocal known, before
+        out: list[list] = []
+        gaps: list[tuple[list, int, str]] = []
+        for text in texts:
+            if not text or not simple(text):
+                out.append([whole(text)] if text else [])
+                continue
+            words = find(text)
+            got = list(map(known.get, words))
+            gaps += [(got, i, words[i]) for i, x in enumerate(got) if x is None]
+            out.append(got)
+        new = {w for _, _, w in gaps}
+        if len(known) + len(new) > WORDS_KEPT:
+            known, before = {}, known
+        ask = []
+        for w in new:
+            if (x := before.get(w)) is None:
+                ask.append(w)
+            else:
+                known[w] = x
+        learn(ask)
+        for got, i, w in gaps:
+            got[i] = known[w]
+        return [b"".join(x) for x in out]
 
     _encoders[path] = encode
     return encode
 
 
+def encoded(texts, encode, at_once: int = 64) -> Iterator[bytes]:
+    """encode() of many texts, some at a time."""
+    texts = list(texts)
+    for i in range(0, len(texts), at_once):
+        yield from encode(texts[i : i + at_once])
+
+
 class Wavelet:
     """Built from ids, written to bytes, and opened from a seekable binary file."""
 
@@ -197,15 +234,26 @@ class Wavelet:
     def count(self, x: int) -> int:
         return self.rank(x, self.n)
 
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Place of the k-th (from 0) such bit of a plane."""
+        ones = self.head["ones"][level]
+        before = ones if bit else [min(self.n, b * self.BLOCK) - n for b, n in enumerate(ones)]
+        b = bisect_right(before, k) - 1
+        return b * self.BLOCK + int(np.flatnonzero(self._bits(level, b) == bit)[k - before[b]])
+
     def select(self, x: int, k: int) -> int:
-        """Place of the k-th (from 0) id x; ValueError if there are fewer."""
+        """Place of the k-th (from 0) id x; ValueError if there are fewer. From the lowest plane up."""
         if not 0 <= k < self.count(x):
             raise ValueError("no such occurrence")
-        lo, hi = 0, self.n  # least i with rank(x, i) > k
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(x, mid) > k else (mid + 1, hi)
-        return lo - 1
+        x, at = int(np.searchsorted(self.alphabet, x)), 0
+        bits = [x >> (self.levels - 1 - level) & 1 for level in range(self.levels)]
+        for level, bit in enumerate(bits):
+            ones = self._ones(level, at)
+            at = self.head["zeros"][level] + ones if bit else at - ones
+        at += k
+        for level in reversed(range(self.levels)):
+            at = self._select(level, bits[level], at - self.head["zeros"][level] if bits[level] else at)
+        return at
 
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
@@ -232,13 +280,15 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     Manifest: (part, file, first long: ids of the part before this file, n_tokens). Parts are ranges
     of doc_id in order. A retried task writes files of other names, and only those in the manifest
     count. Null text is empty and has the end id only. Rows without a doc_id are left out; rows of
-    the same doc_id follow each other by text. Other columns are not read.
+    the same doc_id follow each other by the hash of their text, and may be in several parts. A document
+    is never cut, so a shard holds one at least. Other columns are not read. An empty table has no files.
     """
     spark = docs.sparkSession
     on_workers(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
 
     def run(batches):
         encode = encoder(tokenizer)
@@ -260,8 +310,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             held, ids, size = [], [], 0
 
         for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                x = encode(text) + end
+            for i, raw in zip(pdf["doc_id"], encoded(pdf["text"], encode), strict=True):
+                x = raw + end
                 held.append(i)
                 ids.append(x)
                 size += len(x) // 4
