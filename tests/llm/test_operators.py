@@ -162,17 +162,23 @@ def test_tokens_and_packing(docs, rows):
 def test_encoder(text):
     from tokenizers import Tokenizer
 
-    assert tokens.encoder(vocabulary())(text) == np.array(Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert tokens.encoder(vocabulary())([text, None]) == [np.array(Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
 
 
-def test_wavelet():
+@pytest.mark.parametrize("block", [1 << 19, 64])
+def test_wavelet(monkeypatch, block):
     import io
 
+    monkeypatch.setattr(tokens.Wavelet, "BLOCK", block)
+
     ids = np.random.default_rng(2).choice([5, 9, 70, 50256], 3000).astype("<u4")
     w = tokens.Wavelet(io.BytesIO(tokens.Wavelet.write(ids, np.array([1]), np.array([3000]))))
     assert (w.ids() == ids).all() and w.count(9) == (ids == 9).sum() and w.count(6) == 0
     assert [w.access(i) for i in range(0, 3000, 97)] == ids[::97].tolist()
-    assert w.select(70, 4) == np.flatnonzero(ids == 70)[4] and w.rank(5, 1234) == (ids[:1234] == 5).sum()
+    assert [w.select(x, k) for x in (5, 9, 70, 50256) for k in (0, 4, 600)] == [np.flatnonzero(ids == x)[k] for x in (5, 9, 70, 50256) for k in (0, 4, 600)]
+    with pytest.raises(ValueError, match="occurrence"):
+        w.select(6, 0)
+    assert w.rank(5, 1234) == (ids[:1234] == 5).sum()
 
 
 def test_pack_small():
@@ -237,9 +243,23 @@ def test_chat(spark):
 
 def test_urls(spark):
     pages = [(1, "http://A.Example.net/en/x"), (2, "https://example.net/de/"), (3, "x.com"), (4, None), (5, "ftp://b.org/fr/?q"), (6, "http://net"), (7, "http://example.com/de/a#b")]
-    for rate in (0.02, 0.9):
-        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), RULES, rate=rate).collect()}
+    for rate in (0.5, 0.98):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("net")).withColumn("rule", F.lit(0)), RULES, rate=rate).collect()}
         assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("org/fr/", "allow"), 6: (None, "allow"), 7: ("example.com/de/", "block")}
+    odd = spark.createDataFrame([(1, "http://net/x"), (1, "http://net/x"), (None, "http://net/"), (2, "http://" + "a." * 60 + "net/" + "b/" * 60)], "page_id long, url string")
+    assert sorted((r.page_id or 0, r.rule) for r in urls.judge_urls(odd, RULES).collect()) == [(0, "net/"), (1, "net/"), (1, "net/"), (2, "net/")]
+    assert urls.judge_urls(odd.limit(0), RULES).count() == 0 and urls.judge_urls(odd, []).where("rule IS NOT NULL").count() == 0
+
+
+def test_urls_of_many_rules(spark):
+    """20,000 rules over a universe of some 300,000 keys, all through the cascade."""
+    rules = [("block" if i % 3 else "allow", f"h{i}.example/{'p/' * (i % 2)}") for i in range(0, 40_000, 2)]
+    pages = spark.range(60_000).selectExpr("id AS page_id", "concat('http://w.h', id, '.example/', if(id % 5 = 0, 'q/', 'p/'), id) AS url")
+    known = {r: k for k, r in rules}
+    for r in urls.judge_urls(pages, rules).collect():
+        i = r.page_id
+        want = max((x for x in (f"h{i}.example/", f"h{i}.example/{'q' if i % 5 == 0 else 'p'}/") if x in known), key=len, default=None)
+        assert (r.rule, r.verdict) == (want, known.get(want, "allow"))
 
 
 def test_html(spark):
