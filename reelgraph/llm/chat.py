@@ -11,9 +11,11 @@ are doubled, so no marker can come from a text and reading back gives every turn
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import shared_dir, stored
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings of common chat templates, as a pattern of (first character)(rest).
 CONTROL = r"(<|\[)((?:\|im_start\||\|im_sep\||\|im_end\||\|endoftext\||/?s|/?<SYS>)>|/?INST\])"
@@ -30,36 +32,23 @@ def unescaped(x: Column) -> Column:
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans) per conversation.
 
-    loss_spans: [start, end) in code points of formatted, one for every text of loss_role. Null text
-    or role: empty. Null conv_id is a conversation of its own. Equal turn numbers are ordered by role
-    and text; repeated rows are repeated turns. Other columns are not read.
+    loss_spans: [start, end) in code points of formatted, and [first, last) in its UTF-8 bytes, one for every
+    text of loss_role. Null text or role: empty. Null conv_id is a conversation of its own. Equal turn numbers
+    are ordered by role and text, a null number comes last; repeated rows are repeated turns. Other columns are
+    not read. An empty table gives an empty result. Places are running sums over a conversation's turns, so its
+    cost grows in proportion to its length.
     """
-    row = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
-    t = F.col("t")
-    pieces = F.transform(
-        t,
-        lambda x, i: F.struct(
-            F.when((i > 0) & (F.get(t, i - 1)["role"] == x["role"]), F.lit(SEP))
-            .otherwise(F.concat(F.when(i > 0, F.lit(END + "\n")).otherwise(F.lit("")), F.lit(START), escaped(x["role"]), F.lit(SEP)))
-            .alias("lead"),
-            escaped(x["text"]).alias("body"),
-            (x["role"] == loss_role).alias("loss"),
-        ),
-    )
-    chats = chats.select("conv_id", pieces.alias("p"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)").alias("spans"))
-    spans = F.aggregate(
-        F.transform("p", lambda x: F.struct(F.length(x["lead"]).cast("long").alias("a"), F.length(x["body"]).cast("long").alias("b"), x["loss"].alias("loss"))),
-        zero,
-        lambda s, x: F.struct(
-            (s["at"] + x["a"] + x["b"]).alias("at"),
-            F.when(x["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + x["a"]).alias("start"), (s["at"] + x["a"] + x["b"]).alias("end"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    text = F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["body"])), ""), F.lit(END + "\n"))
-    return chats.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    before = F.lag("role").over(w)
+    own = F.concat(F.when(before.isNull(), F.lit("")).otherwise(F.lit(END + "\n")), F.lit(START), escaped(F.col("role")), F.lit(SEP))
+    rows = rows.select("conv_id", "turn", "role", "text", F.when(before == F.col("role"), F.lit(SEP)).otherwise(own).alias("lead"), escaped(F.col("text")).alias("body"))
+    upto = lambda size: F.sum(size("lead") + size("body")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    rows = rows.select("conv_id", upto(F.length).alias("end"), upto(F.octet_length).alias("last"), "lead", "body", (F.col("role") == loss_role).alias("loss"))
+    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("end", "last", "lead", "body", "loss"))).alias("t"))
+    text = F.concat(F.array_join(F.transform("t", lambda x: F.concat(x["lead"], x["body"])), ""), F.lit(END + "\n"))
+    span = lambda x: F.struct((x["end"] - F.length(x["body"])).alias("start"), x["end"].alias("end"), (x["last"] - F.octet_length(x["body"])).alias("first"), x["last"].alias("last"))
+    return chats.select("conv_id", text.alias("formatted"), F.transform(F.filter("t", lambda x: x["loss"]), span).alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -71,15 +60,24 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """The digests of the contract, read back from the formatted text."""
-    back = read_chats(format_chats(turns))
+    """The digests of the contract, read back from the formatted text that was written: turns by its marks,
+    what is trained on by the loss spans."""
+    spark = turns.sparkSession
+    path = f"{shared_dir(spark, 'chats')}/formatted"
+    chats = format_chats(turns)
+    stored(chats, path, compression="zstd")
+    # As bytes, so a span is cut out without counting characters from the start.
+    kinds = {f.name: f.dataType.simpleString() for f in chats.schema}
+    back = spark.read.schema(f"conv_id {kinds['conv_id']}, formatted binary, loss_spans {kinds['loss_spans']}").parquet(path).withColumnRenamed("formatted", "raw")
+    part = lambda s: F.substring("raw", (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")).cast("string")
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(part(s))), "")
+    back = read_chats(back.select("conv_id", F.col("raw").cast("string").alias("formatted"), loss.alias("trained")))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -38,18 +38,26 @@ def fingerprints(g: Column, w: int) -> Column:
     return F.when(F.size(g) > 0, F.array_distinct(least)).otherwise(g)
 
 
+def version(text: Column) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(text, F.length(text))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every distinct (doc_id, text).
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, version) of every row.
 
     n_hit: words inside an occurrence of an item's window; contaminated: they are at least 5 % of the
-    words. Null or wordless texts and items have no words and no windows. Repeated rows count once,
-    repeated items too. An empty benchmark leaves everything clean. Other columns are not read.
+    words. Null or wordless texts and items have no words and no windows. Repeated rows stay rows, and rows of
+    one doc_id are judged each by its own text (version); a null doc_id is as good as any. Repeated items count
+    once. An empty benchmark leaves everything clean, an empty table of documents gives an empty result.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     work = shared_dir(spark, "decontam")
     w = window - gram + 1
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("version"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("anon"), text.alias("text"), version(text).alias("version"))
+    row = ["doc_id", "anon", "version"]
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("words")).where("size(words) > 0").distinct()
     items = stored(items.withColumn("n", F.size("words")), f"{work}/items")
@@ -65,47 +73,56 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     for n in short:
         whole = items.where(f"n = {n}").withColumn("h", hashed).select("item_id", F.element_at(grams(F.col("h"), n), 1).alias("gram"), F.lit(n).alias("size"), F.lit(n).alias("wide"), F.lit(0).alias("before"), F.col("words").alias("item"))
         table = table.unionByName(whole)
-    table = stored(table, f"{work}/grams")
-
-    each = docs.select("doc_id", "version", words_of(F.col("text")).alias("words"))
-    each = each.select("doc_id", "version", F.size("words").cast("long").alias("n_words"), hashed.alias("h"))
+    # A passage that many items have is one row, with the set of them: a document meets the passage, not each item.
+    place = ["gram", "size", "wide", "before", "item"]
+    table = table.groupBy(*place).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    table = stored(table.withColumn("of", F.sha2(F.array_join("items", ","), 256)), f"{work}/grams")
+    sets = stored(table.select("of", "items").distinct(), f"{work}/sets")
+
+    each = docs.select(*row, words_of(F.col("text")).alias("words"))
+    each = each.select(*row, F.size("words").cast("long").alias("n_words"), hashed.alias("h"))
     # An array that a lambda reads is a column of its own, or it would be made anew for each element.
     each = each.withColumn("g", grams(F.col("h"), gram))
-    each = each.select("doc_id", "version", "n_words", "h", fingerprints(F.col("g"), w).alias("g"))
+    each = each.select(*row, "n_words", "h", fingerprints(F.col("g"), w).alias("g"))
     if short:
         each = each.withColumn("g", F.array_distinct(F.concat("g", *[grams(F.col("h"), n) for n in short])))
-    each = each.select("doc_id", "version", "n_words", F.explode_outer("g").alias("gram"))
+    each = each.select(*row, "n_words", F.posexplode_outer("g").alias("i", "gram"))
     met = each.join(table.select("gram").distinct().withColumn("met", F.col("gram")), "gram", "left")
-    met = stored(met.groupBy("doc_id", "version").agg(F.max("n_words").alias("n_words"), F.collect_set("met").alias("met")), f"{work}/met")
+    met = stored(met.groupBy(*row).agg(F.max("n_words").alias("n_words"), F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("times"), F.collect_set("met").alias("met")), f"{work}/met")
 
-    hit = docs.join(met.where("size(met) > 0").select("doc_id", "version", "met"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    hit = hit.select("doc_id", "version", "met", words_of(F.col("text")).alias("words")).withColumn("h", hashed)
+    hit = docs.join(met.where("size(met) > 0").select(*row, "met"), row).dropDuplicates(row)
+    hit = hit.select(*row, "met", words_of(F.col("text")).alias("words")).withColumn("h", hashed)
     found = None
     for n in [gram] + [x for x in short if x != gram]:
-        own = hit.select("doc_id", "version", "met", "words", F.posexplode(grams(F.col("h"), n)).alias("at", "gram")).where(F.array_contains("met", F.col("gram")))
-        own = own.select("doc_id", "version", "gram", "at", F.lit(n).alias("size"), F.least("at", F.lit(reach)).alias("left"), F.slice("words", F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.least("at", F.lit(reach)) + window).alias("near"))
+        own = hit.select(*row, "met", "words", F.posexplode(grams(F.col("h"), n)).alias("at", "gram")).where(F.array_contains("met", F.col("gram")))
+        own = own.select(*row, "gram", "at", F.lit(n).alias("size"), F.least("at", F.lit(reach)).alias("left"), F.slice("words", F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.least("at", F.lit(reach)) + window).alias("near"))
         found = own if found is None else found.unionByName(own)
-    pair = found.join(table, ["gram", "size"])
+    pair = found.join(table.drop("items"), ["gram", "size"])
     back = F.sequence(F.lit(0), F.when(F.col("wide") == F.col("size"), F.lit(0)).otherwise(F.least("left", "before", F.lit(reach))))
     starts = F.filter(
         F.transform(back, lambda j: F.when((F.slice("near", F.col("left") - j + 1, F.col("wide")) == F.slice("item", F.col("before") - j + 1, F.col("wide"))) & (F.size(F.slice("near", F.col("left") - j + 1, F.col("wide"))) == F.col("wide")), F.col("at") - j)),
         lambda x: x.isNotNull(),
     )
-    hits = pair.select("doc_id", "version", "item_id", F.explode(starts).alias("start"), "wide").distinct()
+    hits = stored(pair.select(*row, "of", F.explode(starts).alias("start"), "wide").distinct(), f"{work}/hits")
     # Ends are found per start: the widest window counts; a word is hit once.
-    wide = hits.groupBy("doc_id", "version", "start").agg(F.max("wide").alias("wide"))
-    spans = wide.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("wide")).alias("end")))).alias("s"))
+    wide = hits.groupBy(*row, "start").agg(F.max("wide").alias("wide"))
+    spans = wide.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("wide")).alias("end")))).alias("s"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     n_hit = F.aggregate("s", zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")), lambda a: a["n"])
-    who = hits.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    both = spans.select("doc_id", "version", n_hit.alias("n_hit")).join(who, ["doc_id", "version"])
-    out = met.select("doc_id", "version", "n_words").join(both, ["doc_id", "version"], "left")
-    n_hit, items_ = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.expr("CAST(array() AS array<string>)"))
+    # The items of every combination of sets are put together once, not for each document.
+    who = stored(hits.groupBy(*row).agg(F.array_join(F.array_sort(F.collect_set("of")), ",").alias("all")), f"{work}/who")
+    union = who.select("all").distinct().select("all", F.explode(F.split("all", ",")).alias("of")).join(sets, "of")
+    union = union.select("all", F.explode("items").alias("item")).groupBy("all").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    union = union.select("all", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    both = spans.select(*row, n_hit.alias("n_hit")).join(who, row).join(union, "all").drop("all")
+    out = met.select(*row, "n_words", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).join(both, row, "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id",
+        F.when(~F.col("anon"), F.col("doc_id")).alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(items_).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "version",
     )

@@ -33,8 +33,8 @@ from ._common import components, mix, on_workers, prefix_hash, released, shared_
 
 #: Largest bucket that is compared pair by pair, and how often leaders are elected before that.
 SPLIT, TURNS = 24, 3
-#: Ratio of the bounds of neighbouring size classes.
-STEP = 1.03
+#: Ratio of the bounds of neighbouring size classes, and shingles of leaders that a worker remembers.
+STEP, KEPT = 1.03, 1 << 20
 
 
 def multipliers(collection: int, m: int, t: int) -> np.ndarray:
@@ -133,12 +133,16 @@ def _compare(words: int):
     @released
     def run(batches):
         kept: dict = {}
+        held = 0
 
         def get(i, text):
+            nonlocal held
             if i not in kept:
-                if len(kept) > 64:
+                if held > KEPT:
                     kept.clear()
+                    held = 0
                 kept[i] = shingle_set(text, words)
+                held += len(kept[i])
             return kept[i]
 
         for pdf in batches:
@@ -159,21 +163,21 @@ def crowded(met: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 16, t: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row with a doc_id.
+    """(doc_id, n_shingles, component_id, kept) of every row.
 
     Documents link if 100 * |common shingles| >= percent * |all shingles|; component_id is the
     smallest doc_id reachable over links, and one document of each component is kept. Null or
     wordless texts have the empty set and link with nothing. Rows that repeat a doc_id stay rows.
-    Only doc_id and text are used, so other columns may have any names. Null doc_id: row dropped.
-    An empty table gives an empty result.
+    Only doc_id and text are used, so other columns may have any names. A row without a doc_id links with
+    nothing, has no component_id and is kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     on_workers(spark)
     work = shared_dir(spark, "near-dup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = stored(docs.mapInPandas(_signatures(words, m, t), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), f"{work}/signatures")
 
-    first = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    first = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
     first = stored(first, f"{work}/classes")
     reps = sig.select(F.col("doc_id").alias("node"), "digest", "a", "b").join(first, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "a", "b")
 
@@ -245,5 +249,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     label = components(known.where(links).selectExpr("leader AS u", "node AS v"), f"{work}/cc-1")
 
     of = first.join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    out = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

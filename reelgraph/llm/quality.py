@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import on_workers
 
@@ -104,14 +105,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Fit on at most sample labelled documents of each grade, chosen by the hash of their id.
 
     labels: doc_id, quality, toxic. A row with a null quality and toxic is not used; a null toxic
-    counts as 0. Conflicting labels of a document: its least grade.
+    counts as 0. Conflicting labels of a document: its least grade. Of rows of one doc_id, one is used. No
+    labels: a model without weights.
     """
     on_workers(docs.sparkSession)
     grade = F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 2)
     own = labels.select("doc_id", grade.alias("grade")).where("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    # A first cut by hash keeps the exact ranking below small, whatever the table's size.
-    share = own.groupBy("grade").agg(F.count("*").alias("n"))
-    own = own.join(share, "grade").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).where(F.col("h") < F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n")) * float(1 << 40))
+    # A first cut by hash, at the scan, keeps what is ranked below small, whatever the table's size: grades have few rows.
+    share = {r["grade"]: r["n"] for r in own.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    limit = F.coalesce(*(F.when(F.col("grade") == g, min(1 << 40, (2 * sample << 40) // n)) for g, n in sorted(share.items())), F.lit(0).cast("long"))
+    own = own.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).where(F.col("h") < limit)
     own = own.withColumn("k", F.row_number().over(Window.partitionBy("grade").orderBy("h", "doc_id"))).where(f"k <= {sample}")
 
     def run(batches):
@@ -119,32 +122,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "set": [features(t).astype("<i4").tobytes() for t in pdf["text"]]})
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own.select("doc_id", "grade")), "doc_id")  # at most 3 * sample rows
-    got = rows.mapInPandas(run, "doc_id long, grade int, set binary").toPandas().sort_values(["doc_id", "grade", "set"])
+    got = rows.mapInPandas(run, "doc_id long, grade int, set binary").groupBy("doc_id", "grade").agg(F.min("set").alias("set")).toPandas().sort_values("doc_id")
     return fit([np.frombuffer(x, "<i4").astype(np.int64) for x in got["set"]], got["grade"].to_numpy(np.int64))
 
 
 def grade_documents(docs: DataFrame, model: dict, least_tail: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, expected_grade, tail, kept, *carry) of every row: kept if P(best grade) >= least_tail.
+    """(doc_id, score, expected_grade, tail, kept, carried) of every row: kept if P(best grade) >= least_tail.
 
-    Null or empty texts are graded by their shape. Repeated rows stay; other columns are not read.
+    carried: a struct of the columns named in carry, whatever their names. Null or empty texts are graded by
+    their shape. Repeated rows stay, as do rows without a doc_id; other columns are not read. An empty table
+    gives an empty result.
     """
     on_workers(docs.sparkSession)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[model["buckets"]] = model["weights"]
     buckets, values, theta = model["buckets"].astype(np.int32), model["weights"].astype(np.float32), model["thresholds"]
-    types = dict(docs.dtypes)
+    inner = [f"c{i}" for i in range(len(carry))]
 
     def run(batches):
+        import pyarrow as pa
+
         w = np.zeros(BUCKETS, np.float32)
         w[buckets] = values
-        for pdf in batches:
-            z = np.array([w[features(t)].sum(dtype=np.float64) for t in pdf["text"]])
+        for b in batches:
+            z = np.array([w[features(t)].sum(dtype=np.float64) for t in b.column("text").to_pylist()], np.float64)
             p = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -30, 30)))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "score": z, "expected_grade": p.sum(axis=1), "tail": p[:, -1], "kept": p[:, -1] >= least_tail})
-            for c in carry:
-                out[c] = pdf[c]
-            yield out
-
-    more = "".join(f", `{c}` {types[c]}" for c in carry)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"])
-    return rows.mapInPandas(run, f"doc_id long, score double, expected_grade double, tail double, kept boolean{more}")
+            columns = [b.column("doc_id"), pa.array(z), pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= least_tail), *(b.column(c) for c in inner)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "expected_grade", "tail", "kept", *inner])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(i) for c, i in zip(carry, inner, strict=True)])
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, score double, expected_grade double, tail double, kept boolean").fields, *(T.StructField(i, rows.schema[i].dataType) for i in inner)])
+    out = rows.mapInArrow(run, schema)
+    return out.select("doc_id", "score", "expected_grade", "tail", "kept", F.struct(*[F.col(i).alias(c) for i, c in zip(inner, carry, strict=True)]).alias("carried") if carry else F.lit(None).cast("string").alias("carried"))

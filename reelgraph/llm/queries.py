@@ -41,7 +41,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality.grade_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return quality.grade_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels"))).drop("carried")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("version")
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

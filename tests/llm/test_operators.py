@@ -54,6 +54,15 @@ def test_near_duplicates(docs, rows):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), top[i], top[i] == i) for i in sets}
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (None, text), (None, None), (2, text + " x"), (2, text + " x"), (3, "long " * 5000), (4, "long " * 5000 + "end"), (5, None), (6, "")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, node int, bucket string")
+    got = [(r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, words=4).collect()]
+    # 3 has one shingle, 4 has that and another: half are common.
+    assert by_text(got) == by_text([(1, 47, 1, True), (0, 47, None, True), (0, 0, None, True), (2, 48, 1, False), (2, 48, 1, False), (3, 1, 3, True), (4, 2, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
+
+
 def test_no_crowded_bucket_is_missed(spark):
     met = spark.range(90_000).selectExpr("id DIV 3 AS bucket", "xxhash64(id) AS node", "if(id % 3 = 0, null, xxhash64(id)) AS other", "id % 3 = 2 AS open")
     assert near_dup.crowded(met).count() == 30_000
@@ -114,8 +123,8 @@ def test_multikey_order():
     assert (w[suffix.multikey_order(w)] == np.array(sorted(w.tolist()))).all()
 
 
-def test_decontaminate(spark, docs, rows):
-    bench = [(1, rows[3][1]), (2, "one two"), (3, None), (4, ""), (10, " ".join(rows[5][1].split()[4:20])), (11, rows[3][1])]
+def contaminated(rows, bench):
+    """Judgements of rows (doc_id, text), by brute force."""
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     windows = {}
     for i, t in bench:
@@ -123,17 +132,41 @@ def test_decontaminate(spark, docs, rows):
         for k in range(max(1, len(w) - 12) if w else 0):
             windows.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
     sizes = {len(k) for k in windows}
-    want = {}
-    for i, t, _ in rows:
+    out = []
+    for i, t in rows:
         w, hit, items = word(t), set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
                 if x := windows.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
                     items |= x
-        want[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        out.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def by_text(rows):
+    return sorted(rows, key=str)
+
+
+def test_decontaminate(spark, docs, rows):
+    bench = [(1, rows[3][1]), (2, "one two"), (3, None), (4, ""), (10, " ".join(rows[5][1].split()[4:20])), (11, rows[3][1])]
     got = decontam.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
-    assert {r[0]: tuple(r)[1:] for r in got} == want
+    assert by_text(tuple(r)[:6] for r in got) == by_text(contaminated([r[:2] for r in rows], bench))
+
+
+def test_decontaminate_odd_rows(spark):
+    rng = random.Random(4)
+    passage = [rng.choice(WORDS) for _ in range(20)]
+    # A passage that 300 items have, with different words around it; a long text; rows that repeat; a null doc_id.
+    bench = [(i, " ".join([f"a{i}", *passage, f"b{i}"])) for i in range(300)] + [(None, "w1 w1 w1"), (5, " ".join(passage))]
+    rows = [(1, " ".join(passage)), (1, " ".join(passage)), (1, "clean text"), (None, " ".join(["x", *passage, "b7"])), (None, None), (2, "y " * 6000 + " ".join(passage[:13])), (3, "w1 w1 w1 w1"), (4, "")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, met int, words string")
+    extra = spark.createDataFrame([(*r, 2) for r in bench], "item_id long, text string, gram int")
+    got = decontam.decontaminate(df, extra).collect()
+    wanted = contaminated(rows, [b for b in bench if b[0] is not None])
+    assert by_text(tuple(r)[:4] for r in got if r.doc_id != 3) == by_text(x[:4] for x in wanted if x[0] != 3)
+    clean = decontam.decontaminate(df, extra.limit(0)).collect()
+    assert len(clean) == 8 and not any(r.contaminated or r.n_hit for r in clean)
 
 
 def test_tokens_and_packing(docs, rows):
@@ -238,7 +271,21 @@ def test_chat(spark):
     for r in chat.format_chats(df).collect():
         assert not re.search(r"</s>|\[/?INST\]", r.formatted)
         texts = [t or "" for c, _, role, t in turns if c == r.conv_id and role == "assistant"]
-        assert [re.sub(r"(?s)\\(.)", r"\1", r.formatted[a:b]) for a, b in r.loss_spans] == texts
+        assert [re.sub(r"(?s)\\(.)", r"\1", r.formatted[s.start : s.end]) for s in r.loss_spans] == texts
+        assert [r.formatted.encode()[s.first : s.last].decode() for s in r.loss_spans] == [r.formatted[s.start : s.end] for s in r.loss_spans]
+
+
+def test_chat_odd_rows(spark):
+    turns = [(1, 2, "user", "b"), (1, 2, "assistant", "é日" * 6000), (1, 2, "user", "b"), (1, None, "user", "last"), (None, 0, "assistant", ""), (None, 1, "assistant", None), (2, 1, None, None)]
+    turns += [(3, i, ("user", "assistant")[i % 2], f"日{i}\\") for i in range(3000)]
+    df = spark.createDataFrame([(*t, 1, "x") for t in turns], "conv_id long, turn long, role string, text string, body int, t string").repartition(3)
+    got = {r.conv_id: r for r in chat.chat_digests(df).collect()}
+    for c in (1, 2, 3, None):
+        own = sorted((t for t in turns if t[0] == c), key=lambda t: (t[1] is None, t[1] or 0, t[2] or "", t[3] or ""))
+        said = "".join(t[3] or "" for t in own if t[2] == "assistant")
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own).encode()).hexdigest()
+    assert chat.chat_digests(df.limit(0)).count() == 0
 
 
 def test_urls(spark):
@@ -363,6 +410,14 @@ def test_quality(spark):
     assert (np.diff(model["thresholds"]) > 0).all()
     held = [r for r in quality.grade_documents(docs, model).collect() if r.doc_id >= 400]
     assert sum(r.kept == (r.doc_id % 3 == 2) for r in held) >= 0.95 * len(held)
+    odd = spark.createDataFrame([(None, None, "a", 1.5), (7, "", "b", None), (7, "", "b", None), (8, "w1 " * 9000, "c", 2.0)], "doc_id long, text string, kept string, score double")
+    got = quality.grade_documents(odd, model, carry=("kept", "score")).collect()
+    assert sorted((r.doc_id or 0, r.carried.kept, r.carried.score or 0) for r in got) == [(0, "a", 1.5), (7, "b", 0), (7, "b", 0), (8, "c", 2.0)]
+    assert quality.grade_documents(odd.limit(0), model).count() == 0
+    none = quality.train(docs.unionByName(docs), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert quality.grade_documents(odd, none).count() == 4
+    again = quality.train(docs.unionByName(docs), spark.createDataFrame(labels[:400] * 2, "doc_id long, quality int, toxic int"))
+    assert (again["buckets"] == model["buckets"]).all() and np.allclose(again["weights"], model["weights"])
 
 
 @pytest.mark.parametrize("name", ["near", "repeats", "rules", "pack", "tokens", "decontam"])
