@@ -36,37 +36,44 @@ def stage(f):
     return run_stage
 
 
+def back(rows: DataFrame, docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """The columns of docs: own ones are the operator's, the others were carried along."""
+    return rows.select(*[F.col(f"`{c}`") if c in own else F.col("carried").getField(c).alias(c) for c in docs.columns])
+
+
 @stage
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     on_workers(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     carry = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.grade_documents(docs, model, carry=carry).where("kept").select(*docs.columns)
+    return back(quality.grade_documents(docs, model, carry=carry).where("kept"), docs, ("doc_id",))
 
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the least doc_id."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one of the least doc_id. Five words to a shingle."""
+    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents are cut out; a document left without text goes."""
+    """Passages that repeat across documents are cut out; a document left without text goes. A null text becomes an
+    empty one."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = suffix.remove_repeats(docs, carry=carry)
-    left = cut.where("n_removed = 0 OR trim(text) <> ''")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = cut.where("n_removed = 0 OR trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long"))
+    return back(left, docs, ("doc_id", "text", "n_chars"))
 
 
 @stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    judged = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = judged.where("contaminated").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    judged = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    gone = judged.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    of = F.col("doc_id").eqNullSafe(F.col("_id")) & (decontam.version(F.col("text").cast("string")) == F.col("_version"))
+    return docs.join(gone, of, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @stage
@@ -77,7 +84,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", grade), ("minhash near-dedup", near_dedup), ("suffix-array dedup", repeats), ("benchmark decontamination", decontaminate), ("best-fit packing", pack)]
 
-#: Training, minhash and tokenizing can't be said in SQL; tests/test_pipeline.py holds run() and the stages against brute
+#: Training, minhash and tokenizing can't be said in SQL; tests/llm/test_pipeline.py holds run() and the stages against brute
 #: force, grading against planted grades.
 ORACLE_SQL = None
 
