@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import clip01, dot
+from reelgraph.operators import kernels as K
 
 
 def adjacent_similarity(frames: DataFrame) -> DataFrame:
@@ -22,109 +23,95 @@ def cut(frames: DataFrame, threshold: float = 0.82) -> DataFrame:
     return frames.withColumn("new", new).withColumn("node", F.sum("new").over(w).cast("int")).drop("new")
 
 
-def pool(cut_frames: DataFrame) -> DataFrame:
-    """(video_id, node, s, e, v): bounds (inclusive) and the mean vector, of unit length."""
-    each = cut_frames.select("video_id", "node", "frame_idx", F.posexplode("v").alias("k", "x"))
-    mean = each.groupBy("video_id", "node", "k").agg(F.avg("x").alias("x"), F.min("frame_idx").alias("s"), F.max("frame_idx").alias("e"))
-    packed = mean.groupBy("video_id", "node").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("m"))
-    size = F.greatest(F.sqrt(dot(F.col("m"), F.col("m"))), F.lit(1e-8))
-    return packed.withColumn("z", size).select("video_id", "node", "s", "e", F.transform("m", lambda x: x / F.col("z")).alias("v"))
-
-
-def merge_short(frames: DataFrame, threshold: float = 0.82, least: int = 10) -> DataFrame:
-    """(video_id, node, s, e): segments shorter than least join the more similar neighbour (left on ties, if
-    the similarity of the means is positive), left to right, until a pass changes nothing."""
+def segments(frames: DataFrame, threshold: float = 0.82, least: int = 10) -> DataFrame:
+    """(video_id, node, s, e, v): segments cut at the threshold, those of under least frames joined to a neighbour;
+    bounds (inclusive) and the mean vector, of unit length. One video to a group: its frame vectors must fit a task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
-        x = np.stack(pdf["v"].to_numpy())
         ids = pdf["frame_idx"].to_numpy()
-        sums = np.vstack((np.zeros(x.shape[1]), np.cumsum(x, axis=0)))
-        mean = lambda g: (sums[g[1] + 1] - sums[g[0]]) / (g[1] - g[0] + 1)
-        starts = [0, *(np.flatnonzero((x[:-1] * x[1:]).sum(axis=1) < threshold) + 1).tolist(), len(x)]
-        now = [(a, b - 1) for a, b in zip(starts, starts[1:], strict=False)]
-        while True:
-            out, todo, changed = [], list(now), False
-            i = 0
-            while i < len(todo):
-                g = todo[i]
-                if g[1] - g[0] + 1 < least and len(todo) > 1:
-                    left = float(mean(out[-1]) @ mean(g)) if out else -np.inf
-                    right = float(mean(g) @ mean(todo[i + 1])) if i + 1 < len(todo) else -np.inf
-                    if left >= right and left > 0:
-                        out[-1], changed = (out[-1][0], g[1]), True
-                        i += 1
-                        continue
-                    if right > left and right > 0:
-                        todo[i + 1], changed = (g[0], todo[i + 1][1]), True
-                        i += 1
-                        continue
-                out.append(g)
-                i += 1
-            now = out
-            if not changed:
-                break
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "node": range(len(now)), "s": [int(ids[a]) for a, _ in now], "e": [int(ids[b]) for _, b in now]})
-
-    return frames.select("video_id", "frame_idx", "v").groupBy("video_id").applyInPandas(run, "video_id long, node int, s int, e int")
+        a, z, v = K.segments(np.stack(pdf["v"].to_numpy()), threshold, least)
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "node": np.arange(len(a)), "s": ids[a], "e": ids[z], "v": list(v)})
+
+    return frames.select("video_id", "frame_idx", "v").groupBy("video_id").applyInPandas(run, "video_id long, node int, s int, e int, v array<double>")
 
 
 def affinity(nodes: DataFrame, alpha: float = 0.6, tau: float = 30.0, top: int = 8) -> DataFrame:
     """Edges (video_id, i, j, w, w_norm): visual and temporal closeness, the best of each row (ties: least j),
-    both directions halved and summed, then scaled by the degrees of both ends."""
-    a = nodes.select("video_id", F.col("node").alias("i"), F.col("v").alias("vi"), ((F.col("s") + F.col("e")) / 2).alias("ci"))
-    b = nodes.select("video_id", F.col("node").alias("j"), F.col("v").alias("vj"), ((F.col("s") + F.col("e")) / 2).alias("cj"))
-    w = F.round(alpha * clip01(dot(F.col("vi"), F.col("vj"))) + (1 - alpha) * F.exp(-F.abs(F.col("ci") - F.col("cj")) / tau), 9)
-    every = a.join(b, "video_id").where("i <> j").select("video_id", "i", "j", w.alias("w"))
-    rank = F.row_number().over(Window.partitionBy("video_id", "i").orderBy(F.desc("w"), "j"))
-    best = every.withColumn("r", rank).where(f"r <= {top}").select("video_id", "i", "j", (F.col("w") / 2).alias("w"))
-    both = best.unionByName(best.select("video_id", F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("video_id", "i", "j").agg(F.sum("w").alias("w"))
-    d = both.groupBy("video_id", "i").agg(F.sum("w").alias("d"))
-    scaled = both.join(d, ["video_id", "i"]).join(d.select("video_id", F.col("i").alias("j"), F.col("d").alias("dj")), ["video_id", "j"])
-    return scaled.select("video_id", "i", "j", "w", F.when((F.col("d") > 1e-8) & (F.col("dj") > 1e-8), F.col("w") / F.sqrt(F.col("d") * F.col("dj"))).otherwise(F.lit(0.0)).alias("w_norm"))
+    both directions halved and summed, then scaled by the degrees of both ends. One video to a group; of its
+    similarity matrix only some rows are held at once, and at most 2 * top edges a node come out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        ids = pdf["node"].to_numpy()
+        i, j, w, w_norm = K.edges(np.stack(pdf["v"].to_numpy()), ((pdf["s"] + pdf["e"]) / 2).to_numpy(), alpha, tau, top)
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "i": ids[i], "j": ids[j], "w": w, "w_norm": w_norm})
+
+    return nodes.select("video_id", "node", "s", "e", "v").groupBy("video_id").applyInPandas(run, "video_id long, i int, j int, w double, w_norm double")
 
 
 def channel_prior(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(video_id, option, node, score); option null: over all options, by grouping sets."""
-    each = nodes.join(F.broadcast(keywords)).select("video_id", "node", "option", dot(F.col("v"), F.col("kv")).alias("s"))  # keywords: a row per option
+    """(video_id, option, node, score); option null: over all options, by grouping sets. keywords: (video_id, option,
+    kv), any number for an option; they meet the nodes of their own video."""
+    each = nodes.select("video_id", "node", "v").join(keywords, "video_id").select("video_id", "node", "option", dot(F.col("v"), F.col("kv")).alias("s"))
     return each.groupingSets([["video_id", "node", "option"], ["video_id", "node"]], "video_id", "node", "option").agg(clip01(F.max("s")).alias("score"))
 
 
+def _packed(nodes: DataFrame, value: str, edges: DataFrame, weight: str) -> DataFrame:
+    """Rows (video_id, i, j, w): j is -1 in the nodes' own."""
+    own = nodes.select("video_id", F.col("node").alias("i"), F.lit(-1).alias("j"), F.col(value).alias("w"))
+    return own.unionByName(edges.select("video_id", "i", "j", F.col(weight).alias("w")))
+
+
+def _graph(pdf: pd.DataFrame):
+    """(own rows, their values, i, j, w of the edges), i in order."""
+    own = pdf[pdf["j"] < 0].sort_values("i")
+    e = pdf[pdf["j"] >= 0].sort_values(["i", "j"])
+    return own, own["w"].to_numpy(), np.searchsorted(own["i"], e["i"]), np.searchsorted(own["i"], e["j"]), e["w"].to_numpy()
+
+
 def propagate(edges: DataFrame, prior: DataFrame, steps: int = 7, alpha: float = 0.6) -> DataFrame:
     """(video_id, node, y, f): steps times f = alpha * W f + (1 - alpha) * y, from f = y. One video to a group."""
-    packed = prior.select("video_id", F.col("node").alias("i"), F.lit(-1).alias("j"), F.col("score").alias("w")).unionByName(edges.select("video_id", "i", "j", F.col("w_norm").alias("w")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["j"] < 0].sort_values("i")
-        y = own["w"].to_numpy()
-        e = pdf[pdf["j"] >= 0]
-        i, j, w = np.searchsorted(own["i"], e["i"]), np.searchsorted(own["i"], e["j"]), e["w"].to_numpy()
-        f = y
-        for _ in range(steps):
-            f = alpha * np.bincount(i, w * f[j], len(y)) + (1 - alpha) * y
-        return pd.DataFrame({"video_id": own["video_id"], "node": own["i"], "y": y, "f": f})
+        own, y, i, j, w = _graph(pdf)
+        return pd.DataFrame({"video_id": own["video_id"], "node": own["i"], "y": y, "f": K.spread(i, j, w, y, y, steps, alpha)})
 
-    return packed.groupBy("video_id").applyInPandas(run, "video_id long, node int, y double, f double")
+    return _packed(prior, "score", edges, "w_norm").groupBy("video_id").applyInPandas(run, "video_id long, node int, y double, f double")
 
 
 def nms(edges: DataFrame, belief: DataFrame, n: int = 8, factor: float = 0.2) -> DataFrame:
     """(video_id, rank, node): the best node again and again, its neighbours damped each time; stops at f <= 0."""
-    packed = belief.select("video_id", F.col("node").alias("i"), F.lit(-1).alias("j"), "f").unionByName(edges.where("w > 0").select("video_id", "i", "j", F.lit(0.0).alias("f")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["j"] < 0].sort_values("i")
-        f, ids = own["f"].round(9).to_numpy(copy=True), own["i"].to_numpy()
-        near = {k: np.searchsorted(ids, g.to_numpy()) for k, g in pdf[pdf["j"] >= 0].groupby("i")["j"]}
-        out = []
-        while len(out) < n and len(f) and f.max() > 0:
-            k = int(f.argmax())
-            out.append(int(ids[k]))
-            f[k] = -np.inf
-            if ids[k] in near:
-                f[near[ids[k]]] *= factor
-        return pd.DataFrame({"video_id": own["video_id"].iloc[0], "rank": range(1, len(out) + 1), "node": out})
+        own, f, i, j, _ = _graph(pdf)
+        out = K.spaced(f, i, j, n, factor)
+        return pd.DataFrame({"video_id": own["video_id"].iloc[0], "rank": range(1, len(out) + 1), "node": own["i"].to_numpy()[out]})
+
+    return _packed(belief, "f", edges.where("w > 0"), "w").groupBy("video_id").applyInPandas(run, "video_id long, rank int, node int")
+
+
+def evidence_frames(frames: DataFrame, keywords: DataFrame, threshold: float = 0.82, least: int = 10, n: int = 8, factor: float = 0.2, per_node: int = 4) -> DataFrame:
+    """(video_id, frame_idx): the frames of the segments most relevant to a video's keywords (video_id, option, kv).
+
+    Segments, graph, prior, propagation and choice of a video in one step on its arrays, so frames are read and
+    dealt by video once. A video without keywords has no relevance, so no frames.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"video_id": pd.Series([], dtype="int64"), "frame_idx": pd.Series([], dtype="int32")})
+        if not len(left) or not len(right):
+            return none
+        left = left.sort_values("frame_idx")
+        ids = left["frame_idx"].to_numpy()
+        a, z, v = K.segments(np.stack(left["v"].to_numpy()), threshold, least)
+        i, j, _, w_norm = K.edges(v, (ids[a] + ids[z]) / 2)
+        y = np.clip((v @ np.stack(right["kv"].to_numpy()).T).max(axis=1), 0, 1)
+        chosen = K.spaced(K.spread(i, j, w_norm, y, y), i, j, n, factor)
+        out = sorted({x for k in chosen for x in K.frames_of(int(ids[a[k]]), int(ids[z[k]]), per_node)})
+        return pd.DataFrame({"video_id": left["video_id"].iloc[0], "frame_idx": out}) if out else none
 
-    return packed.groupBy("video_id").applyInPandas(run, "video_id long, rank int, node int")
+    return frames.select("video_id", "frame_idx", "v").groupBy("video_id").cogroup(keywords.select("video_id", "kv").groupBy("video_id")).applyInPandas(run, "video_id long, frame_idx int")
 
 
 def frames_of(nodes: DataFrame, chosen: DataFrame, per_node: int = 4) -> DataFrame:
@@ -142,10 +129,11 @@ def events_in_segments(events: DataFrame, nodes: DataFrame, width: int = 16) ->
     return x.join(y, ["video_id", "slot"]).where("start < e AND s < end").select("video_id", "event_id", "node").distinct()
 
 
-def fallback(scores: DataFrame, by: str) -> DataFrame:
-    """(by, fallback, reason): whether observations are too weak to choose by; the first rule that fires."""
+def fallback(scores: DataFrame, by: str, gap: float = 0.15) -> DataFrame:
+    """(by, fallback, reason): whether observations are too weak to choose by; the first rule that fires. scores: (by,
+    r); a row with a null r stands for one without observations."""
     a = scores.groupBy(by).agg(F.max("r").alias("mx"), F.avg("r").alias("mean"), F.avg((F.col("r") < 0.2).cast("int")).alias("low"))
-    reason = F.when(F.col("mx") < 0.4, "max").when(F.col("mean") < 0.2, "mean").when(F.col("mx") - F.col("mean") < 0.15, "flat").when(F.col("low") > 0.7, "low")
+    reason = F.when(F.col("mx").isNull(), "none").when(F.col("mx") < 0.4, "max").when(F.col("mean") < 0.2, "mean").when(F.col("mx") - F.col("mean") < gap, "flat").when(F.col("low") > 0.7, "low")
     return a.select(by, reason.isNotNull().alias("fallback"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import clip01, dot
@@ -15,11 +15,22 @@ def _falling(key: str, *more: str) -> Column:
     return F.array_sort(F.collect_list(F.struct((-F.round(key, 9)).alias("k"), *more)))
 
 
-def option_anchors(scores: DataFrame) -> DataFrame:
+def masked(scores: DataFrame, visited: DataFrame | None) -> DataFrame:
+    """scores (video_id, option, node, score) with 0 for visited nodes (video_id, node)."""
+    if visited is None:
+        return scores
+    gone = visited.select("video_id", "node", F.lit(True).alias("gone")).distinct()
+    return scores.join(gone, ["video_id", "node"], "left").select("video_id", "option", "node", F.when(F.col("gone"), 0.0).otherwise(F.col("score")).alias("score"))
+
+
+def option_anchors(scores: DataFrame, visited: DataFrame | None = None, masked_first: bool = False) -> DataFrame:
     """(video_id, option, node): options by their best score, each takes its best node that none has taken
-    yet, or its best one where none is left. scores: (video_id, option, node, score)."""
-    each = scores.groupBy("video_id", "option").agg(F.max("score").alias("top"), F.transform(_falling("score", "node"), lambda x: x["node"]).alias("nodes"))
-    every = each.groupBy("video_id").agg(_falling("top", "option", "nodes").alias("o"))
+    yet, or its best one where none is left; visited nodes score 0. scores: (video_id, option, node, score).
+    masked_first: the order of options counts visited nodes as 0, too."""
+    rest = masked(scores, visited)
+    each = rest.groupBy("video_id", "option").agg(F.transform(_falling("score", "node"), lambda x: x["node"]).alias("nodes"))
+    top = (rest if masked_first else scores).groupBy("video_id", "option").agg(F.max("score").alias("top"))
+    every = each.join(top, ["video_id", "option"]).groupBy("video_id").agg(_falling("top", "option", "nodes").alias("o"))
 
     def take(taken, x):
         free = F.filter(x["nodes"], lambda n: ~F.exists(taken, lambda t: t["node"] == n))
@@ -29,6 +40,20 @@ def option_anchors(scores: DataFrame) -> DataFrame:
     return every.select("video_id", F.inline(F.aggregate("o", start, take)))
 
 
+def candidates(scores: DataFrame, visited: DataFrame | None = None) -> DataFrame:
+    """(video_id, option, node, rank): an option's nodes by score, without those that score 0 or were visited."""
+    w = Window.partitionBy("video_id", "option").orderBy(F.desc(F.round("score", 9)), "node")
+    return masked(scores, visited).where("round(score, 9) > 0").select("video_id", "option", "node", F.row_number().over(w).alias("rank"))
+
+
+def search(nodes: DataFrame, keywords: DataFrame, visited: DataFrame | None = None) -> DataFrame:
+    """(video_id, node): the node nearest to any of a video's keywords (video_id, option, kv). A visited node counts
+    as 0, so it wins where all others are below; ties: the least node."""
+    best = nodes.select("video_id", "node", "v").join(keywords.select("video_id", "kv"), "video_id").groupBy("video_id", "node").agg(F.max(dot(F.col("v"), F.col("kv"))).alias("score"))
+    rest = masked(best.withColumn("option", F.lit(None).cast("int")), visited)
+    return rest.groupBy("video_id").agg(F.max_by("node", F.struct(F.round("score", 9), -F.col("node"))).alias("node"))
+
+
 def find_peaks(curve: DataFrame, k: int, distance: int = 1) -> DataFrame:
     """(video_id, frame_idx): the highest values of the curve x, at least distance frames apart."""
     far = lambda got, i: ~F.exists(got, lambda g: F.abs(g - i) < distance)
@@ -90,17 +115,19 @@ def diverse(frames: DataFrame, k: int = 8, weight: float = 0.3) -> DataFrame:
     return frames.select("video_id", "frame_idx", "v").groupBy("video_id").applyInPandas(run, "video_id long, frame_idx int")
 
 
-def semantic_scores(nodes: DataFrame, captions: DataFrame, query: Column) -> DataFrame:
-    """(video_id, node, score): similarity of query and caption (video_id, node, c), 0 without one, rescaled to
-    [0, 1] over the nodes of a video; cut to [0, 1] where all are alike."""
-    s = nodes.select("video_id", "node").join(captions, ["video_id", "node"], "left").select("video_id", "node", F.coalesce(dot(F.col("c"), query), F.lit(0.0)).alias("x"))
-    span = s.groupBy("video_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+def semantic_scores(nodes: DataFrame, captions: DataFrame, queries: DataFrame) -> DataFrame:
+    """(video_id, option, node, score): similarity of an option's query (video_id, option, q) and the captions
+    (video_id, node, c), 0 without one, rescaled to [0, 1] over the nodes of a video; cut to [0, 1] where all are alike."""
+    s = nodes.select("video_id", "node").join(captions, ["video_id", "node"], "left").join(queries, "video_id")
+    s = s.select("video_id", "option", "node", F.coalesce(dot(F.col("c"), F.col("q")), F.lit(0.0)).alias("x"))
+    span = s.groupBy("video_id", "option").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("hi") - F.col("lo") < 1e-8
-    return s.join(span, "video_id").select("video_id", "node", F.when(flat, clip01(F.col("x"))).otherwise((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("score"))
+    return s.join(span, ["video_id", "option"]).select("video_id", "option", "node", F.when(flat, clip01(F.col("x"))).otherwise((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("score"))
 
 
 def fuse(visual: DataFrame, semantic: DataFrame, alpha: float = 0.6) -> DataFrame:
-    """(video_id, node, score): alpha of one and the rest of the other; 0 where a node has none."""
-    v, s = visual.select("video_id", "node", F.col("score").alias("a")), semantic.select("video_id", "node", F.col("score").alias("b"))
+    """(video_id, option, node, score): alpha of one and the rest of the other; 0 where a node has none."""
+    key = ["video_id", "option", "node"]
+    v, s = visual.select(*key, F.col("score").alias("a")), semantic.select(*key, F.col("score").alias("b"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return v.join(s, ["video_id", "node"], "full").select("video_id", "node", (alpha * zero("a") + (1 - alpha) * zero("b")).alias("score"))
+    return v.join(s, key, "full").select(*key, (alpha * zero("a") + (1 - alpha) * zero("b")).alias("score"))

@@ -9,8 +9,8 @@ from reelgraph.functions import vectors as V
 from reelgraph.operators import graph as G
 from reelgraph.operators import observe as O
 from reelgraph.operators import selection as C
-from reelgraph.plans import FRAMES, PRIOR, SQL, nodes_of, query
-from reelgraph.plans.selection import CURVE, _curve
+from reelgraph.plans import FRAMES, SQL, nodes_of, query
+from reelgraph.plans.selection import CHOSEN, CURVE, _curve, _visited
 from reelgraph.sources import tables as S
 
 
@@ -60,14 +60,15 @@ def diversity_fill(spark, d):
     return O.diversity_fill(f, f.where("frame_idx % 25 = 10"), _curve(spark, d))
 
 
-SQL["frames_by_score"] = f"""WITH {PRIOR}, curve AS (SELECT video_id, frame_idx, round(least(greatest(max(list_inner_product(v, kv)), 0), 1), 9) AS x FROM frames, keys GROUP BY ALL)
-SELECT n.video_id, n.node, c.frame_idx FROM nodes n JOIN curve c ON c.video_id = n.video_id AND c.frame_idx BETWEEN n.s AND n.e WHERE n.node % 3 = 0 QUALIFY row_number() OVER (PARTITION BY n.video_id, n.node ORDER BY x DESC, c.frame_idx) <= 2"""
+SQL["frames_by_score"] = f"""WITH RECURSIVE {CHOSEN}, curve AS (SELECT video_id, frame_idx, round(least(greatest(max(list_inner_product(v, kv)), 0), 1), 9) AS x FROM frames JOIN keys USING (video_id) GROUP BY ALL)
+SELECT n.video_id, n.node, c.frame_idx FROM nodes n JOIN chosen USING (video_id, node) JOIN curve c ON c.video_id = n.video_id AND c.frame_idx BETWEEN n.s AND n.e QUALIFY row_number() OVER (PARTITION BY n.video_id, n.node ORDER BY x DESC, c.frame_idx) <= 2"""
 
 
 @query(SQL["frames_by_score"])
 def frames_by_score(spark, d):
     n = nodes_of(spark, d)
-    return O.frames_by_score(n, n.where("node % 3 = 0"), _curve(spark, d), 2)
+    p = G.channel_prior(n, S.keywords(spark, d))
+    return O.frames_by_score(n, _visited(spark, d, n, p), _curve(spark, d), 2)
 
 
 ASKED = ("What happens in the first 30 seconds?", "What is shown in the last 2 minutes?", "Which comes before the others?", "How does it end", "Who is it?", "What is seen first and then?")

@@ -18,10 +18,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") / 100).cast("long").alias("video_id"), (F.col("vec_id") % 100).cast("int").alias("frame_idx"), "label", doubles(F.col("embedding")).alias("v"))
 
 
-def keywords(spark: SparkSession, sf_dir: str, labels: int = 4) -> DataFrame:
-    """(option, kv): for each of the first labels, its frame of least id. As many rows as labels."""
-    e = read(spark, sf_dir, "embeddings").where(F.col("label") < labels)
-    return e.groupBy(F.col("label").alias("option")).agg(doubles(F.min_by("embedding", "vec_id")).alias("kv"))
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, option, kv): a video's question has an option for each label among its frames; its vector is that
+    of the label's frame of least id."""
+    f = frames(spark, sf_dir).select("video_id", "label").distinct()
+    kv = read(spark, sf_dir, "embeddings").groupBy("label").agg(doubles(F.min_by("embedding", "vec_id")).alias("kv"))
+    return f.join(kv, "label").select("video_id", F.col("label").alias("option"), "kv")
 
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,6 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video_id, event_id, start, end, description): whole seconds after the first event of all, in days of 100 s."""
+    """(video_id, event_id, start, end, description): events of 5 s, at the second that their id leaves modulo 100."""
     e = read(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 20).alias("video_id"), "event_id", (F.col("event_id") % 100).cast("double").alias("start"), (F.col("event_id") % 100 + 5).cast("double").alias("end"), F.col("event_type").alias("description"))

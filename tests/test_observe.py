@@ -58,8 +58,8 @@ def test_parsers(spark):
     assert [(x.option, x.text) for x in r.o] == [("B", "y z"), ("A", "last")]
     assert r.e == ["Paris", "TEXT: a", "a1", "世界"] and r.j == '{"b":1}'
     assert r.f == [0, 5, 10, 20, 30] and r.z == [] and r.t is True and r.m == 12
-    order = spark.createDataFrame([("10",), ("B",), ("x",), ("2",), ("A",)], "o string").orderBy(T.option_order(F.col("o")))
-    assert [x.o for x in order.collect()] == ["A", "B", "2", "10", "x"]
+    order = spark.createDataFrame([("10",), ("b",), ("xx",), ("2",), ("A",)], "o string").orderBy(T.option_order(F.col("o")))
+    assert [x.o for x in order.collect()] == ["A", "b", "2", "10", "xx"]
 
 
 def test_words_are_trimmed_of_blanks_only(spark):

@@ -8,7 +8,7 @@ import pytest
 from reelgraph import plans
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations events".split()
+TABLES = "region nation customer supplier part orders lineitem documents embeddings pages benchmark labels conversations events".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
