@@ -311,3 +311,13 @@ def embedding(tokens_: Column, size: int = 64) -> Column:
         F.array().cast("array<double>"),
         lambda _, v: F.aggregate(F.array(F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-8))), F.array().cast("array<double>"), lambda _, n: F.transform(v, lambda x: x / n)),
     )
+
+
+def coverage_bonus(flags: dict[str, Column]) -> Column:
+    """Evenly spread frames that a kind of question gets on top."""
+    return F.when(flags["count"], 12).when(flags["temporal"] | flags["text"] | flags["audio"], 8).otherwise(0)
+
+
+def thinned(n: Column, most: int) -> Column:
+    """Which of n pictures are sent if at most so many may be: evenly spread ones."""
+    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= most, F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (i * n / F.lit(most)).cast("int")))

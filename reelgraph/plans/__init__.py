@@ -268,4 +268,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from reelgraph.plans import evidence, selection  # noqa: E402, F401
+from reelgraph.plans import evidence, selection, texts  # noqa: E402, F401
