@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelgraph.functions import text as T
 from reelgraph.functions import vectors as V
 from reelgraph.operators import graph as G
+from reelgraph.operators import scores
 from reelgraph.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,11 +234,13 @@ def segment_captions(spark, d):
     return m.groupBy("video_id", "node").agg(F.array_join(told, " | ").alias("caption"))
 
 
-@query("SELECT video_id, frame, string_agg(text, ' ' ORDER BY start) AS said FROM (SELECT conv_id AS video_id, turn * 15 AS start, unnest(range(turn * 15, turn * 15 + 13)) AS frame, text FROM conversations WHERE trim(text) <> '') GROUP BY ALL")
+HEARD = """spoken AS (SELECT conv_id AS video_id, turn * 15 AS st, unnest(range(turn * 15, turn * 15 + 21)) AS frame, text FROM conversations WHERE text <> ''),
+by_frame AS MATERIALIZED (SELECT video_id, frame, list_reduce(list(text ORDER BY st, text), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || ' ' || x END) AS said FROM spoken GROUP BY ALL)"""
+
+
+@query(f"WITH {HEARD} SELECT * FROM by_frame")
 def transcript_by_frame(spark, d):
-    t = S.transcript(spark, d).where("trim(text) <> ''").select("video_id", "start", F.explode(F.sequence("start", "end")).alias("frame"), "text")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"])
-    return t.groupBy("video_id", "frame").agg(F.array_join(said, " ").alias("said"))
+    return scores.heard_by_frame(S.transcript(spark, d))
 
 
 @query("WITH a AS (SELECT user_id, max(r) AS mx, avg(r) AS mean, avg((r < 0.2)::INT) AS low FROM (SELECT user_id, (event_id % 97) / 97.0 * (user_id % 11) / 10.0 AS r FROM events UNION ALL SELECT c_custkey, NULL FROM customer) GROUP BY 1), b AS (SELECT user_id, CASE WHEN mx IS NULL THEN 'none' WHEN mx < 0.4 THEN 'max' WHEN mean < 0.2 THEN 'mean' WHEN mx - mean < 0.15 THEN 'flat' WHEN low > 0.7 THEN 'low' END AS reason FROM a) SELECT user_id, reason IS NOT NULL AS fallback, coalesce(reason, '') AS reason FROM b")
@@ -268,4 +271,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from reelgraph.plans import evidence, selection, texts  # noqa: E402, F401
+from reelgraph.plans import answers, evidence, selection, texts  # noqa: E402, F401
