@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgraph.workers import reachable
+
 
 def uniform_share(budget: int, bonus: Column, least: int = 4) -> Column:
     """How many frames of the budget are spread evenly: a few, and the bonus of the question's kind, leaving 8."""
@@ -79,6 +81,7 @@ def picked(x: np.ndarray, even: list[int], recalled: list[int], scores: np.ndarr
 def final_frames(frames: DataFrame, mix: DataFrame, scores: DataFrame, budget: int = 32, first: float = 0.92, every: float = 0.95, near: float = 0.9) -> DataFrame:
     """(video_id, frame_idx): picked() for every video. frames: (video_id, frame_idx, v), frame_idx from 0 on without
     gaps; mix: (video_id, frame_idx, even); scores: (video_id, frame_idx, x). One video to a group."""
+    reachable(frames.sparkSession)
     rows = frames.join(scores, ["video_id", "frame_idx"], "left").join(mix, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", "v", "x", "even")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

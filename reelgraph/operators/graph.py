@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import clip01, dot
 from reelgraph.operators import kernels as K
+from reelgraph.workers import reachable
 
 
 def adjacent_similarity(frames: DataFrame) -> DataFrame:
@@ -26,6 +27,7 @@ def cut(frames: DataFrame, threshold: float = 0.82) -> DataFrame:
 def segments(frames: DataFrame, threshold: float = 0.82, least: int = 10) -> DataFrame:
     """(video_id, node, s, e, v): segments cut at the threshold, those of under least frames joined to a neighbour;
     bounds (inclusive) and the mean vector, of unit length. One video to a group: its frame vectors must fit a task."""
+    reachable(frames.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
@@ -40,6 +42,7 @@ def affinity(nodes: DataFrame, alpha: float = 0.6, tau: float = 30.0, top: int =
     """Edges (video_id, i, j, w, w_norm): visual and temporal closeness, the best of each row (ties: least j),
     both directions halved and summed, then scaled by the degrees of both ends. One video to a group; of its
     similarity matrix only some rows are held at once, and at most 2 * top edges a node come out."""
+    reachable(nodes.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
@@ -72,6 +75,7 @@ def _graph(pdf: pd.DataFrame):
 
 def propagate(edges: DataFrame, prior: DataFrame, steps: int = 7, alpha: float = 0.6) -> DataFrame:
     """(video_id, node, y, f): steps times f = alpha * W f + (1 - alpha) * y, from f = y. One video to a group."""
+    reachable(edges.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own, y, i, j, w = _graph(pdf)
@@ -82,6 +86,7 @@ def propagate(edges: DataFrame, prior: DataFrame, steps: int = 7, alpha: float =
 
 def nms(edges: DataFrame, belief: DataFrame, n: int = 8, factor: float = 0.2) -> DataFrame:
     """(video_id, rank, node): the best node again and again, its neighbours damped each time; stops at f <= 0."""
+    reachable(edges.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own, f, i, j, _ = _graph(pdf)
@@ -97,6 +102,7 @@ def evidence_frames(frames: DataFrame, keywords: DataFrame, threshold: float = 0
     Segments, graph, prior, propagation and choice of a video in one step on its arrays, so frames are read and
     dealt by video once. A video without keywords has no relevance, so no frames.
     """
+    reachable(frames.sparkSession)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"video_id": pd.Series([], dtype="int64"), "frame_idx": pd.Series([], dtype="int32")})

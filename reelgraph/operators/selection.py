@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import clip01, dot
+from reelgraph.workers import reachable
 
 
 def _falling(key: str, *more: str) -> Column:
@@ -131,3 +132,74 @@ def fuse(visual: DataFrame, semantic: DataFrame, alpha: float = 0.6) -> DataFram
     v, s = visual.select(*key, F.col("score").alias("a")), semantic.select(*key, F.col("score").alias("b"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return v.join(s, key, "full").select(*key, (alpha * zero("a") + (1 - alpha) * zero("b")).alias("score"))
+
+
+def belief_history(belief: DataFrame, observed: DataFrame, hit: float = 0.6) -> DataFrame:
+    """(video_id, step, frame_idx, mu, sigma): the belief after every observation, step 0 before any. As many rows as
+    frames times steps; update_belief() keeps only the last."""
+    seen = observed.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("step", "t", "relevance"))).alias("seen"))
+
+    def bump(o, width: float) -> Column:
+        return F.exp(-F.pow(F.col("frame_idx") - o["t"], F.lit(2.0)) / F.lit(2 * width * width))
+
+    def step(all_, o):
+        b = F.element_at(all_, -1)
+        mu = F.when(o["relevance"] > hit, b["mu"] + o["relevance"] * bump(o, 1.5)).otherwise(b["mu"] * (1 - 0.5 * bump(o, 4.0)))
+        return F.concat(all_, F.array(F.struct(o["step"].alias("step"), clip01(mu).alias("mu"), clip01(b["sigma"] * (1 - bump(o, 4.0))).alias("sigma"))).cast(kind)).cast(kind)
+
+    kind = "array<struct<step:int,mu:double,sigma:double>>"
+    start = F.array(F.struct(F.lit(0).alias("step"), F.col("mu").alias("mu"), F.col("sigma").alias("sigma"))).cast(kind)
+    now = F.aggregate(F.coalesce("seen", F.array().cast("array<struct<step:int,t:int,relevance:double>>")), start, step)
+    return belief.join(seen, "video_id", "left").select("video_id", "frame_idx", F.inline(now)).select("video_id", "step", "frame_idx", "mu", "sigma")
+
+
+def confidence(belief: DataFrame, observed: DataFrame, relevance: float = 0.9, sure: float = 0.95) -> DataFrame:
+    """(video_id, confidence, stop): the highest mu, and whether to stop: the last observation was relevant and that
+    is high. Without observations: no."""
+    top = belief.groupBy("video_id").agg(F.coalesce(F.max("mu"), F.lit(0.0)).alias("confidence"))
+    last = observed.groupBy("video_id").agg(F.max_by("relevance", "step").alias("last"))
+    stop = F.coalesce((F.col("last") > relevance) & (F.round("confidence", 9) > sure), F.lit(False))
+    return top.join(last, "video_id", "left").select("video_id", "confidence", stop.alias("stop"))
+
+
+def spectral_anchors(frames: DataFrame, k: int = 8, gamma: float = 0.001, queries: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """(video_id, frame_idx): one frame for each of k clusters of a video's frames, all frames of a video of k or fewer.
+
+    Clusters are those of the leading eigenvectors of the affinity max(0, similarity * exp(-gamma * distance^2)), scaled
+    by its degrees. The frame is the one nearest to the video's query (video_id, q), or the cluster's medoid. A frame
+    matrix must fit a task, so this is for sampled frames.
+    """
+    reachable(frames.sparkSession)
+    given = queries if queries is not None else frames.sparkSession.createDataFrame([], "video_id long, q array<double>")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("frame_idx")
+        if not len(left):
+            return pd.DataFrame({"video_id": pd.Series([], dtype="int64"), "frame_idx": pd.Series([], dtype="int32")})
+        ids, x = left["frame_idx"].to_numpy(), np.stack(left["v"].to_numpy())
+        n, out = len(x), list(range(len(x)))
+        if n > k:
+            sim, at = x @ x.T, np.arange(n)
+            a = np.clip(sim * np.exp(-gamma * (at[:, None] - at) ** 2.0), 0, None)
+            root = np.sqrt(np.maximum(a.sum(axis=1), 1e-12))
+            lead = np.linalg.eigh(a / root[:, None] / root)[1][:, -k:] / root[:, None]
+            lead /= np.maximum(np.sqrt((lead * lead).sum(axis=1, keepdims=True)), 1e-12)
+            rng = np.random.default_rng(seed)
+            centres = lead[[int(rng.integers(n))]]
+            while len(centres) < k:  # the farthest point from all centres is the next
+                centres = np.vstack((centres, lead[[((lead[:, None] - centres) ** 2).sum(axis=2).min(axis=1).argmax()]]))
+            for _ in range(100):
+                label = ((lead[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+                new = np.array([lead[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
+                if np.allclose(new, centres):
+                    break
+                centres = new
+            out = []
+            for c in range(k):
+                own = np.flatnonzero(label == c)
+                if len(own):
+                    worth = x[own] @ right["q"].iloc[0] if len(right) else sim[np.ix_(own, own)].sum(axis=1) - sim[own, own]
+                    out.append(int(own[np.round(worth, 9).argmax()]))
+        return pd.DataFrame({"video_id": left["video_id"].iloc[0], "frame_idx": ids[sorted(out)]})
+
+    return frames.select("video_id", "frame_idx", "v").groupBy("video_id").cogroup(given.select("video_id", "q").groupBy("video_id")).applyInPandas(run, "video_id long, frame_idx int")

@@ -80,11 +80,6 @@ def clip_range_scan(spark, d):
     return S.frames(spark, d).where("frame_idx >= 18 AND frame_idx < 22").select("video_id", "frame_idx")
 
 
-@query(f"WITH {FRAMES} SELECT video_id, count(*)::BIGINT AS n_frames, max(frame_idx) AS last_frame FROM frames GROUP BY 1")
-def video_info(spark, d):
-    return S.frames(spark, d).groupBy("video_id").agg(F.count("*").alias("n_frames"), F.max("frame_idx").alias("last_frame"))
-
-
 @query(f"WITH {CUT} SELECT video_id, frame_idx, round(sim, 6) + 0.0 AS sim FROM cuts WHERE sim IS NOT NULL")
 def adjacent_similarity(spark, d):
     return G.adjacent_similarity(S.frames(spark, d)).select("video_id", "frame_idx", r6("sim").alias("sim"))
@@ -271,4 +266,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from reelgraph.plans import answers, evidence, selection, texts  # noqa: E402, F401
+from reelgraph.plans import answers, evidence, scans, selection, texts  # noqa: E402, F401
