@@ -96,6 +96,24 @@ def nms(edges: DataFrame, belief: DataFrame, n: int = 8, factor: float = 0.2) ->
     return _packed(belief, "f", edges.where("w > 0"), "w").groupBy("video_id").applyInPandas(run, "video_id long, rank int, node int")
 
 
+def first_choice(nodes: DataFrame, prior: DataFrame, n: int = 8, factor: float = 0.2, alpha: float = 0.6, tau: float = 30.0, top: int = 8) -> DataFrame:
+    """(video_id, rank, node): affinity(), propagate() and nms() of a video in one step, so its edges are made once and
+    stay in the task. prior: (video_id, node, score)."""
+    reachable(nodes.sparkSession)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"video_id": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"), "node": pd.Series([], dtype="int32")})
+        if not len(left):
+            return none
+        left = left.sort_values("node").merge(right[["node", "score"]], on="node", how="left")
+        y = left["score"].fillna(0.0).to_numpy()
+        i, j, _, w_norm = K.edges(np.stack(left["v"].to_numpy()), ((left["s"] + left["e"]) / 2).to_numpy(), alpha, tau, top)
+        out = K.spaced(K.spread(i, j, w_norm, y, y), i, j, n, factor)
+        return pd.DataFrame({"video_id": left["video_id"].iloc[0], "rank": range(1, len(out) + 1), "node": left["node"].to_numpy()[out]}) if out else none
+
+    return nodes.select("video_id", "node", "s", "e", "v").groupBy("video_id").cogroup(prior.select("video_id", "node", "score").groupBy("video_id")).applyInPandas(run, "video_id long, rank int, node int")
+
+
 def evidence_frames(frames: DataFrame, keywords: DataFrame, threshold: float = 0.82, least: int = 10, n: int = 8, factor: float = 0.2, per_node: int = 4) -> DataFrame:
     """(video_id, frame_idx): the frames of the segments most relevant to a video's keywords (video_id, option, kv).
 

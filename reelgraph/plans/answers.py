@@ -6,6 +6,8 @@ segment, text in pictures that of the document whose id is the video's times 100
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from reelgraph.operators import selection as C
 from reelgraph.plans import HEARD, TOKENS, nodes_of, query, r6
 from reelgraph.plans.selection import ASKS, CAPTIONS, CHOSEN, CURVE, _curve, _visited, asks_of, captions_of, embedded
 from reelgraph.sources import tables as S
+from reelgraph.workers import kept
 
 _SEEDS = "('" + "', '".join("video clip scene frame screen visual show showing image picture footage camera shot view angle person people man woman guy girl someone background foreground left right center top bottom".split()) + "')"
 NODES_HEARD = HEARD + ", heard AS MATERIALIZED (SELECT video_id, node, string_agg(said, ' ' ORDER BY k) AS text FROM (SELECT f.video_id, n.node, f.said, min(f.frame) AS k FROM by_frame f JOIN nodes n ON n.video_id = f.video_id AND f.frame BETWEEN n.s AND n.e GROUP BY ALL) GROUP BY 1, 2)"
@@ -60,22 +63,25 @@ class Search:
     """A video's visits and all that is known of them."""
 
     def __init__(self, spark, d):
-        self.nodes = nodes_of(spark, d)
+        self.nodes = kept(nodes_of(spark, d))
         prior = G.channel_prior(self.nodes, S.keywords(spark, d))
-        e = G.affinity(self.nodes)
-        self.captions = captions_of(spark, d, self.nodes)
-        self.heard = E.heard_in_nodes(E.heard_by_frame(S.transcript(spark, d)), self.nodes)
-        chosen = G.nms(e, G.propagate(e, prior.where("option IS NULL"))).select("video_id", F.col("rank").alias("step"), "node")
+        self.captions = kept(captions_of(spark, d, self.nodes))
+        self.heard = kept(E.heard_in_nodes(E.heard_by_frame(S.transcript(spark, d)), self.nodes))
+        chosen = G.first_choice(self.nodes, prior.where("option IS NULL")).select("video_id", F.col("rank").alias("step"), "node")
         ocr = S.read(spark, d, "documents").select((F.col("doc_id") / 100).cast("long").alias("video_id"), (F.col("doc_id") % 100).cast("int").alias("node"), F.col("text").alias("ocr"))
         key = ["video_id", "node"]
-        self.visits = chosen.join(self.captions, key, "left").join(self.heard.withColumnRenamed("text", "asr"), key, "left").join(ocr, key, "left")
+        self.visits = kept(chosen.join(self.captions, key, "left").join(self.heard.withColumnRenamed("text", "asr"), key, "left").join(ocr, key, "left"))
         self.freq, self.total = E.running_frequencies(self.visits.select("video_id", "step", E.combined(F.col("caption"), F.col("ocr"), F.col("asr")).alias("text")))
         asks = asks_of(spark, d)
         kinds = S.timeline(spark, d).select("video_id", F.col("description").alias("phrase")).distinct()
         self.phrases = asks.select("video_id", F.col("ask").alias("phrase")).unionByName(kinds).distinct()
         self.asks = asks.select("video_id", T.embedding(T.tokens(F.col("ask"))).alias("q"))
         each = F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("text")) for c in E.CHANNELS])
-        self.scored = self.score(self.visits.select("video_id", "step", "node", F.inline(each)))
+        self.texts = self.visits.select("video_id", "step", "node", F.inline(each))
+
+    @functools.cached_property
+    def scored(self):
+        return kept(self.score(self.texts))
 
     def score(self, texts):
         return E.channel_scores(texts, self.phrases, self.asks, self.freq, self.total)
@@ -199,10 +205,9 @@ places AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY kind, k)
 
 @query(f"WITH RECURSIVE {CHOSEN}, {CHANNELS.replace('FROM chosen)', 'FROM chosen WHERE false)')}, {greedy('p')}, {_SURE} SELECT video_id, pos, node FROM places WHERE kind < 2 OR pos <= 16")
 def guaranteed_segments(spark, d):
-    n = nodes_of(spark, d)
+    n = kept(nodes_of(spark, d))
     p = G.channel_prior(n, S.keywords(spark, d))
-    e = G.affinity(n)
-    ranked = G.nms(e, G.propagate(e, p.where("option IS NULL")))
+    ranked = G.first_choice(n, p.where("option IS NULL"))
     anchor = p.where("option IS NULL").groupBy("video_id").agg(F.max_by("node", F.struct(F.round("score", 9), -F.col("node"))).alias("node"))
     return L.guaranteed(C.option_anchors(p.where("option IS NOT NULL")), anchor, ranked, 64)
 

@@ -68,7 +68,7 @@ SELECT n.video_id, n.node, c.frame_idx FROM nodes n JOIN chosen USING (video_id,
 def frames_by_score(spark, d):
     n = nodes_of(spark, d)
     p = G.channel_prior(n, S.keywords(spark, d))
-    return O.frames_by_score(n, _visited(spark, d, n, p), _curve(spark, d), 2)
+    return O.frames_by_score(n, _visited(n, p), _curve(spark, d), 2)
 
 
 ASKED = ("What happens in the first 30 seconds?", "What is shown in the last 2 minutes?", "Which comes before the others?", "How does it end", "Who is it?", "What is seen first and then?")

@@ -91,16 +91,15 @@ taking AS (SELECT DISTINCT video_id, 0::BIGINT AS r, []::INT[] AS used FROM o UN
 anchors AS (SELECT o.video_id, o.option, t.used[o.r] AS node FROM o JOIN taking t ON t.video_id = o.video_id AND t.r = o.r)"""
 
 
-def _visited(spark, d, n, prior):
+def _visited(n, prior):
     """A search that has looked at the segments chosen first."""
-    e = G.affinity(n)
-    return G.nms(e, G.propagate(e, prior.where("option IS NULL"))).select("video_id", "node")
+    return G.first_choice(n, prior.where("option IS NULL")).select("video_id", "node")
 
 
 def _channels(spark, d):
     n = nodes_of(spark, d)
     p = G.channel_prior(n, S.keywords(spark, d))
-    return n, p, _visited(spark, d, n, p)
+    return n, p, _visited(n, p)
 
 
 @query(f"WITH RECURSIVE {CHOSEN}, {CHANNELS}, {greedy('p')} SELECT * FROM anchors")
@@ -164,7 +163,7 @@ def fused_scores(spark, d):
 def _fused(spark, d):
     n, s = _semantic(spark, d)
     p = G.channel_prior(n, S.keywords(spark, d))
-    return C.fuse(p.where("option IS NOT NULL"), s), _visited(spark, d, n, p)
+    return C.fuse(p.where("option IS NOT NULL"), s), _visited(n, p)
 
 
 _FUSED = CHOSEN + ", " + SEMANTIC.removeprefix(PRIOR + ", ") + ", " + FUSED
