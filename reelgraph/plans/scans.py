@@ -12,6 +12,7 @@ from reelgraph.plans.selection import BELIEF, CURVE, _belief, _curve, _seen
 from reelgraph.settings import Settings
 from reelgraph.sources import tables as S
 from reelgraph.sources import video as R
+from reelgraph.streaming import sessions
 
 _VIDEOS = "videos AS (SELECT doc_id AS video_id, n_chars AS total, (20 + doc_id % 11)::DOUBLE AS native FROM documents)"
 
@@ -81,3 +82,11 @@ def solve(spark, d):
     q = S.read(spark, d, "conversations").where("turn = 0").select((F.col("conv_id") % 20).alias("video_id"), F.col("conv_id").alias("question_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\nA. "), F.coalesce("role", F.lit("")), F.lit(" seen\nB. nothing\nC. Other things")).alias("question"))
     found = A.solve(S.frames(spark, d), q, stand_in, given=Settings(threshold=0.0, least_frames=10))
     return found.select("video_id", "question_id", "answer", "fallback", "segments", "frames", F.size("steps").alias("n_steps"))
+
+
+@query("""WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL), c AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, (epoch_us(min(ts)) // 1000)::BIGINT AS start_ms, (epoch_us(max(ts) + INTERVAL 6 HOUR) // 1000)::BIGINT AS end_ms, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM c GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    """An extension: runs of a user's events."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return sessions(S.read(spark, d, "events"), "6 hours").select("user_id", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "n", F.round("total", 4).alias("total"))
