@@ -11,8 +11,18 @@ from pyspark.sql import functions as F
 
 from ._common import on_workers, prefix_hash, span_hash
 
-#: What marks a boilerplate line.
-BOILERPLATE = re.compile(rb"cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|licensed under|javascript|subscribe|sign in|log in|click here|read more|share on", re.I)
+#: Phrases of boilerplate lines in English, French, German and Spanish.
+PHRASES = (
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "javascript", "subscribe", "sign in", "log in", "click here", "read more", "share on",
+    "politique de confidentialité", "mentions légales", "tous droits réservés", "cliquez ici", "en savoir plus", "lire la suite", "se connecter", "s'abonner",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "impressum", "hier klicken", "weiterlesen", "mehr erfahren", "jetzt anmelden",
+    "política de privacidad", "política de cookies", "aviso legal", "todos los derechos reservados", "haga clic", "leer más", "iniciar sesión",
+)
+BOILERPLATE = re.compile("|".join(re.escape(p) for p in PHRASES))
+#: Marks that menus are joined with, and that list items start with.
+JOINTS, BULLET = re.compile(r"\s[|>»·•/]\s|\|"), re.compile(r"\s*(?:[•▪◦‣●*–-]|\d{1,3}[.)])\s")
+SYMBOL = re.compile(r"[#*$%&|<>]")
+NO_LETTER = re.compile(r"[\W\d_]+")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 ENDS = tuple(".!?:;\"'”»)…")
@@ -35,15 +45,30 @@ def repeated_words(words: list[bytes], window: int = 8) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-def line_fails(line: str, words: list[bytes]) -> str | None:
-    """The rule that a line with words fails, or None."""
-    raw = line.encode("utf-8", "surrogatepass")
-    if len(words) <= 40 and BOILERPLATE.search(raw):
+def line_fails(line: str, n: int) -> str | None:
+    """The rule that a line of n words fails, or None.
+
+    Boilerplate: a line of at most 40 words with one of the PHRASES. Navigation: two joints of menus, one or two words
+    without a mark at the end, or up to 6 capitalised words without any mark. List: a bullet and at most 6 words without
+    a mark at the end. Punctuation: a teaser cut off by dots, a symbol for every other word, or less than half letters.
+    """
+    if n <= 40 and BOILERPLATE.search(line.lower()):
         return "boilerplate"
-    if line.count("|") >= 2 or len(words) <= 2 and not line.rstrip().endswith(ENDS):
+    end = line.rstrip()
+    closed = end.endswith(ENDS)
+    if n <= 25 and len(JOINTS.findall(line)) >= 2 or n <= 2 and not closed:
         return "navigation"
-    letters = sum(map(str.isalpha, line))
-    if 2 * letters < sum(map(len, words)) and letters < 0.5 * sum(not c.isspace() for c in line):
+    if n <= 6 and not closed:
+        if BULLET.match(line):
+            return "list"
+        if all(w[:1].isupper() for w in end.split()):
+            return "navigation"
+    if n <= 30 and end.endswith(("...", "…")):
+        return "punctuation"
+    if 2 * len(SYMBOL.findall(line)) > n:
+        return "punctuation"
+    letters = len(NO_LETTER.sub("", line))
+    if 2 * letters < len(line) and 2 * letters < sum(map(len, line.split())):
         return "punctuation"
     return None
 
@@ -61,7 +86,7 @@ def judge(text: str | None, most_lost: int = 70) -> dict:
         if own:
             dup += line in seen
             seen.add(line)
-            if line_fails(line, own):
+            if line_fails(line, len(own)):
                 continue
             left += len(own)
         lines.append(line)
@@ -88,7 +113,8 @@ def clean_lines(docs: DataFrame, most_lost: int = 70) -> DataFrame:
 
     A document is rejected if it has under 20 words, if over 30 % of them stand in repeated 8-word
     windows, or if its failing lines hold over most_lost % of its words. Null text is empty: no words,
-    rejected. Repeated rows stay; other columns are not read.
+    rejected. Repeated rows stay, as do rows without a doc_id; other columns are not read. An empty table gives
+    an empty result.
     """
     on_workers(docs.sparkSession)
 
