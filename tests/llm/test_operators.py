@@ -384,13 +384,32 @@ def test_html_leaves_a_page_that_is_all_template(spark):
     assert {r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"one two"}
 
 
-def test_rules(docs):
-    got = {r.doc_id: r for r in rules.clean_lines(docs).collect()}
-    assert len(got) == 78 and got[70].n_words == 0 and not got[70].kept
+def test_rules(spark, docs, rows):
+    def base(t):  # the contract's figures, by counting
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        twice = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), sum(x in lines[:k] for k, x in enumerate(lines)), len(twice)
+
+    odd = [(None, "a b c d e f g h " * 5), (100, "é日 x\x0by\x85z ### | \n\n é日 \n é日 "), (101, "w " * 300), (100, "w " * 300), (102, "\n".join(["same line of words here"] * 30)), (103, None)]
+    df = spark.createDataFrame([(*r, 1, "k") for r in odd] + [(*r[:2], 2, "j") for r in rows if len(r[1] or "") < 3000], "doc_id long, text string, n_words int, kept string")
+    want = {(r[0], r[1]): base(r[1]) for r in [*odd, *rows] if len(r[1] or "") < 3000}
+    got = rules.clean_lines(df).collect()
+    assert len(got) == df.count()
+    assert by_text((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == by_text((i, *base(t)) for i, t, *_ in [*odd, *[r for r in rows if len(r[1] or "") < 3000]]) and want
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+    assert rules.clean_lines(docs.limit(0)).count() == 0
     text = " ".join(f"word{i}" for i in range(30)) + ".\nok fine here.\nok fine here.\nhome | about | news"
     r = rules.judge(text)
     assert (r["n_words"], r["n_symbols"], r["n_dup_lines"], r["kept"]) == (41, 2, 1, True) and "about" not in r["cleaned"]
-    assert rules.judge(" ".join(["a b c d e f g h"] * 5))["n_repeat_words"] == 40
+    assert not rules.judge(" ".join(f"word{i}" for i in range(20)) + ".\n" + "\n".join(f"Read more about topic {i}" for i in range(30)))["kept"]
+
+
+@pytest.mark.parametrize(("line", "rule"), [("Alle Rechte vorbehalten 2020", "boilerplate"), ("Home > News > Sport", "navigation"), ("Our Team", "navigation"), ("Contact Us Today Please", "navigation"), ("- two apples", "list"), ("and then he said that it was all...", "punctuation"), ("12345 67890 #### !!", "punctuation"), ("a### b*** c$$$ d###", "punctuation"), ("He came home at last.", None), ("the river ran on and nobody saw where it went after that", None), ("«Oui!»", None)])
+def test_line_rules(line, rule):
+    assert rules.line_fails(line, len(line.split())) == rule
 
 
 def test_quality(spark):
