@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,20 +29,32 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-#: Folders made in this session, newest last.
-MADE: list[str] = []
+class _Made(threading.local):
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+#: Folders made by this thread, newest last. They stay until drop_made(), as results are read from them.
+MADE = _Made()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A new folder under spark.checkpoint.dir. Only a local session may do without that: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints/reelgraph"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}" if base.startswith("/") and spark.sparkContext.master.startswith("local") else base
-    MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    if base.startswith("/") and spark.sparkContext.master.startswith("local"):
+        base = f"file://{base}"
+    MADE.paths.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return MADE.paths[-1]
+
+
+def drop_made(spark: SparkSession) -> None:
+    """Delete all folders that operators made in this thread; their results can't be read afterwards."""
+    while MADE.paths:
+        drop_dir(spark, MADE.paths.pop())
 
 
 def release() -> None:
