@@ -8,6 +8,7 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,13 @@ from reelgraph.llm._common import drop_dir, on_workers, shared_dir, stored
 from reelgraph.llm.queries import vocabulary
 
 
-_spent: list[str] = []
+class _Spent(threading.local):
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+#: Working folders of the stage before, in this thread.
+_spent = _Spent()
 
 
 def stage(f):
@@ -26,11 +33,12 @@ def stage(f):
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _spent:
-            drop_dir(spark, _spent.pop())
-        before = len(_common.MADE)
+        while _spent.paths:
+            drop_dir(spark, _spent.paths.pop())
+        before = len(_common.MADE.paths)
         out = f(spark, docs, sf_dir)
-        _spent.extend(_common.MADE[before:])
+        _spent.paths.extend(_common.MADE.paths[before:])
+        del _common.MADE.paths[before:]
         return out
 
     return run_stage
