@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import clip01, dot
 from reelgraph.operators import kernels as K
-from reelgraph.workers import reachable
+from reelgraph.workers import kept, reachable
 
 
 def adjacent_similarity(frames: DataFrame) -> DataFrame:
@@ -166,16 +166,17 @@ def tfidf(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
     texts: (id, tokens), phrases: (phrase, tokens). Frequencies are of all texts; idf = ln((1 + total) / (1 + n)) + 1.
     """
-    each = texts.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("tok")).groupBy("id", "len", "tok").agg(F.count("*").alias("c"))
-    freq = each.groupBy("tok").agg(F.sum("c").alias("n"))
-    total = freq.agg(F.sum("n").alias("total"))
+    counted = lambda t, key: t.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("tok")).groupBy(key, "len", "tok").agg(F.count("*").alias("c"))
+    each, own = kept(counted(texts, "id")), kept(counted(phrases, "phrase"))  # tokenised once, used four times
+    freq = kept(each.groupBy("tok").agg(F.sum("c").alias("n")))
+    total = freq.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
 
     def weighed(t: DataFrame, key: str) -> DataFrame:
-        idf = F.log((1 + F.col("total")) / (1 + F.coalesce("n", F.lit(0)))) + 1
-        return t.join(freq, "tok", "left").crossJoin(F.broadcast(total)).select(key, "tok", (F.col("c") / F.col("len") * idf).alias("w"))  # total: one row
-
-    a = weighed(each, "id")
-    p = weighed(phrases.select("phrase", F.size("tokens").alias("len"), F.explode("tokens").alias("tok")).groupBy("phrase", "len", "tok").agg(F.count("*").alias("c")), "phrase")
-    na, np_ = a.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na")), p.groupBy("phrase").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("np"))
-    both = a.join(p.withColumnRenamed("w", "wp"), "tok").groupBy("id", "phrase").agg(F.sum(F.col("w") * F.col("wp")).alias("d"))
-    return both.join(na, "id").join(np_, "phrase").select("id", "phrase", (F.col("d") / (F.col("na") * F.col("np"))).alias("score"))
+        """Weights of unit vectors."""
+        idf = F.log((1 + F.lit(total)) / (1 + F.coalesce("n", F.lit(0)))) + 1
+        w = t.join(freq, "tok", "left").select(key, "tok", (F.col("c") / F.col("len") * idf).alias("w"))
+        size = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+        return w.join(size, key).select(key, "tok", (F.col("w") / F.col("size")).alias("w"))
+
+    both = weighed(each, "id").join(weighed(own, "phrase").withColumnRenamed("w", "wp"), "tok")
+    return both.groupBy("id", "phrase").agg(F.sum(F.col("w") * F.col("wp")).alias("score"))
