@@ -12,6 +12,7 @@ from reelgraph.operators import selection as C
 from reelgraph.plans import FRAMES, SQL, nodes_of, query
 from reelgraph.plans.selection import CHOSEN, CURVE, _curve, _visited
 from reelgraph.sources import tables as S
+from reelgraph.workers import kept
 
 
 def _even(n: str, count: int) -> str:
@@ -26,8 +27,8 @@ def _window_sql(lo: str, hi: str, count: int) -> str:
 
 
 def _patrol(spark, d):
-    n = nodes_of(spark, d)
-    p = G.channel_prior(n, S.keywords(spark, d))
+    n = kept(nodes_of(spark, d))
+    p = kept(G.channel_prior(n, S.keywords(spark, d)))
     question, channels = p.where("option IS NULL").select("video_id", "node", "score"), p.where("option IS NOT NULL")
     answers = n.select("video_id", "node", (F.pmod(F.col("video_id") * 31 + F.col("node") * 17, F.lit(10)) / 10).alias("relevance"))
     return n, channels, O.patrol(G.affinity(n), question, channels.unionByName(question.withColumn("option", F.lit(O.QUESTION))), answers)
