@@ -10,6 +10,8 @@ their integer product. A first pass finds each anchor's positives, a second one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,9 +100,10 @@ class Block:
         self.rest = [np.sqrt((exact[:, p:] ** 2).sum(axis=1)) for p in parts]
 
     @classmethod
-    def of(cls, t, turn: np.ndarray, parts: list[int]) -> Block:
-        ids, rows, labels = (np.frombuffer(x, "<i8") for x in (t.ids, t.rows, t.labels))
-        return cls(ids, rows, labels, np.frombuffer(t.vectors, "<i4").reshape(len(ids), t.dims), turn, parts)
+    def of(cls, tiles: list, turn: np.ndarray, parts: list[int]) -> Block:
+        ids, rows, labels = (np.concatenate([np.frombuffer(t[k], "<i8") for t in tiles]) for k in ("ids", "rows", "labels"))
+        vectors = np.concatenate([np.frombuffer(t["vectors"], "<i4") for t in tiles])
+        return cls(ids, rows, labels, vectors.reshape(len(ids), tiles[0]["dims"]), turn, parts)
 
 
 def candidates(anchors: Block, who: np.ndarray, tile: Block, cols: slice, floor: np.ndarray, ceiling: np.ndarray, parts: list[int], slack: float):
@@ -184,8 +187,8 @@ def _pass(tiles: DataFrame, anchors: Block, turn: np.ndarray, parts: list[int],
         anchors, turn, lo, hi = sent.value
         best = Best(lo, hi, top)
         for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                tile = Block.of(t, turn, parts)
+            for t in pdf.to_dict("records"):
+                tile = Block.of([t], turn, parts)
                 cut = np.flatnonzero(np.diff(tile.labels, prepend=tile.labels[0] - 1))
                 for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(tile.labels)], strict=True):
                     every = np.flatnonzero((anchors.labels == tile.labels[a]) == same)
@@ -202,6 +205,19 @@ def _pass(tiles: DataFrame, anchors: Block, turn: np.ndarray, parts: list[int],
     return tiles.mapInPandas(released(run), "anchor long, at long, score long, id long, row long")
 
 
+def _rounds(asked: DataFrame, round_: int) -> Iterator[list]:
+    """Packed anchors, one round at a time: tiles of less than twice round_ anchors."""
+    held, size = [], 0
+    for t in asked.toLocalIterator(prefetchPartitions=False):
+        held.append(t)
+        size += len(t["ids"]) // 8
+        if size >= round_:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _merged(found: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("anchor", "at").orderBy(F.desc("score"), "id", "row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -227,12 +243,10 @@ def hard_negatives(embeddings: DataFrame, anchor: Column, label: Column | None =
     turn = rotation(rows, dims)
     parts = sorted({min(dims, max(1, round(dims * p))) for p in (*LEADING, 1)}) if dims else [0]
     tiles = tiled(rows, dims, f"{work}/tiles", tile)
-    asked = rows.where("anchor")
-    asked = tiled(asked.repartition(max(1, -(-asked.count() // round_)), "row"), dims, f"{work}/anchors", round_)
+    asked = tiled(rows.where("anchor"), dims, f"{work}/anchors", round_)
     out = spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    # One packed row at a time, of a round of anchors at most.
-    for k, t in enumerate(asked.toLocalIterator(prefetchPartitions=False)):
-        anchors = Block.of(t, turn, parts)
+    for k, tiles_ in enumerate(_rounds(asked, round_)):
+        anchors = Block.of(tiles_, turn, parts)
         n = len(anchors.ids)
         wide = (np.full((n, 1), -(2**62)), np.full((n, 1), 2**62))
         near = _merged(stored(_pass(tiles, anchors, turn, parts, *wide, positives, True), f"{work}/near-{k}"), positives)
