@@ -18,6 +18,9 @@ class Models(Protocol):
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         """Vectors of unit length in the space of the frames' vectors."""
 
+    def encode_images(self, images: Sequence[bytes]) -> np.ndarray:
+        """A vector for each picture, in the same space, of any length."""
+
     def plan(self, question: str) -> str:
         """JSON: option_keywords, query_keywords, semantic_queries, general_semantic_query, vlm_query."""
 
@@ -57,6 +60,10 @@ class StandIn:
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         return np.stack([hashed(t, self.size) for t in texts]) if len(texts) else np.empty((0, self.size))
 
+    def encode_images(self, images: Sequence[bytes]) -> np.ndarray:
+        """How often each byte occurs, modulo the size."""
+        return np.stack([np.bincount(np.frombuffer(x, np.uint8) % self.size, minlength=self.size) for x in images]).astype(float) if len(images) else np.empty((0, self.size))
+
     def plan(self, question: str) -> str:
         lines = dict(re.findall(r"(?m)^\s*\(?([A-Z])\)?[.):]\s*(.+)$", question))
         head = question.split("\n", 1)[0]

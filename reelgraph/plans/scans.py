@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelgraph.models import StandIn
+from reelgraph.operators import encode as E
 from reelgraph.operators import selection as C
 from reelgraph.operators import solve as A
 from reelgraph.plans import FRAMES, query, r6
 from reelgraph.plans.selection import BELIEF, CURVE, _belief, _curve, _seen
 from reelgraph.settings import Settings
+from reelgraph.sources import frames as M
 from reelgraph.sources import tables as S
 from reelgraph.sources import video as R
 from reelgraph.streaming import sessions
+from reelgraph.workers import shared_folder
 
 _VIDEOS = "videos AS (SELECT doc_id AS video_id, n_chars AS total, (20 + doc_id % 11)::DOUBLE AS native FROM documents)"
 
@@ -90,3 +94,57 @@ def event_sessions(spark, d):
     """An extension: runs of a user's events."""
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     return sessions(S.read(spark, d, "events"), "6 hours").select("user_id", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "n", F.round("total", 4).alias("total"))
+
+
+_CLIPS = "c AS (SELECT conv_id AS video_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS frame, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL), v AS (SELECT video_id, count(*) AS total, (20 + video_id % 11)::DOUBLE AS step FROM c GROUP BY 1)"
+
+
+def _clips(spark, d):
+    """A folder of containers: a video for each conversation, a frame for each turn, the turn's text as its picture."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = S.read(spark, d, "conversations").withColumn("frame_idx", F.row_number().over(w) - 1)
+    size = lambda k: (F.col("conv_id") % k + 1) * 16
+    rows = t.select(F.col("conv_id").alias("video_id"), "frame_idx", F.encode("text", "UTF-8").alias("image"), (F.col("conv_id") % 11 + 20).cast("int").alias("step"), F.lit(600).alias("scale"), size(4).cast("int").alias("width"), size(3).cast("int").alias("height"))
+    path = shared_folder(spark, "clips")
+    M.write_clips(rows, path).write.format("noop").mode("overwrite").save()
+    return path
+
+
+def _video():
+    return F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("long").alias("video_id")
+
+
+@query(f"WITH {_CLIPS} SELECT video_id, total AS frames, round(600 / step, 6) AS fps, round(total * step / 600, 6) AS duration, (16 * (video_id % 4 + 1))::INT AS width, (16 * (video_id % 3 + 1))::INT AS height FROM v")
+def container_heads(spark, d):
+    h = M.read_heads(spark, _clips(spark, d))
+    return h.select(_video(), "frames", F.round("fps", 6).alias("fps"), F.round("duration", 6).alias("duration"), "width", "height")
+
+
+@query(f"WITH {_CLIPS}, p AS (SELECT DISTINCT video_id, least(floor(unnest(range(0, ceil(total / (60 / step))::INT)) * (60 / step))::INT, total - 1)::INT AS frame FROM v) SELECT video_id, frame, (row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1)::INT AS position, round(frame * step / 600, 6) AS ts, octet_length(encode(text))::INT AS n_bytes, md5(text) AS digest FROM p JOIN c USING (video_id, frame) JOIN v USING (video_id)")
+def container_sample(spark, d):
+    """Ten frames a second of each container."""
+    f = M.read_frames(spark, _clips(spark, d), fps=10.0)
+    return f.select(_video(), "frame", "position", F.round("ts", 6).alias("ts"), F.length("image").alias("n_bytes"), F.md5("image").alias("digest"))
+
+
+@query(f"WITH {_CLIPS} SELECT video_id, frame, md5(text) AS digest FROM c WHERE frame >= 2 AND frame < 5")
+def container_range(spark, d):
+    """A range of frames, by filters that the source takes over."""
+    f = M.read_frames(spark, _clips(spark, d)).where("frame >= 2 AND frame < 5")
+    return f.select(_video(), "frame", F.md5("image").alias("digest"))
+
+
+@query("""WITH b AS (SELECT doc_id, ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::INT % 64 AS k FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, k::INT AS k, count(*)::DOUBLE AS n FROM b GROUP BY ALL)
+SELECT doc_id, k, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS x FROM n""")
+def encoded_frames(spark, d):
+    """Vectors of pictures (the bytes of texts), by the stand-in: their parts above 0."""
+    t = S.read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("image"))
+    return E.encode_frames(t, stand_in).select("doc_id", F.posexplode("v").alias("k", "x")).where("x > 0").select("doc_id", "k", F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH {_CLIPS}, p AS (SELECT DISTINCT video_id, least(floor(unnest(range(0, ceil(total / (60 / step))::INT)) * (60 / step))::INT, total - 1)::INT AS frame FROM v), b AS (SELECT video_id, frame, ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::INT % 64 AS k FROM p JOIN c USING (video_id, frame)), n AS (SELECT video_id, frame, k::INT AS k, count(*)::DOUBLE AS n FROM b GROUP BY ALL)
+SELECT video_id, frame, k, round(n / sqrt(sum(n * n) OVER (PARTITION BY video_id, frame)), 6) AS x FROM n""")
+def encoded_videos(spark, d):
+    """From containers to the vectors of sampled frames."""
+    v = E.encode_videos(spark, _clips(spark, d), stand_in, fps=10.0)
+    return v.select(_video(), "frame", F.posexplode("v").alias("k", "x")).where("x > 0").select("video_id", "frame", "k", F.round("x", 6).alias("x"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from pathlib import Path
 
@@ -18,17 +19,70 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: made once however often it is used, and its lineage ends there.
+def bounded(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the batches that go to Python workers by bytes, unless the user did: rows may hold pictures."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") == "64m":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
-    The folder is spark.checkpoint.dir. Only a local session may do without: it gets one of its own.
-    """
-    spark = df.sparkSession
+
+class _Made(threading.local):
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir. Only a local session may do without that setting: it gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints/reelgraph"
-    path = f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    if base.startswith("/") and spark.sparkContext.master.startswith("local"):
+        base = f"file://{base}"
+    _made.paths.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df written to a shared folder and read again: made once however often it is used, and its lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Folders that are made inside the block go at its end, but for those that are handed out by keep().
+
+    with Scratch(spark) as s: ...; return s.keep(result)
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.saved = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.outer, _made.paths = _made.paths, []
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = kept(df, "result")
+        self.saved.append(_made.paths.pop())
+        return out
+
+    def __exit__(self, *error) -> None:
+        for path in _made.paths:
+            drop(self.spark, path)
+        _made.paths = self.outer + self.saved
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Delete all folders made in this thread; what was read from them can't be read afterwards."""
+    while _made.paths:
+        drop(spark, _made.paths.pop())
