@@ -2,88 +2,42 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import clip01, dot, uniform_indices
+from reelgraph.operators import rounds
 from reelgraph.operators.graph import frames_of
+from reelgraph.operators.selection import option_anchors
+from reelgraph.workers import Scratch, kept
 
 #: The option number under which channels hold the scores of the question itself.
 QUESTION = -1
 
 
-def patrol(edges: DataFrame, prior: DataFrame, channels: DataFrame, answers: DataFrame, most: int = 10, weak: float = 0.2, steps: int = 7, alpha: float = 0.6) -> DataFrame:
+def patrol(edges: DataFrame, prior: DataFrame, channels: DataFrame, answers: DataFrame, most: int = 10, weak: float = 0.2) -> DataFrame:
     """(video_id, step, node, option, relevance, belief): which segments are looked at, in order.
 
-    edges: (video_id, i, j, w_norm); prior: (video_id, node, score); channels: (video_id, option, node, score), option
-    QUESTION for the question; answers: (video_id, node, relevance), what a model says of a segment, 0 where it says
+    edges: (video_id, i, j, w_norm); prior: (video_id, node, score), segments from 0 on; channels: (video_id, option, node,
+    score), option QUESTION for the question; answers: (video_id, node, relevance), what a model says of a segment, 0 where it says
     nothing. First the question's best segment, then one for each option; an option whose segment is weak gets its
     next best one at once. What is left of the most steps goes to unseen segments of the highest belief, while above
-    0. After each step the relevance takes the prior's place and beliefs spread again. A group is one video's graph.
+    0. After each step the relevance takes the prior's place and beliefs spread again. All videos take a step at a time.
     """
-    none = F.lit(-1)
-    rows = edges.select("video_id", F.lit("e").alias("kind"), "i", "j", F.col("w_norm").alias("x"))
-    rows = rows.unionByName(prior.select("video_id", F.lit("y").alias("kind"), F.col("node").alias("i"), none.alias("j"), F.col("score").alias("x")))
-    rows = rows.unionByName(channels.select("video_id", F.lit("c").alias("kind"), F.col("node").alias("i"), F.col("option").alias("j"), F.round("score", 9).alias("x")))
-    rows = rows.unionByName(answers.select("video_id", F.lit("a").alias("kind"), F.col("node").alias("i"), none.alias("j"), F.col("relevance").alias("x")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = {k: g for k, g in pdf.groupby("kind")}
-        empty = pdf.iloc[:0]
-        own = of.get("y", empty).sort_values("i")
-        ids, y = own["i"].to_numpy(), own["x"].to_numpy(copy=True)
-        at = {n: k for k, n in enumerate(ids)}
-        e = of.get("e", empty)
-        i, j, w = np.searchsorted(ids, e["i"]), np.searchsorted(ids, e["j"]), e["x"].to_numpy()
-        said = dict(zip(of.get("a", empty)["i"], of.get("a", empty)["x"], strict=True))
-        ranked = {o: list(g.sort_values(["x", "i"], ascending=[False, True])[["i", "x"]].itertuples(index=False, name=None)) for o, g in of.get("c", empty).groupby("j")}
-        seen, out = set(), []
-        spread = lambda f: alpha * np.bincount(i, w * f[j], len(y)) + (1 - alpha) * y
-
-        f = y.copy()
-        for _ in range(steps):
-            f = spread(f)
-
-        def look(node: int, option: int | None) -> float:
-            nonlocal f
-            got = float(said.get(node, 0.0))
-            y[at[node]] = got
-            seen.add(node)
-            for _ in range(steps):
-                f = spread(f)
-            out.append((len(out) + 1, node, option, got, f[at[node]]))
-            return got
-
-        question = ranked.pop(QUESTION, [])
-        queue = [question[0][0]] if question else []
-        taken: dict[int, int] = {}
-        for o in sorted(ranked, key=lambda o: (-ranked[o][0][1], o)):
-            n = next((n for n, _ in ranked[o] if n not in taken), ranked[o][0][0])
-            taken[n] = o
-            if n not in queue:
-                queue.append(n)
-        k = 0
-        while k < len(queue) and len(out) < most:
-            n = queue[k]
-            o = taken.get(n)
-            if look(n, o) < weak and o is not None:
-                spare = next((c for c, x in ranked[o] if x > 0 and c not in seen), None)
-                if spare is not None and spare not in queue:
-                    queue.insert(k + 1, spare)
-                    taken[spare] = o
-            k += 1
-        while len(out) < most:
-            left = np.where([n in seen for n in ids], 0.0, np.round(f, 9))
-            if not len(left) or left.max() <= 0:
-                break
-            look(int(ids[left.argmax()]), None)
-        got = pd.DataFrame(out, columns=["step", "node", "option", "relevance", "belief"])
-        got["option"] = got["option"].astype("Int32")
-        return got.assign(video_id=pdf["video_id"].iloc[0])[["video_id", "step", "node", "option", "relevance", "belief"]]
-
-    return rows.groupBy("video_id").applyInPandas(run, "video_id long, step int, node int, option int, relevance double, belief double")
+    with Scratch(edges.sparkSession) as scratch:
+        nodes = prior.select("video_id", "node", F.col("node").alias("s"), F.col("node").alias("e"))
+        own = channels.where(F.col("option") != QUESTION)
+        best = F.max_by("node", F.struct(F.round("score", 9), -F.col("node"))).alias("node")
+        question = channels.where(F.col("option") == QUESTION).groupBy("video_id").agg(best)
+        anchors = option_anchors(own, in_turn=True)
+        said = answers.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "relevance"))).alias("said"))
+        searches = prior.select("video_id").distinct().withColumn("most", F.lit(most)).join(said, "video_id", "left")
+        state = rounds.started(rounds.graphs(nodes, edges), prior, own, question, anchors, searches)
+        told = lambda rows, _: rows.withColumn("relevance", F.coalesce(F.try_element_at("said", "node"), F.lit(0.0)))
+        looks, ends = rounds.run(state, told, kept, weak)
+        if looks is None:
+            looks = ends.selectExpr("*", "0 AS step", "node AS looked_at", "0 AS option", "0.0D AS relevance", "0.0D AS belief").where("false")
+        return scratch.keep(looks.select("video_id", "step", F.col("looked_at").alias("node"), "option", "relevance", "belief"))
 
 
 def best_of_options(observed: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ def masked(scores: DataFrame, visited: DataFrame | None) -> DataFrame:
     return scores.join(gone, ["video_id", "node"], "left").select("video_id", "option", "node", F.when(F.col("gone"), 0.0).otherwise(F.col("score")).alias("score"))
 
 
-def option_anchors(scores: DataFrame, visited: DataFrame | None = None, masked_first: bool = False) -> DataFrame:
-    """(video_id, option, node): options by their best score, each takes its best node that none has taken
+def option_anchors(scores: DataFrame, visited: DataFrame | None = None, masked_first: bool = False, in_turn: bool = False) -> DataFrame:
+    """(video_id, option, node), with in_turn also turn, when an option took it (from 0): options by their best score, each takes its best node that none has taken
     yet, or its best one where none is left; visited nodes score 0. scores: (video_id, option, node, score).
     masked_first: the order of options counts visited nodes as 0, too."""
     rest = masked(scores, visited)
@@ -38,6 +38,8 @@ def option_anchors(scores: DataFrame, visited: DataFrame | None = None, masked_f
         return F.concat(taken, F.array(F.struct(x["option"].alias("option"), F.coalesce(F.get(free, F.lit(0)), x["nodes"][0]).alias("node"))))
 
     start = F.array().cast("array<struct<option:int,node:int>>")
+    if in_turn:
+        return every.select("video_id", F.posexplode(F.aggregate("o", start, take)).alias("turn", "p")).select("video_id", "p.option", "p.node", "turn")
     return every.select("video_id", F.inline(F.aggregate("o", start, take)))
 
 

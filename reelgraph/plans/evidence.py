@@ -9,8 +9,8 @@ from reelgraph.functions import vectors as V
 from reelgraph.operators import graph as G
 from reelgraph.operators import observe as O
 from reelgraph.operators import selection as C
-from reelgraph.plans import FRAMES, SQL, nodes_of, query
-from reelgraph.plans.selection import CHOSEN, CURVE, _curve, _visited
+from reelgraph.plans import FRAMES, PRIOR, SQL, nodes_of, query
+from reelgraph.plans.selection import CHOSEN, CURVE, _curve, _visited, greedy
 from reelgraph.sources import tables as S
 from reelgraph.workers import kept
 
@@ -34,7 +34,29 @@ def _patrol(spark, d):
     return n, channels, O.patrol(G.affinity(n), question, channels.unionByName(question.withColumn("option", F.lit(O.QUESTION))), answers)
 
 
-@query()
+#: A search as a recursive table: its row looks at a segment (tick 0), then spreads belief seven times (ticks 1 to 7).
+PATROL = PRIOR + ", p AS MATERIALIZED (SELECT video_id, option, node, round(score, 9) AS s FROM prior WHERE option IS NOT NULL), visited AS (SELECT video_id, node FROM p WHERE false), " + greedy("p") + """,
+g AS MATERIALIZED (SELECT video_id, list(near ORDER BY node) AS near FROM (SELECT n.video_id, n.node, coalesce(list({'j': e.j, 'w': e.w_norm} ORDER BY e.j) FILTER (e.j IS NOT NULL), []) AS near FROM nodes n LEFT JOIN edges e ON e.video_id = n.video_id AND e.i = n.node GROUP BY 1, 2) GROUP BY 1),
+y0 AS (SELECT video_id, list(score ORDER BY node) AS y, arg_max(node, (round(score, 9), -node)) AS lead FROM prior WHERE option IS NULL GROUP BY 1),
+channels AS MATERIALIZED (SELECT video_id, map_from_entries(list((option, x))) AS by_option FROM (SELECT video_id, option, list(s ORDER BY node) AS x FROM p GROUP BY 1, 2) GROUP BY 1),
+picks AS (SELECT a.video_id, list({'option': a.option, 'node': a.node} ORDER BY o.r) AS picks FROM anchors a JOIN o ON o.video_id = a.video_id AND o.option = a.option GROUP BY 1),
+q0 AS (SELECT video_id, y, list_prepend(lead, list_transform(picks, lambda x: x.node)) AS q, picks FROM y0 JOIN picks USING (video_id)),
+searching AS (SELECT video_id, 1 AS tick, 0 AS step, y, y AS f, []::INT[] AS seen, list_filter(q, lambda x, i: list_position(q, x) = i) AS queue, 0 AS place, NULL::INT AS node, NULL::INT AS option, NULL::DOUBLE AS relevance,
+  list_transform(range(len(y)), lambda k: list_filter(picks, lambda x: x.node = k)[-1].option) AS of FROM q0
+ UNION ALL SELECT video_id, (tick + 1) % 8, CASE WHEN tick = 0 THEN step + 1 ELSE step END, y, CASE WHEN tick = 0 THEN CASE WHEN list_sum(list_transform(f, lambda x: abs(x))) < 1e-8 THEN y ELSE f END ELSE
+    list_transform(range(len(y)), lambda k: 0.6 * coalesce(list_sum(list_transform(near[k + 1], lambda e: e.w * f[e.j + 1])), 0) + 0.4 * y[k + 1]) END,
+  seen, CASE WHEN fresh THEN list_concat(queue[1:place], [spare], queue[place + 1:len(queue)]) ELSE queue END, place, node, option, relevance, CASE WHEN fresh THEN list_transform(of, lambda v, i: CASE WHEN i - 1 = spare THEN option ELSE v END) ELSE of END
+ FROM (SELECT *, coalesce(tick = 0 AND weak AND spare IS NOT NULL AND NOT list_contains(queue, spare), false) AS fresh FROM (SELECT *, CASE WHEN weak THEN (list_position(left_, list_max(left_)) - 1)::INT END AS spare FROM (SELECT *, CASE WHEN list_max(rest) > 0 THEN rest END AS left_ FROM
+  (SELECT *, CASE WHEN weak THEN list_transform(by_option[option], lambda x, i: CASE WHEN list_contains(seen, i - 1) THEN 0 ELSE x END) END AS rest FROM
+  (SELECT w.video_id, tick, step, near, by_option, queue, of, CASE WHEN tick = 0 THEN list_transform(y, lambda v, i: CASE WHEN i - 1 = n THEN said ELSE v END) ELSE y END AS y, f, CASE WHEN tick = 0 THEN list_append(seen, n) ELSE seen END AS seen,
+    CASE WHEN tick = 0 AND place < len(queue) THEN place + 1 ELSE place END AS place, CASE WHEN tick = 0 THEN n ELSE node END AS node, CASE WHEN tick = 0 THEN of[n + 1] ELSE option END AS option, CASE WHEN tick = 0 THEN said ELSE relevance END AS relevance,
+    coalesce(tick = 0 AND place < len(queue) AND said < 0.2 AND of[n + 1] IS NOT NULL, false) AS weak
+   FROM (SELECT *, ((video_id * 31 + n * 17) % 10) / 10.0::DOUBLE AS said FROM (SELECT *, CASE WHEN step >= 10 THEN NULL WHEN place < len(queue) THEN queue[place + 1] WHEN list_max(free) > 0 THEN list_position(free, list_max(free)) - 1 END::INT AS n FROM
+     (SELECT *, list_transform(f, lambda x, i: CASE WHEN list_contains(seen, i - 1) THEN 0 ELSE round(x, 9) END) AS free FROM searching))) w JOIN g USING (video_id) JOIN channels USING (video_id) WHERE tick > 0 OR n IS NOT NULL)))))),
+patrolled AS MATERIALIZED (SELECT video_id, step, node, option, relevance, f[node + 1] AS belief FROM searching WHERE tick = 0 AND step > 0)"""
+
+
+@query(f"WITH RECURSIVE {PATROL} SELECT video_id, step, node, option, relevance, round(belief, 6) + 0.0 AS belief FROM patrolled")
 def patrol(spark, d):
     """A table of relevances stands in for the model."""
     return _patrol(spark, d)[2].withColumn("belief", F.round("belief", 6) + F.lit(0.0))
