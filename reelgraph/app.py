@@ -7,6 +7,7 @@ python -m reelgraph.app --frames DIR --video_id 3 --question "..." --options "A.
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +31,21 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--max_steps", type=int, default=10)
     p.add_argument("--total_budget", type=int, default=32)
     p.add_argument("--output_dir", default="results")
+    p.add_argument("--models", help="module:factory, a function without arguments that makes the models (see reelgraph.models.Models); a stand-in if not given")
     out = p.parse_args(given)
     if out.questions is None and (out.video_id is None or out.question is None):
         p.error("either --questions, or --video_id and --question")
     return out
 
 
+def factory(name: str | None):
+    """The function that makes models, by module:name. Workers import it by that name, too."""
+    if not name:
+        return StandIn
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def asked(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """(question_id, video_id, question, letter)"""
     if a.questions is None:
@@ -50,7 +60,7 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> D
     spark = spark or SparkSession.builder.getOrCreate()
     questions = asked(spark, a)
     said = spark.read.parquet(a.transcript) if a.transcript else None
-    answers = solve(spark.read.parquet(a.frames), questions, StandIn, said, settings(), a.max_steps, a.total_budget)
+    answers = solve(spark.read.parquet(a.frames), questions, factory(a.models), said, settings(), a.max_steps, a.total_budget)
     video.write_answers(answers, a.output_dir)
     answers = spark.read.schema(answers.schema).json(f"{a.output_dir}/answers")
     accuracy(answers, questions.where("letter <> ''")).show()

@@ -139,6 +139,7 @@ def time_value(text: Column) -> Column:
 def timeline_events(text: Column, duration: Column) -> Column:
     """Structs (start, end, description) of passages [MM:SS-MM:SS] text, any dash, over several lines too. An end
     not after its start is 5 s after it; one beyond duration + 10 is the duration; blank passages are left out."""
+    # Fixed value: how a timed passage is marked.
     shape = r"(?s)\[(\d{1,2}:\d{2})\s*[-–—]\s*(\d{1,2}:\d{2})\]\s*(.+?)(?=\n\[|\n*\z)"
     part = lambda k: F.regexp_extract_all(text, F.lit(shape), k)
 
@@ -285,7 +286,7 @@ def hint(question: Column, words: Column, option: Column, option_words: Column,
 
 def bare_query(text: Column, option: Column) -> Column:
     """A semantic query without its leading "If answer is X," and "The video should show:"."""
-    lead = F.concat(F.lit(r"(?i)^if (?:the (?:correct )?)?answer is "), option, F.lit(r"[, ]\s*"))
+    lead = F.concat(F.lit(r"(?i)^if (?:the (?:correct )?)?answer is \Q"), option, F.lit(r"\E[, ]\s*"))
     now = F.regexp_replace(trimmed(F.coalesce(text, F.lit(""))), lead, F.lit(""))
     cut = F.when(F.contains(now, F.lit(":")), trimmed(F.regexp_replace(now, r"(?s)^[^:]*:", ""))).otherwise(F.lit(""))
     return F.when(F.startswith(F.lower(now), F.lit("the video should show")), cut).otherwise(now)

@@ -66,6 +66,7 @@ def temporal_focus(n: Column, question: Column, count: int, fps: float = 1.0) ->
         return none
     span = lambda word: r"\b" + word + r"\s+(\d+)\s*(seconds?|secs?|minutes?|mins?)\b"
     frames = lambda word: (F.regexp_extract(q, span(word), 1).try_cast("double") * F.when(F.regexp_extract(q, span(word), 2).contains("min"), 60).otherwise(1) * fps).cast("int")
+    # The words below, and the parts of a video that they stand for.
     tenth = (n * 0.1).cast("int")
     quarters = F.array(F.lit(0), *((n * x).cast("int") for x in (0.25, 0.5, 0.75)), (n - 1).cast("int"))
     parts = [
@@ -80,8 +81,8 @@ def temporal_focus(n: Column, question: Column, count: int, fps: float = 1.0) ->
     return F.when(n > 0, thin).otherwise(none)
 
 
-def focused_indices(n: Column, question: Column, temporal: Column, count: int) -> Column:
+def focused_indices(n: Column, question: Column, temporal: Column, count: int, fps: float = 1.0) -> Column:
     """temporal_focus() first, then evenly spread frames, count in all; only the latter for other questions."""
     base = uniform_indices(n, count)
-    both = F.array_sort(F.slice(F.array_distinct(F.concat(temporal_focus(n, question, count), base)), 1, max(1, count)))
+    both = F.array_sort(F.slice(F.array_distinct(F.concat(temporal_focus(n, question, count, fps), base)), 1, max(1, count)))
     return F.when(temporal, both).otherwise(base)

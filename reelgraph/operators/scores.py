@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +63,19 @@ def sparse_scores(texts: DataFrame, phrases: DataFrame, freq: DataFrame, total:
     return both.groupBy(*key).agg(F.max(F.col("d") / (F.col("nw") * F.col("nx"))).alias("sparse"))
 
 
-def dense_scores(texts: DataFrame, asks: DataFrame) -> DataFrame:
+def dense_scores(texts: DataFrame, asks: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(video_id, step, node, source, dense): the best product of the vectors of a text's pieces and its video's queries
-    (video_id, q), in [0, 1]."""
+    (video_id, q), in [0, 1]. vectors: adds u to rows with the column piece; the stand-in's if not given."""
     key = ["video_id", "step", "node", "source"]
     pieces = texts.select(*key, F.explode(T.pieces(F.col("text"))).alias("piece"))
-    u = pieces.select(*key, T.embedding(T.tokens(F.col("piece"))).alias("u"))
+    u = vectors(pieces) if vectors else pieces.select(*key, T.embedding(T.tokens(F.col("piece"))).alias("u"))
     return u.join(asks.select("video_id", "q"), "video_id").groupBy(*key).agg(clip01(F.max(dot(F.col("u"), F.col("q")))).alias("dense"))
 
 
-def channel_scores(texts: DataFrame, phrases: DataFrame, asks: DataFrame, freq: DataFrame, total: DataFrame) -> DataFrame:
+def channel_scores(texts: DataFrame, phrases: DataFrame, asks: DataFrame, freq: DataFrame, total: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(video_id, step, node, source, text, score): the hybrid score of every text, 0 for those of under five letters."""
     key = ["video_id", "step", "node", "source"]
-    s, d = sparse_scores(texts, phrases, freq, total), dense_scores(texts, asks)
+    s, d = sparse_scores(texts, phrases, freq, total), dense_scores(texts, asks, vectors)
     share = F.coalesce(*(F.when(F.col("source") == k, x) for k, x in SPARSE.items()), F.lit(0.5))
     sparse = F.least(F.lit(1.0), F.coalesce("sparse", F.lit(0.0)) * 1.3)
     score = F.when(F.length(T.trimmed(F.coalesce("text", F.lit("")))) < 5, 0.0).otherwise(clip01(share * sparse + (1 - share) * F.coalesce("dense", F.lit(0.0))))

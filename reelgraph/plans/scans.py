@@ -82,8 +82,10 @@ def stand_in():
 
 @query()
 def solve(spark, d):
-    """Every conversation of a video is a question about it; deterministic stand-ins answer."""
-    q = S.read(spark, d, "conversations").where("turn = 0").select((F.col("conv_id") % 20).alias("video_id"), F.col("conv_id").alias("question_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\nA. "), F.coalesce("role", F.lit("")), F.lit(" seen\nB. nothing\nC. Other things")).alias("question"))
+    """Every conversation, all its turns, is a question about a video; deterministic stand-ins answer."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
+    q = S.read(spark, d, "conversations").groupBy("conv_id").agg(said.alias("said"))
+    q = q.select((F.col("conv_id") % 20).alias("video_id"), F.col("conv_id").alias("question_id"), F.concat("said", F.lit("\nA. "), F.element_at(F.split("said", " "), 1), F.lit(" seen\nB. nothing\nC. Other things")).alias("question"))
     found = A.solve(S.frames(spark, d), q, stand_in, given=Settings(threshold=0.0, least_frames=10))
     return found.select("video_id", "question_id", "answer", "fallback", "segments", "frames", F.size("steps").alias("n_steps"))
 

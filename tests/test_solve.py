@@ -4,13 +4,15 @@ import json
 
 import numpy as np
 import pytest
+import sequential as Q
 from pyspark.sql import functions as F
 
 from reelgraph.functions import text as T
 from reelgraph.functions import vectors as V
 from reelgraph.models import StandIn, hashed, words
-from reelgraph.operators import final, graph, kernels, scores, selection
+from reelgraph.operators import final, graph, kernels, selection
 from reelgraph.operators import solve as A
+from reelgraph.operators.solve import planned
 from reelgraph.settings import Settings
 
 SCENES = ["a red car drives along the coast", "two dogs play with a ball", "a man cooks soup in a kitchen", "children sing in a choir", "a storm over the sea", "a train leaves the station"]
@@ -90,48 +92,140 @@ def test_bounds_fold_as_told():
             assert kernels.bounds_of(x, 0.1, least)[0] == told(x, 0.1, least)
 
 
-def test_the_search_takes_the_operators_choices(spark, frames):
-    """First looks and scores of a search are those of the DataFrame operators."""
-    x = np.array([v for _, _, v in frames_of(1)])
-    s = A.Search(1, x, QUESTION, stand_in(), {}, Settings(threshold=0.5))
-    s.patrol()
-    n = graph.segments(frames, 0.5, 10)
-    keys = spark.createDataFrame([(1, o, stand_in().encode([k])[0].tolist()) for i, o in enumerate("ABC") for k in s.plan.words[o]], "video_id long, option string, kv array<double>")
-    prior = graph.channel_prior(n, keys)
-    for r in prior.where("option IS NOT NULL").collect():
-        assert abs(r.score - s.visual[r.option][r.node]) < 1e-9
-    text, phrases = "two dogs play with a ball near the sea", [(1, " ".join(p)) for p in s.scores.phrases]
-    fresh = A.Scores(stand_in(), s.plan)
-    fresh.count.update(words(text))
-    texts = spark.createDataFrame([(1, 1, 0, c, text) for c in scores.CHANNELS], "video_id long, step int, node int, source string, text string")
-    freq, total = scores.running_frequencies(texts.where("source = 'asr'").select("video_id", "step", "text"))
-    asks = spark.createDataFrame([(1, v.tolist()) for v in fresh.asks], "video_id long, q array<double>")
-    got = scores.channel_scores(texts, spark.createDataFrame(phrases, "video_id long, phrase string"), asks, freq, total)
-    for r in got.collect():
-        assert abs(r.score - fresh.of(text, r.source)) < 1e-9 and r.score > 0
+def same(got, video, question, models, heard=None, given=None, steps=10, budget=32, x=None):
+    """A row of solve() against the search in plain Python."""
+    x = np.array([v for _, _, v in frames_of(video)]) if x is None else x
+    want = Q.Search(video, x, question or "", models, heard or {}, given or Settings(threshold=0.5), steps, budget).solve()
+    assert [(s.node, s.option, s.caption) for s in got.steps] == [(s["node"], s["option"], s["caption"]) for s in want["steps"]]
+    for a, b in zip(got.steps, want["steps"], strict=True):
+        assert [a.relevance, a.asr_score, a.ocr_score, a.caption_score] == pytest.approx([b["relevance"], b["asr_score"], b["ocr_score"], b["caption_score"]], abs=1e-9)
+    assert got.belief == pytest.approx(want["belief"], abs=1e-9)
+    assert (got.fallback, got.frames, got.options, got.segments) == (want["fallback"], want["frames"], want["options"], want["segments"])
+    assert [(x.pos, x.line) for x in got.lines] == [(x["pos"], x["line"]) for x in want["lines"]]
+    assert (got.answer, got.raw) == (want["answer"], want["raw"])
+
+
+OTHERS = ["Who cooks?\nA. A man\nB. Two dogs\nC. A choir of children\nD. The storm\nE. The train", "Which is incorrect about the Coast Road?\nA. a red car drives\nB. soup", "How many trains leave?", "", "What said the Narrator Options: ['A. Singing in a choir', 'B. Storm over sea']"]
+
+
+def test_whole_searches_equal_the_sequential_ones(spark, frames):
+    asked = [(v, 100 * v + k, t) for v in (1, 2) for k, t in enumerate([QUESTION, *OTHERS])]
+    said = {17: "the dogs play ball", 18: "the dogs play ball", 40: "soup is ready now"}
+    heard = spark.createDataFrame([(1, k, t) for k, t in said.items()], "video_id long, frame int, said string")
+    q = spark.createDataFrame(asked, "video_id long, question_id long, question string")
+    for given, budget in ((Settings(threshold=0.5), 32), (Settings(threshold=0.5, model_relevance=True, several_routes=False), 12)):
+        got = {r.question_id: r for r in A.solve(frames, q, stand_in, heard, given, budget=budget).collect()}
+        for v, k, t in asked:
+            same(got[k], v, t, stand_in(), said if v == 1 else {}, given, budget=budget)
+
+
+def test_what_an_observer_misses_is_searched_for(spark, frames):
+    """Words for the next look, tagged ones that cost a step, replies that can't be read, and calls that fail."""
+
+    def factory():
+        import json
+
+        from reelgraph.models import StandIn
+
+        class Asking(StandIn):
+            def observe(self, video_id, frames, question, with_relevance):
+                first = frames[0]
+                if first < 15:
+                    return "no json"
+                if first < 30:
+                    raise ValueError("down")
+                more = {30: "train station", 45: "TEXT: sign", 60: "train"}.get(first, None)
+                return json.dumps({"relevance": "0.25", "caption": f"scene {first} with a red car", "ocr": ["SIGN", "ab"], "refinement_plan": {"needs_more_info": bool(more), "missing_visual_keyword": more}})
+
+            def answer(self, video_id, frames, prompt, system):
+                if "video 2" in prompt:
+                    raise RuntimeError("gone")
+                return "Final Answer: B" if "single letter" in system else "unclear"
+
+        return Asking({}, {})
+
+    asked = [(1, 1, QUESTION), (2, 2, "Where is video 2?\nA. here\nB. there"), (1, 3, "Show the Red Car")]
+    q = spark.createDataFrame(asked, "video_id long, question_id long, question string")
+    given = Settings(threshold=0.5, model_relevance=True)
+    got = {r.question_id: r for r in A.solve(frames, q, factory, None, given).collect()}
+    for v, k, t in asked:
+        same(got[k], v, t, factory(), {}, given)
+    assert got[2].answer == "Error" and got[1].answer == "B" and "[RETRY]" in got[1].raw
+
+
+def test_many_requests_go_in_one_call(spark):
+    def factory():
+        class Many:
+            def plan(self, question):
+                if question == "q5":
+                    raise ValueError("five")
+                return question + "!"
+
+            def plan_many(self, requests):
+                if len(requests) > 4 or ("q5",) in requests:
+                    raise ValueError("not these")
+                return [q + "?" for (q,) in requests]
+
+        return Many()
+
+    rows = spark.range(10).selectExpr("concat('q', id) AS q").coalesce(1)
+    got = {r.q: r.r for r in rows.withColumn("r", A.reply(factory, "plan", F.col("q"), most=4)).collect()}
+    assert [got[f"q{k}"].text for k in range(10)] == ["q0?", "q1?", "q2?", "q3?", "q4!", None, "q6!", "q7!", "q8?", "q9?"] and got["q5"].error == "five"
 
 
 def test_weak_evidence_falls_back(spark, frames):
     q = spark.createDataFrame([(1, 1, "Who won the election of 1950?\nA. Nobody\nB. Somebody")], "video_id long, question_id long, question string")
     r = A.solve(frames, q, StandIn, given=Settings(threshold=0.5)).first()
-    assert r.fallback and r.frames == A.even(90, 32) and r.answer in ("A", "B")
+    assert r.fallback and r.frames == Q.even(90, 32) and r.answer in ("A", "B")
+
+
+def test_no_questions_and_no_frames(spark, frames):
+    q = spark.createDataFrame([(9, 1, "Who?")], "video_id long, question_id long, question string")
+    assert A.solve(frames, q.limit(0), StandIn).count() == 0
+    assert [(r.answer, r.frames, r.steps) for r in A.solve(frames, q, StandIn).collect()] == [("Error", [], [])]
+
+
+PLANS = [
+    ('{"option_keywords": {"A": ["Red car"]}, "semantic_queries": {"B": "If the answer is B, the video should show: dogs"}, "query_keywords": ["which", "Eiffel"]}', "Which?\nA. x\nB) y\n(C) some words here"),
+    ("no json", "Where is the tall tower?"),
+    ("[1, 2]", "Where is it"),
+    ('```json\n{"option_keywords": {"A": [], "B.*": ["text: X", "y"]}, "vlm_query": " ask ", "general_semantic_query": "all"}\n```', "Q"),
+    ('{"temporal_plan": {"first": ["x"]}, "query_keywords": []}', "What does Bob do first"),
+    ("{}", "Options: ['A. some thing', 'B. other thing']"),
+]
+
+
+def test_plans(spark):
+    def factory():
+        class Told:
+            def plan(self, question):
+                return replies[int(question.split("#")[1])]
+
+        replies = [p for p, _ in PLANS]
+        return Told()
+
+    rows = spark.createDataFrame([(k, f"{q}\n#{k}") for k, (_, q) in enumerate(PLANS)], "case long, question string")
+    for r in planned(rows, factory, Settings(), 10).collect():
+        want = Q.plan_of(PLANS[r.case][0], r.question)
+        assert {o.option: o.words for o in r.opts} == want.words and {o.option: o.sentence for o in r.opts if o.sentence} == {k: v for k, v in want.sentences.items() if v}
+        assert (r.words, r.general, r.asked) == (want.question_words, want.general, want.asked)
+
+
+def test_letters():
+    assert Q.letters("Q Options: ['A. x', 'C: y']\n(D) z\nE.none") == ["A", "C", "D"]
+    assert [Q.letter_of(t, []) for t in ("I think B is right", "final answer: c", "unclear", "")] == ["B", "C", Q.NONE, Q.NONE] and Q.letter_of("Final Answer: D", ["A"]) == Q.NONE
+    assert Q.timeline("[00:30-00:10] x", 60) == [(30.0, 35.0, "x")] and Q.timeline("[01:00:00-01:02:00] x y", 10)[0][2].startswith("[01:00")
 
 
-def test_plans_and_letters():
-    p = A.plan_of('{"option_keywords": {"A": ["Red car"]}, "semantic_queries": {"B": "If the answer is B, the video should show: dogs"}, "query_keywords": ["which", "Eiffel"]}', "Which?\nA. x\nB) y\n(C) some words here")
-    assert p.words == {"A": ["Red car"], "B": [], "C": ["some", "words", "here"]} and p.sentences["B"] == "dogs" and p.question_words == ["Eiffel"]
-    assert A.plan_of("no json", "Where is the tall tower?").question_words == ["tall", "tower"]
-    assert A.letters("Q Options: ['A. x', 'C: y']\n(D) z\nE.none") == ["A", "C", "D"]
-    assert [A.letter_of(t, []) for t in ("I think B is right", "final answer: c", "unclear", "")] == ["B", "C", A.NONE, A.NONE] and A.letter_of("Final Answer: D", ["A"]) == A.NONE
-    assert A.timeline("[00:30-00:10] x", 60) == [(30.0, 35.0, "x")] and A.timeline("[01:00:00-01:02:00] x y", 10)[0][2].startswith("[01:00")
+def V_times(q, n):
+    """What must be among the frames: both ends of the times that a question names."""
+    return (0, 30) if "30" in q else (n - n // 10, n - 1)
 
 
 def test_expressions_agree_with_the_search(spark):
-    for n in (1, 9, 90, 400):
-        for q in ("What happens in the first 30 seconds?", "last 2 minutes", "Which comes before?", "how does it end"):
-            want = A.spread_frames(n, 12, q, True, 1.0)
-            got = spark.range(1).select(V.focused_indices(F.lit(n), F.lit(q), F.lit(True), 12).alias("f")).first().f
-            assert got == want
+    for q, n in (("What happens in the first 30 seconds?", 400), ("how does it end", 90)):
+        got = spark.range(1).select(V.focused_indices(F.lit(n), F.lit(q), F.lit(True), 12).alias("f")).first().f
+        assert len(got) == 12 and got[0] == 0 and set(V_times(q, n)) <= set(got)
     text = "Two dogs, TEXT: a 7 é ball"
     row = spark.range(1).select(T.tokens(F.lit(text)).alias("t"), T.embedding(T.tokens(F.lit(text))).alias("u")).first()
     assert row.t == words(text) and np.allclose(row.u, hashed(text))
