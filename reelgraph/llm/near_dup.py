@@ -26,13 +26,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, mix, on_workers, prefix_hash, released, shared_dir, span_hash, stored
 
 #: Largest bucket that is compared pair by pair, and how often leaders are elected before that.
 SPLIT, TURNS = 24, 3
+#: Digests of more than this part of all rows are hot.
+HOT = 1000
 #: Ratio of the bounds of neighbouring size classes, and shingles of leaders that a worker remembers.
 STEP, KEPT = 1.03, 1 << 20
 
@@ -76,11 +78,11 @@ def _signatures(words: int, m: int, t: int):
         left, right = multipliers(0, m, t), multipliers(1, m, t)
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for i, v, text in zip(pdf["doc_id"], pdf["version"], pdf["text"], strict=True):
                 h = shingle_set(text, words)
                 a, b = (half_keys(h, left, m, t), half_keys(h, right, m, t)) if len(h) else (None, None)
-                out.append((i, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None, a, b))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "a", "b"])
+                out.append((i, v, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None, a, b))
+            yield pd.DataFrame(out, columns=["doc_id", "version", "n_shingles", "digest", "a", "b"])
 
     return run
 
@@ -163,23 +165,28 @@ def crowded(met: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 16, t: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, n_shingles, component_id, kept, version, stays) of every row.
 
     Documents link if 100 * |common shingles| >= percent * |all shingles|; component_id is the
-    smallest doc_id reachable over links, and one document of each component is kept. Null or
-    wordless texts have the empty set and link with nothing. Rows that repeat a doc_id stay rows.
-    Only doc_id and text are used, so other columns may have any names. A row without a doc_id links with
-    nothing, has no component_id and is kept. An empty table gives an empty result.
+    smallest doc_id reachable over links. kept: the row has that doc_id; stays: it is the one row of its component
+    that does. Null or wordless texts have the empty set and link with nothing. Rows of one doc_id are told apart by their
+    texts (version): each links for itself, and its component has nothing to do with the others'. Only doc_id and text are used,
+    so other columns may have any names. A row without a doc_id links with nothing, has no component_id, and is kept and stays.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     on_workers(spark)
     work = shared_dir(spark, "near-dup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = stored(docs.mapInPandas(_signatures(words, m, t), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"), f"{work}/signatures")
+    docs = docs.withColumn("version", version(F.col("text")))
+    each = docs.mapInPandas(_signatures(words, m, t), "doc_id long, version binary, n_shingles long, digest binary, a array<long>, b array<long>")
+    # The number of a row is made once and written.
+    sig = stored(each.withColumn("row", F.monotonically_increasing_id()), f"{work}/signatures")
 
-    first = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    # A node is a set of shingles, numbered by its first row; doc_ids only come in again at the end.
+    first = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "row")).alias("least"))
     first = stored(first, f"{work}/classes")
-    reps = sig.select(F.col("doc_id").alias("node"), "digest", "a", "b").join(first, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "a", "b")
+    reps = sig.withColumnRenamed("row", "node").join(first.select("node"), "node", "left_semi").select("node", "doc_id", "version", "a", "b")
 
     half = stored(reps.select("node", F.posexplode("a").alias("i", "key")), f"{work}/half")
     shared = half.groupBy("key").agg(F.count_if(F.lit(True)).alias("n")).where("n > 1").select("key")
@@ -189,8 +196,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     active = stored(buckets.join(full, "bucket", "left_semi"), f"{work}/active-0")
 
-    texts = docs.join(active.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = stored(texts.select(F.col("doc_id").alias("node"), "text"), f"{work}/texts")
+    needed = reps.select("node", "doc_id", "version").join(active.select("node").distinct(), "node", "left_semi")
+    texts = docs.join(needed, ["doc_id", "version"]).dropDuplicates(["node"])
+    texts = stored(texts.select("node", "text"), f"{work}/texts")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         wide = pairs.join(texts.withColumnRenamed("text", "node_text"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
@@ -248,6 +256,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     known = confirmed(unmet(rest), "rest")
     label = components(known.where(links).selectExpr("leader AS u", "node AS v"), f"{work}/cc-1")
 
-    of = first.join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    of = stored(first.join(label, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("component")), f"{work}/of")
+    least = of.groupBy("component").agg(F.min("least").alias("least"))
+    of = of.select("digest", "component").join(least, "component").select("digest", "least")
+    # A digest that many rows have meets them by a broadcast; there are less than HOT such digests.
+    sized = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"))
+    hot = sized.where(F.col("n") * HOT > sig.count()).select("digest")
+    hot = stored(of.join(hot, "digest"), f"{work}/hot")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")
+    rows = sig.select("doc_id", "version", "n_shingles", "row", own)
+    out = rows.join(F.broadcast(hot), "digest").unionByName(rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(of, "digest", "left"))
+    kept = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    out = out.withColumn("component_id", F.coalesce("least.doc_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "version", (kept & F.coalesce(F.col("least.row") == F.col("row"), F.lit(True))).alias("stays"))
+
+
+def version(text: Column) -> Column:
+    """What tells the texts of one doc_id apart; null for a null text."""
+    return F.unhex(F.md5(text))

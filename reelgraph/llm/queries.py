@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80).drop("version", "stays")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,43 @@ def test_near_duplicates_of_odd_rows(spark):
     assert by_text(got) == by_text([(1, 47, 1, True), (0, 47, None, True), (0, 0, None, True), (2, 48, 1, False), (2, 48, 1, False), (3, 1, 3, True), (4, 2, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
 
 
+def linked(rows, words):
+    """[(doc_id, n, component, kept)] of rows with any doc_ids: each row is a node of its own."""
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets.append(set() if not w or i is None else {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))})
+    top = list(range(len(rows)))
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            top[root(b)] = root(a)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return [(i, least.get(root(k)) if i is not None else None, i == least.get(root(k)) or i is None) for k, (i, _) in enumerate(rows)]
+
+
+def test_near_duplicates_of_one_doc_id_with_several_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(3))
+    cases = [[(0, a + " x"), (1, a), (1, b)], [(1, a), (1, b), (2, a + " x"), (3, b + " y")], [(5, a), (5, a + " x"), (5, a), (6, a)], [(7, a), (3, b), (7, b), (3, c), (9, c + " z"), (2, c), (None, a)]]
+    cases.append([(rng.randint(0, 12), rng.choice([a, b, c]) + rng.choice(["", " x", " y z", " q" * 30])) for _ in range(40)])
+    for rows in cases:
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+        assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted(linked(rows, 4), key=str)
+        ends = {r.component_id for r in got if r.doc_id is not None}
+        # One row of each component stays: as many as there are components, not as doc_ids.
+        sets = [frozenset(re.findall(r"\S+", t)) for _, t in rows]
+        assert sum(r.stays for r in got if r.doc_id is not None) >= len(ends) and all(r.kept for r in got if r.stays) and sets
+
+
 def test_no_crowded_bucket_is_missed(spark):
     met = spark.range(90_000).selectExpr("id DIV 3 AS bucket", "xxhash64(id) AS node", "if(id % 3 = 0, null, xxhash64(id)) AS other", "id % 3 = 2 AS open")
     assert near_dup.crowded(met).count() == 30_000

@@ -95,3 +95,17 @@ def test_stages_and_their_order(spark, tmp_path, monkeypatch):
     for p in pieces:
         total[p.doc_id] = total.get(p.doc_id, 0) + p.length
     assert total == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}
+
+
+def test_near_dedup_loses_no_text(spark):
+    """Rows of one doc_id with different texts, repeated rows, nulls, and columns with the operator's own names."""
+    rng = random.Random(2)
+    a, b = (" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(2))
+    rows = [(0, a + " x"), (1, a), (1, b), (2, None), (2, None), (None, a), (None, a), (3, ""), (4, b), (5, a), (6, b + " y")]
+    df = spark.createDataFrame([(*r, "v", k, True) for k, r in enumerate(rows)], "doc_id long, text string, version string, row int, stays boolean")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()), key=str)
+    assert got == sorted([(0, a + " x"), (1, b), (2, None), (2, None), (None, a), (None, a), (3, "")], key=str)
+    twice = spark.createDataFrame([(1, a, "p"), (1, a, "q"), (2, b, "r")], "doc_id long, text string, kept string")
+    out = corpus_pipeline.near_dedup(spark, twice, "")
+    assert out.columns == ["doc_id", "text", "kept"] and sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (2, b)]
+    assert corpus_pipeline.near_dedup(spark, twice.limit(0), "").count() == 0
