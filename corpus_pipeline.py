@@ -60,9 +60,22 @@ def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the least doc_id. Five words to a shingle."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near-duplicates stays: that of the least doc_id. Five words to a shingle.
+
+    Rows of one doc_id are told apart by their texts; where they repeat both, one is left. Rows without a doc_id, and
+    empty texts, resemble nothing and stay.
+    """
+    judged = near_dup.near_duplicates(docs)
+    keys = judged.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.max("stays").alias("stays"), F.count_if(~F.col("stays")).alias("more"))
+    keys = stored(keys.where("more > 0"), shared_dir(spark, "near-keys"))
+    of = F.col("doc_id").eqNullSafe(F.col("_id")) & (near_dup.version(F.col("text").cast("string")) == F.col("_version"))
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.join(keys.where("NOT stays").drop("stays", "more"), of, "left_anti")
+    twice = keys.where("stays").drop("stays", "more")
+    if not twice.isEmpty():
+        once = left.join(twice, of, "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(twice, of, "left_anti").unionByName(once)
+    return left.select(*whole)
 
 
 @stage
