@@ -35,6 +35,8 @@ from ._common import as_local, drop_dir, mix, on_workers, prefix_hash, released,
 LENGTH, GRAM = 50, 24
 #: Windows of a range, documents of a block, bytes of text looked at at once, and parts of a group of exact copies.
 RANGE_ROWS, BLOCK_ROWS, STRETCH, SALT = 60_000, 4000, 1 << 19, 16
+#: Rows in which a block sends its keys, and blocks whose rows are split together.
+ROWS_OF_BLOCK, SOME_BLOCKS = 64, 32
 
 
 def sliding(h: np.ndarray, w: int, take) -> np.ndarray:
@@ -162,8 +164,12 @@ def gram_key(h: np.ndarray, ranges: int) -> np.ndarray:
     return (g >> np.uint64(33)) % np.uint64(ranges) << np.uint64(32) | g & np.uint64(0xFFFFFFFF)
 
 
-def _find(blocks: Blocks, ranges: int, length: int, gram: int):
-    """Rows (range, block, keys, several) of each block's anchors; several: whether more than one text has the key."""
+def _find(blocks: Blocks, ranges: int, length: int, gram: int, parts: int = 1):
+    """Rows (range, block, keys, several, part) of each block's anchors; several: whether more than one text has the key.
+
+    A row is for parts ranges that follow each other; part tells, for each key, which of them. So a block has
+    ranges / parts rows at most.
+    """
 
     @released
     def run(batches):
@@ -181,24 +187,49 @@ def _find(blocks: Blocks, ranges: int, length: int, gram: int):
                 new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
                 several = row[new] != row[np.append(new[1:], len(key)) - 1]
                 key = key[new]
-                of = (key >> np.uint64(32)).astype(np.int64)
+                fine = (key >> np.uint64(32)).astype(np.int64)
+                of, within = fine // parts, (fine % parts).astype("<u4")
                 cut = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(of)) if len(of) else np.zeros(1, np.int64)
                 low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
                 for i in range(0, len(cut) - 1, 256):
-                    part = [(int(of[a]), block, low[a:z].tobytes(), several[a:z].tobytes()) for a, z in zip(cut[i : i + 256].tolist(), cut[i + 1 : i + 257].tolist(), strict=False)]
-                    yield pd.DataFrame(part, columns=["range", "block", "keys", "several"])
+                    part = [(int(of[a]), block, low[a:z].tobytes(), several[a:z].tobytes(), within[a:z].tobytes() if parts > 1 else None) for a, z in zip(cut[i : i + 256].tolist(), cut[i + 1 : i + 257].tolist(), strict=False)]
+                    yield pd.DataFrame(part, columns=["range", "block", "keys", "several", "part"])
+
+    return run
+
+
+KEYS = "range int, block long, keys binary, several binary, of binary"
+
+
+def _split(parts: int):
+    """The keys of some blocks for parts ranges, one row (KEYS) for each range, with each key's block (of)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+        keys, several, within = join("keys", "<u4"), join("several", bool), join("part", "<u4")
+        block = np.repeat(pdf["block"].to_numpy(), [len(k) // 4 for k in pdf["keys"]])
+        by = np.argsort(within, kind="stable")
+        keys, several, within, block = keys[by], several[by], within[by], block[by]
+        cut = [*np.flatnonzero(np.diff(within.astype(np.int64), prepend=-1)).tolist(), len(within)]
+        first = int(pdf["range"].iloc[0]) * parts
+        out = [(first + int(within[a]), -1, keys[a:z].tobytes(), several[a:z].tobytes(), block[a:z].astype("<i8").tobytes()) for a, z in zip(cut, cut[1:], strict=False)]
+        return pd.DataFrame(out, columns=["range", "block", "keys", "several", "of"])
 
     return run
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a range: its keys that several texts have."""
-    keys = [np.frombuffer(x, "<u4") for x in pdf["keys"]]
-    value, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    """For each block of a range: its keys that several texts have. Rows are of one block, or of several (of)."""
+    keys = np.frombuffer(b"".join(pdf["keys"]), "<u4")
+    block = np.concatenate([np.full(len(k) // 4, b) if o is None else np.frombuffer(o, "<i8") for k, b, o in zip(pdf["keys"], pdf["block"], pdf["of"], strict=True)])
+    value, back, n = np.unique(keys, return_inverse=True, return_counts=True)
     shared = n > 1
     shared[back[np.frombuffer(b"".join(pdf["several"]), bool)]] = True
-    met = np.split(shared[back], np.cumsum([len(k) for k in keys])[:-1])
-    out = [(b, r, k[m].tobytes(), None) for b, r, k, m in zip(pdf["block"], pdf["range"], keys, met, strict=True) if m.any()]
+    met = np.flatnonzero(shared[back])
+    met = met[np.argsort(block[met], kind="stable")]
+    cut = [*np.flatnonzero(np.diff(block[met], prepend=-1)).tolist(), len(met)]
+    range_ = pdf["range"].iloc[0]
+    out = [(block[met[a]], range_, keys[met[a:z]].tobytes(), None) for a, z in zip(cut, cut[1:], strict=False)]
     return pd.DataFrame(out, columns=["block", "range", "keys", "gone"])
 
 
@@ -422,7 +453,7 @@ def _cut(blocks: Blocks, carry: list[str], schema: T.StructType, length: int, gr
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), rows_of_block: int = ROWS_OF_BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text, carried) per row of docs.
 
     spans: [start, end) of the removed runs of UTF-8 bytes. text: what is kept; characters of which a
@@ -439,7 +470,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     copy = stored(rows, f"{work}/texts", compression="zstd", maxRecordsPerFile=str(BLOCK_ROWS))
     files = copy.inputFiles()
     blocks, count = Blocks(f"{work}/texts", files[0]), len(files)
+    # A range has about two blocks' keys. A block sends rows_of_block rows at most, each for several ranges where there
+    # are more; those are split once the rows of some blocks have come together.
     ranges = max(8, count // 2)
+    parts = -(-ranges // rows_of_block)
+    ranges = -(-ranges // parts) * parts
 
     long = (F.octet_length("text") >= length) & F.col("doc_id").isNotNull()
     same = copy.select("doc_id", F.when(long, F.md5(F.col("text").cast("binary"))).alias("digest"), Blocks.number().alias("block"), F.col("_metadata.row_index").cast("int").alias("row"))
@@ -451,14 +486,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     items = same.select("block").distinct().join(late.groupBy("block").agg(F.collect_list("row").alias("gone")), "block", "left")
     items = stored(items.withColumn("gone", F.coalesce("gone", F.expr("CAST(array() AS array<int>)"))), f"{work}/items")
 
-    keys = items.repartitionByRange(count, "block").mapInPandas(_find(blocks, ranges, length, gram), "range int, block long, keys binary, several binary")
+    keys = items.repartitionByRange(count, "block").mapInPandas(_find(blocks, ranges, length, gram, parts), "range int, block long, keys binary, several binary, part binary")
+    if parts > 1:
+        some = F.pmod(F.xxhash64("block"), F.lit(-(-count // SOME_BLOCKS)))
+        keys = keys.groupBy("range", some.alias("some")).applyInPandas(_split(parts), KEYS)
+    else:
+        keys = keys.select("range", "block", "keys", "several", F.col("part").alias("of"))
     answers = keys.groupBy("range").applyInPandas(_answer, "block long, range int, keys binary, gone array<int>")
     asked = answers.unionByName(items.select("block", F.lit(-1).alias("range"), F.lit(None).cast("binary").alias("keys"), "gone")).repartitionByRange(count, "block")
     windows = stored(asked.groupBy("block").applyInArrow(_typed(_windows(blocks, ranges, length, gram)), WINDOWS), f"{work}/windows", compression="zstd")
 
     each = windows.where("wid >= 0").select("block", "wid", "window", "near", "far", "doc")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), each.count() // RANGE_ROWS + 1)
-    found = stored(each.repartitionByRange(parts, "window", "block").mapInArrow(_compare(length), FOUND), f"{work}/found", compression="zstd")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), each.count() // RANGE_ROWS + 1)
+    found = stored(each.repartitionByRange(tasks, "window", "block").mapInArrow(_compare(length), FOUND), f"{work}/found", compression="zstd")
     edge = found.where("string IS NOT NULL").withColumn("least", F.min("doc").over(Window.partitionBy("string"))).where("doc > least")
     found = found.where("string IS NULL").select("block", "wid", "found").unionByName(edge.select("block", "wid", "found"))
 

@@ -155,6 +155,32 @@ def test_repeats_of_odd_rows(spark):
         assert r.text == raw.decode("utf-8", "ignore")
 
 
+@pytest.mark.parametrize("rows_of_block", [2, 5])
+def test_repeats_of_many_blocks(spark, monkeypatch, rows_of_block):
+    """A block's keys go in a bounded number of rows however many ranges there are, and no repeat is lost by that."""
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice(WORDS) for _ in range(14)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(8)) + rng.choice(lines) + rng.choice(["", " x", " ".join(rng.choice(WORDS) for _ in range(20))])) for i in range(90)]
+    monkeypatch.setattr(suffix, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(suffix, "SOME_BLOCKS", 7)
+    sent = []
+
+    def found(*args, make=suffix._find):
+        sent.append((args, make(*args)))
+        return sent[-1][1]
+
+    monkeypatch.setattr(suffix, "_find", found)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix.remove_repeats(df, rows_of_block=rows_of_block).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.spans, r.kept_sha256) for r in got], key=key) == sorted(repeats(rows), key=key)
+    (blocks, ranges, _, _, parts), run = sent[0]
+    import pandas as pd
+
+    made = pd.concat(run(iter([pd.DataFrame({"block": [b for b in (0, 1, 2)], "gone": [[]] * 3})])))
+    assert ranges >= 22 and parts > 1 and made.groupby("block").size().max() <= rows_of_block
+
+
 def test_multikey_order():
     w = np.random.default_rng(1).integers(0, 3, (500, 4)).astype(np.uint64)
     assert (w[suffix.multikey_order(w)] == np.array(sorted(w.tolist()))).all()
