@@ -4,10 +4,12 @@ Pages of a host come from one program, so their trees align. A page's tree of bl
 first: children of the same shape under one parent are one node, as a list's items are. The distinct
 trees of a host are merged into its wrapper by simple tree matching: nodes that match are one, others
 are put between them; then each tree is aligned with the wrapper in the same way, once however many
-pages have it. What a wrapper node holds on nearly all pages is template; nodes outside the article
-whose text is links are menus; the others are slots. Text is what slots hold inside the main region
-(article or main, else the body), without elements that HTML says are no content (menus, headers,
-footers, asides, forms, scripts) or whose class, id or role says so (adverts, notices, comments).
+pages have it. What a wrapper node holds on nearly all pages is template; nodes outside the main region
+whose text is links are menus; the others are slots. The main region is found by what varies: from the root down, the
+child that holds most of the letters of slots, as long as that is a container and its parent holds no headings or paragraphs of its own
+(see region_of()); an element called article or main only breaks ties. Text is what slots hold in it, without elements that
+HTML says are no content (menus, headers, footers, asides, forms, scripts) or whose class, id or role says so (adverts,
+notices, comments), as their texts vary from page to page, too.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .urls import host_and_path
 #: Different pages that must agree on a text, the share of a node's pages that they must be, and the share of a node's
 #: letters that must be links to make it a menu.
 TEMPLATE, SHARE, LINKS = 3, 0.9, 0.7
+#: Share of its parent's letters that a child must hold to be the way to the main region.
+DOMINANT = 0.6
 #: Parts in which the trees of a host are merged before those are, and in which its pages meet the wrapper; rows are
 #: dealt by them, nothing is left out.
 PARTS, SALT = 64, 16
@@ -40,6 +44,7 @@ CLOSES_P = BLOCK - frozenset("br body html option td th tr tbody thead tfoot leg
 NEVER = frozenset("head script style noscript template iframe textarea title nav header footer aside form button select dialog svg math object".split())
 AWAY = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+FLAT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # A quote counts after an equals sign only, as in browsers; a tag that doesn't end is none.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
@@ -290,45 +295,80 @@ def numbers(tree: Shape, wrapper: Shape) -> list[int]:
     return out
 
 
-def blocks(root: Node) -> list[tuple[int, bool, int, str]]:
-    """(node, in the main region, characters in links, text) of every run of text between block ends."""
-    out: list[tuple[int, bool, int, str]] = []
+def region_of(tree: Shape, letters: dict[int, int], tags: bool = True) -> range:
+    """The numbers of the main region's nodes; letters: of the texts that count, by node.
+
+    From the root down to the child with most letters below it, if those are at least DOMINANT of its parent's. The way
+    ends above a child that is no container (half of its letters are its own), and where the parent has text, headings or
+    paragraphs of its own. tags: an article or main with half of the letters goes before that.
+    """
+    order, kids, todo = [], [], [(tree, -1)]
+    while todo:
+        node, parent = todo.pop()
+        if parent >= 0:
+            kids[parent].append(len(order))
+        kids.append([])
+        todo.extend((k, len(order)) for k in reversed(node.kids))
+        order.append(node)
+    size, total = np.ones(len(order), np.int64), np.array([letters.get(i, 0) for i in range(len(order))], np.int64)
+    own = total.copy()
+    for i in reversed(range(len(order))):
+        for k in kids[i]:
+            size[i] += size[k]
+            total[i] += total[k]
+    at = 0
+    while kids[at] and total[at]:
+        best = max(kids[at], key=lambda k: (total[k], -k))
+        named = [k for k in kids[at] if tags and order[k].tag in ("article", "main") and 2 * total[k] >= total[at]]
+        if named:
+            at = max(named, key=lambda k: (total[k], -k))
+            continue
+        flat = own[at] * 10 > total[at] or any(order[k].tag in FLAT and total[k] for k in kids[at])
+        if flat or total[best] < DOMINANT * total[at] or 2 * own[best] > total[best]:
+            break
+        at = best
+    return range(at, at + int(size[at]))
+
+
+def blocks(root: Node) -> list[tuple[int, int, str]]:
+    """(node, characters in links, text) of every run of text between block ends."""
+    out: list[tuple[int, int, str]] = []
     run: list[str] = []
-    where = [-1, False, 0]
+    where = [-1, 0]
 
     def end() -> None:
         text = " ".join(_html.unescape("".join(run)).split())
         run.clear()
         if text:
-            out.append((where[0], where[1], min(where[2], len(text)), text))
-        where[2] = 0
+            out.append((where[0], min(where[1], len(text)), text))
+        where[1] = 0
 
-    stack = [(root, iter(root.parts), root.number, False, False)]
+    stack = [(root, iter(root.parts), root.number, False)]
     while stack:
-        node, parts, number, main, link = stack[-1]
+        node, parts, number, link = stack[-1]
         for x in parts:
             if isinstance(x, str):
-                where[:2] = [number, main]
+                where[0] = number
                 if link:
-                    where[2] += len(x.strip())
+                    where[1] += len(x.strip())
                 run.append(x)
                 continue
             if x.away or x.tag in RAW:
                 if x.tag in BLOCK or x.tag in NEVER:
-                    where[:2] = [number, main]
+                    where[0] = number
                     end()
                 continue
             block = x.tag in BLOCK
             if block:
-                where[:2] = [number, main]
+                where[0] = number
                 end()
             if x.tag in VOID:
                 continue
-            stack.append((x, iter(x.parts), x.number if block else number, main or x.tag in ("article", "main"), link or x.tag == "a"))
+            stack.append((x, iter(x.parts), x.number if block else number, link or x.tag == "a"))
             break
         else:
             if node.tag in BLOCK:
-                where[:2] = [number, main]
+                where[0] = number
                 end()
             stack.pop()
     end()
@@ -338,7 +378,8 @@ def blocks(root: Node) -> list[tuple[int, bool, int, str]]:
 BLOCKS = "page_id long, url string, host string, blocks array<struct<node: int, main: boolean, links: int, text: string>>, page long, tree string"
 
 
-def read_pages(rows: Iterable) -> list[tuple]:
+def read_pages(rows: Iterable, tags: bool = True) -> list[tuple]:
+    """The texts of pages (main: in the page's own main region), a digest of each, and its folded tree."""
     out = []
     for page, url, host, source in rows:
         if not source or not source.strip():
@@ -346,15 +387,34 @@ def read_pages(rows: Iterable) -> list[tuple]:
             continue
         root = parse(source)
         tree = fold(root)
-        own = [{"node": n, "main": m, "links": k, "text": x} for n, m, k, x in blocks(root)]
+        runs, letters = blocks(root), {}
+        for n, k, x in runs:
+            letters[n] = letters.get(n, 0) + len(x) - k
+        main = region_of(unfold(tree), letters, tags)
+        own = [{"node": n, "main": n in main, "links": k, "text": x} for n, k, x in runs]
         digest = hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         out.append((page, url, host, own, int.from_bytes(digest, "little", signed=True), tree if host else None))
     return out
 
 
-def _parsed(batches):
-    for pdf in batches:
-        yield pd.DataFrame(read_pages(zip(pdf["page_id"], pdf["url"], pdf["host"], pdf["html"], strict=True)), columns=["page_id", "url", "host", "blocks", "page", "tree"])
+def _parsed(tags: bool):
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame(read_pages(zip(pdf["page_id"], pdf["url"], pdf["host"], pdf["html"], strict=True), tags), columns=["page_id", "url", "host", "blocks", "page", "tree"])
+
+    return run
+
+
+def _regions(tags: bool):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for host, wrapper, nodes in zip(pdf["host"], pdf["wrapper"], pdf["nodes"], strict=True):
+                main = region_of(unfold(wrapper), {x["node"]: x["letters"] for x in nodes}, tags)
+                out.append((host, main.start, main.stop))
+            yield pd.DataFrame(out, columns=["host", "first", "stop"])
+
+    return run
 
 
 def _merged(batches):
@@ -377,12 +437,12 @@ def _numbered(batches):
         yield pd.DataFrame({"host": pdf["host"], "key": pdf["key"], "numbers": [numbers(unfold(t), unfold(w)) for t, w in zip(pdf["tree"], pdf["wrapper"], strict=True)]})
 
 
-def extract(pages: DataFrame, template: int = TEMPLATE) -> DataFrame:
+def extract(pages: DataFrame, template: int = TEMPLATE, tags: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages.
 
-    Null or empty html: empty text. A host of less than template different pages has no template: its pages lose only
-    what HTML or a class says is no content. If the template would take all of a page's main region, nothing is
-    taken from it. A page without a host has no wrapper. Repeated rows stay, and count as one page; other columns are
+    Null or empty html: empty text. A host of less than template different pages has no template: there the main region is that
+    of the page's own letters. A page that has no text in its host's main region keeps its own one's; and if the template would
+    take all of it, nothing is taken. A page without a host has no wrapper. tags: whether article and main break ties. Repeated rows stay, and count as one page; other columns are
     not read. An empty table gives an empty result.
     """
     spark = pages.sparkSession
@@ -390,7 +450,7 @@ def extract(pages: DataFrame, template: int = TEMPLATE) -> DataFrame:
     work = shared_dir(spark, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_and_path(F.col("url"))[0], F.lit("")))
-    found = stored(rows.select("page_id", "url", "host", "html").mapInPandas(_parsed, BLOCKS).withColumn("key", F.xxhash64("tree", F.length("tree"))), f"{work}/blocks", compression="zstd")
+    found = stored(rows.select("page_id", "url", "host", "html").mapInPandas(_parsed(tags), BLOCKS).withColumn("key", F.xxhash64("tree", F.length("tree"))), f"{work}/blocks", compression="zstd")
 
     # Sorted, so the wrapper is the same in every run.
     shape = "host string, part int, tree string"
@@ -406,19 +466,28 @@ def extract(pages: DataFrame, template: int = TEMPLATE) -> DataFrame:
     met = found.select("host", "key", "page", "salt", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["main"].alias("main"), b["links"].alias("links"), F.length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h"))).alias("b"))
     met = met.join(salted(aligned), ["host", "key", "salt"]).select("host", "page", F.inline(F.transform("b", lambda b: F.struct(F.get("numbers", b["node"]).alias("node"), b["main"].alias("main"), b["links"].alias("links"), b["n"].alias("n"), b["h"].alias("h")))))
     each = met.where("node >= 0").groupBy("host", "node", "page", "h").agg(F.max("main").alias("main"), F.sum("links").alias("links"), F.sum("n").alias("n"))
-    same = each.groupBy("host", "node", "h").agg(F.count("*").alias("n"))
+    same = stored(each.groupBy("host", "node", "h").agg(F.count("*").alias("n"), F.sum(F.col("n") - F.col("links")).alias("letters")), f"{work}/same")
     per = each.groupBy("host", "node", "page").agg(F.max("main").alias("main"), F.sum("links").alias("links"), F.sum("n").alias("n"))
-    per = stored(per.groupBy("host", "node").agg(F.count("*").alias("pages"), F.max("main").alias("main"), (F.sum("links") >= LINKS * F.sum("n")).alias("menu")).where(f"pages >= {template}"), f"{work}/nodes")
-    constant = same.where(f"n >= {template}").join(per, ["host", "node"]).where(f"n >= {SHARE} * pages").groupBy("host").agg(F.collect_set(F.struct("node", "h")).alias("fixed"))
-    menus = per.where("menu AND NOT main").groupBy("host").agg(F.collect_set("node").alias("menus"))
-    learnt = stored(constant.join(menus, "host", "full"), f"{work}/template")
+    per = stored(per.groupBy("host", "node").agg(F.count("*").alias("pages"), F.max("main").alias("main"), (F.sum("links") >= LINKS * F.sum("n")).alias("menu")), f"{work}/nodes")
+    fixed = F.coalesce((F.col("n") >= template) & (F.col("n") >= SHARE * F.col("pages")), F.lit(False))
+    judged = stored(same.join(per, ["host", "node"]).withColumn("fixed", fixed), f"{work}/judged")
+    constant = judged.where("fixed").groupBy("host").agg(F.collect_set(F.struct("node", "h")).alias("fixed"))
+    menus = per.where(f"pages >= {template} AND menu AND NOT main").groupBy("host").agg(F.collect_set("node").alias("menus"))
+    # The main region of a host, by the letters that its slots have.
+    slots = judged.groupBy("host", "node").agg(F.sum(F.when(~F.col("fixed"), F.col("letters")).otherwise(0)).alias("letters"), F.max("pages").alias("pages"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("node", "letters")).alias("nodes"), F.max("pages").alias("most")).where(f"most >= {template}")
+    regions = wrappers.join(slots, "host").select("host", "wrapper", "nodes").mapInPandas(_regions(tags), "host string, first int, stop int")
+    learnt = stored(constant.join(menus, "host", "full").join(regions, "host", "full"), f"{work}/template")
 
     ruled = stored(aligned.join(learnt, "host"), f"{work}/ruled")
     out = found.join(salted(ruled), ["host", "key", "salt"], "left")
-    region = F.when(F.exists("blocks", lambda b: b["main"]), F.filter("blocks", lambda b: b["main"])).otherwise(F.col("blocks"))
+    node = lambda b: F.get("numbers", b["node"])
     no = F.lit(False)
-    taken = lambda b: F.coalesce(F.array_contains("fixed", F.struct(F.get("numbers", b["node"]).alias("node"), F.xxhash64(b["text"]).alias("h"))), no) | F.coalesce(F.array_contains("menus", F.get("numbers", b["node"])), no)
-    out = out.withColumn("region", region)
+    taken = lambda b: F.coalesce(F.array_contains("fixed", F.struct(node(b).alias("node"), F.xxhash64(b["text"]).alias("h"))), no) | F.coalesce(F.array_contains("menus", node(b)), no)
+    inside = lambda b: F.coalesce((node(b) >= F.col("first")) & (node(b) < F.col("stop")), no)
+    first = lambda *arrays: F.coalesce(*(F.when(F.size(a) > 0, F.col(a)) for a in arrays), F.col("blocks"))
+    out = out.withColumns({"own": F.filter("blocks", lambda b: b["main"]), "common": F.filter("blocks", inside)})
+    out = out.withColumn("region", first("common", "own"))
     out = out.withColumn("slots", F.filter("region", lambda b: ~taken(b)))
-    out = out.withColumn("text", F.array_join(F.transform(F.when(F.size("slots") > 0, F.col("slots")).otherwise(F.col("region")), lambda b: b["text"]), " "))
+    out = out.withColumn("text", F.array_join(F.transform(first("slots", "region"), lambda b: b["text"]), " "))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -417,6 +417,36 @@ def test_html_deep_and_broken(spark):
     assert got == [(1, "in"), (2, "out"), (3, "x"), (4, "a"), (5, "<b> 1 < 2"), (6, "no host"), (7, ""), (7, "")]
 
 
+def test_html_finds_the_region_by_what_varies(spark):
+    """Hosts without article, main or a telling class: the content is what the page was built from, whatever stands beside it."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    layouts = {
+        "a.x": "<body><div>{menu}</div><div class='z1'><div>{side}</div><div class='z2'>{body}</div></div><div>Made by us</div></body>",
+        "b.x": "<body><table><tr><td>{menu}</td></tr></table><section><div>{body}</div></section><div>{side}</div></body>",
+        "c.x": "<body>{body}</body>",
+    }
+    for host, shape in layouts.items():
+        for k in range(9):
+            parts = [("h2", say(3))] + [("p", say(rng.randint(8, 30))) for _ in range(rng.randint(2, 6))]
+            page = len(rows)
+            body = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+            rows.append((page, f"http://{host}/{k}", shape.format(menu="".join(f"<a href='/{i}'>Go {i}</a> " for i in range(4)), side=f"note {say(2)}", body=body)))
+            want[page] = " ".join(x for _, x in parts)
+    df = spark.createDataFrame([(*r, "t", "s", 1) for r in rows], PAGES + ", text string, slots string, first int").repartition(3)
+    for tags in (True, False):
+        assert {r.page_id: r.text for r in html.extract(df, tags=tags).collect()} == want
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_regions_by_hand():
+    tree = html.unfold("html 1;body 3;div 0;div 2;h1 0;p 0;article 1;p 0")  # body 1, div 2, div 3 (h1 4, p 5), article 6 (p 7)
+    assert html.region_of(tree, {2: 5, 4: 3, 5: 90, 7: 10}) == range(3, 6)
+    assert html.region_of(tree, {4: 3, 5: 30, 7: 40}) == range(6, 8) and html.region_of(tree, {4: 3, 5: 30, 7: 40}, tags=False) == range(1, 8)
+    assert html.region_of(tree, {}) == range(0, 8) and html.region_of(tree, {1: 50, 5: 90}) == range(1, 8)
+
+
 def test_html_takes_constant_nodes_without_telling_classes(spark):
     page = "<body><div><div>Home</div><div>Shop</div></div><div class='x1'><h2>Site</h2><p>own {}</p>{}</div><div>Made by us</div></body>"
     rows = [(1, "http://a.b/1", None), (2, "http://a.b/2", " "), (3, "http://a.b/3", page.format(3, ""))]
