@@ -1,16 +1,18 @@
 """Best-fit packing of token pieces into sequences by bin completion.
 
 Lengths are at most the sequence's, so how often each occurs says all that packing needs: one table
-of at most 1024 rows, however many documents there are. The search takes the largest remaining
-length, enumerates its undominated fillings (those whose items could not be swapped for larger ones
-that hold them), tries those of least waste first, gives up a branch when its sequences and the
-bound on the rest reach the incumbent's, and starts from best-fit decreasing as the incumbent. With
-many pieces a filling is used as often as the counts allow, so a plan is a short list of patterns.
-Pieces find their sequence by their rank among those of their length.
+of at most 1024 rows, however many documents there are. A plan is a list of patterns and how often each is used. Bin completion takes the
+largest remaining length and its undominated fillings: those of least waste, found exactly over all
+subsets that the counts allow, one for each of several preferences among equals (large pieces, or lengths of which much is left), without those that
+another one dominates. It follows the best one as often as the counts allow, branches to the others, and gives a branch up when its
+sequences and the bound on the rest reach the incumbent's. The incumbent is best-fit decreasing at first.
+Until the plan reaches the bound, parts of it (some sequences with waste, some without) are taken out and completed anew in the
+same way. Pieces find their sequence by their rank among those of their length.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from array import array
 
@@ -23,20 +25,26 @@ from pyspark.sql import functions as F
 from ._common import on_workers, shared_dir, stored
 from .tokens import END_ID, encoded, encoder
 
-#: Nodes of the search, fillings enumerated at each, and pieces up to which fillings are used one by one.
-NODES, FILLINGS, ONE_BY_ONE = 3000, 400, 48
+#: Nodes of a search after its first plan, parts of a plan that are completed anew at most, and the largest number of sequences of a
+#: kind that are taken for a part.
+NODES, ROUNDS, KINDS = 12, 3000, 80
+#: Preferences among fillings of equal waste: pieces of length k, of which n are left, go by n * k ** power; the last one by k.
+POWERS = (1.0, 1.5, 2.0, 3.0, None)
 
 
 def waste_bound(counts: dict[int, int], size: int) -> int:
     """Martello and Toth's bound: large pieces need sequences of their own, others fill what is left."""
-    best = -(-sum(k * n for k, n in counts.items()) // size)
-    for alpha in [k for k in counts if 2 * k <= size][:64] + [0]:
-        one = sum(n for k, n in counts.items() if k > size - alpha)
-        two = {k: n for k, n in counts.items() if size - alpha >= k and 2 * k > size}
-        three = sum(k * n for k, n in counts.items() if 2 * k <= size and k >= alpha)
-        room = sum((size - k) * n for k, n in two.items())
-        best = max(best, one + sum(two.values()) + max(0, -(-(three - room) // size)))
-    return best
+    k = np.array(sorted(counts), np.int64)
+    n = np.array([counts[x] for x in k.tolist()], np.int64)
+    many, tokens = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * k)))
+    half = int(np.searchsorted(k, size // 2, side="right"))
+    alpha = np.concatenate(([0], k[:half]))
+    big = np.searchsorted(k, size - alpha, side="right")
+    two = many[big] - many[half]
+    room = size * two - (tokens[big] - tokens[half])
+    three = tokens[half] - tokens[np.minimum(np.searchsorted(k, alpha), half)]
+    bound = many[-1] - many[big] + two + np.maximum(0, -(-(three - room) // size))
+    return max(int(-(-tokens[-1] // size)), int(bound.max()))
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -83,92 +91,130 @@ def holds(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def fillings(counts: dict[int, int], room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated multisets of at most room, least waste first; at most limit are looked at."""
-    sizes = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
+def filling(order: list[int], counts: dict[int, int], room: int) -> tuple[int, ...]:
+    """Pieces of most tokens within room, later ones in order preferred. Sums that can be made are the bits of a number."""
+    sums, before, use, mask = 1, [], [], (1 << (room + 1)) - 1
+    for k in order:
+        m = min(counts[k], room // k)
+        if m <= 0:
+            continue
+        before.append(sums)
+        use.append(k)
+        part = 1
+        while m:
+            t = min(part, m)
+            sums |= sums << (t * k)
+            m -= t
+            part *= 2
+        sums &= mask
+    left, out = sums.bit_length() - 1, []
+    for k, sums in zip(reversed(use), reversed(before), strict=True):
+        m = min(counts[k], left // k)
+        while not sums >> (left - m * k) & 1:
+            m -= 1
+        out += [k] * m
+        left -= m * k
+    return tuple(sorted(out, reverse=True))
+
+
+def fillings(counts: dict[int, int], room: int, powers: tuple) -> list[tuple[int, ...]]:
+    """Undominated fillings of room of least waste, the one of the first preference first."""
+    sizes = [k for k, n in counts.items() if n and k <= room]
     found: list[tuple[int, ...]] = []
-    stack: list[int] = []
-    steps = 0
-
-    def go(i: int, left: int, used: int) -> bool:
-        nonlocal steps
-        steps += 1
-        if left == 0 or i == len(sizes) or sizes[-1] > left:
-            found.append(tuple(stack))
-            return steps < limit
-        i = max(i, 0)
-        lo, hi = i, len(sizes)  # first size that fits
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if sizes[mid] <= left else (mid + 1, hi)
-        fits = False
-        for j in range(lo, len(sizes)):
-            n = used if j == i else 0
-            if counts[sizes[j]] > n:
-                fits = True
-                stack.append(sizes[j])
-                more = go(j, left - sizes[j], n + 1)
-                stack.pop()
-                if not more:
-                    return False
-        if not fits:
-            found.append(tuple(stack))
-        return steps < limit
-
-    go(0, room, 0)
-    found = sorted(set(found), key=lambda f: (-sum(f), len(f)))
-    if len(found) > limit // 4:
-        found = found[:8]
-    out: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(len(g) <= len(f) and holds(g, f) for g in out):
-            out.append(f)
-    return out or [()]
-
-
-def pack(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, lengths in a sequence) that use up counts (length -> pieces) in few sequences."""
-    counts = {k: n for k, n in sorted(counts.items(), reverse=True) if n}
-    total = sum(counts.values())
-    bound = waste_bound(counts, size)
-    best = best_fit(counts, size)
-    best_n = sum(times for times, _ in best)
-    left, reached = nodes, False  # the first plan is always followed to its end
-    single = total <= ONE_BY_ONE
+    for power in powers:
+        f = filling(sorted(sizes, key=(lambda k: k) if power is None else lambda k: (counts[k] * k**power, k)), counts, room)
+        if f not in found and not any(len(g) < len(f) and holds(g, f) for g in found):
+            found.append(f)
+    return found
+
+
+def complete(counts: dict[int, int], size: int, powers: tuple, best_n: int, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]] | None:
+    """A plan of at most best_n sequences by bin completion, the best that is found; None if there is none.
 
-    def search(now: dict[int, int], used: int, plan: list) -> None:
-        nonlocal best, best_n, left, reached
+    The first plan is followed to its end unless the bound forbids; nodes: how many more are looked at.
+    """
+    bound = waste_bound(counts, size)
+    best, left, first = None, nodes, True
+    stack: list = [(dict(counts), 0, None)]
+    plan: list[tuple[int, tuple[int, ...]]] = []
+    while stack:
+        now, used, step = stack.pop()
+        if now is None:  # this branch is done
+            plan.pop()
+            continue
+        if step:
+            plan.append(step)
+            stack.append((None, 0, None))
         if not now:
-            reached = True
-            if used < best_n:
+            first = False
+            if used < best_n or best is None and used <= best_n:
                 best, best_n = list(plan), used
-            return
-        if best_n <= bound or reached and (left <= 0 or used + waste_bound(now, size) >= best_n):
-            return
-        left -= 1
+            if best_n <= bound:
+                break
+            continue
+        limit = best_n - (best is not None)
+        if used + -(-sum(k * n for k, n in now.items()) // size) > limit or not first and (left <= 0 or used + waste_bound(now, size) > limit):
+            continue
+        left -= not first
         top = max(now)
-        rest = {k: n - (k == top) for k, n in now.items()}
-        for f in fillings(rest, size - top, FILLINGS if single else FILLINGS // 4):
+        now[top] -= 1
+        # Other branches are kept for the last nodes only: a long plan would hold thousands of tables.
+        ways = fillings(now, size - top, powers if len(now) <= 2 * nodes else powers[:1])
+        now[top] += 1
+        for f in reversed(ways):
             need: dict[int, int] = {top: 1}
             for k in f:
                 need[k] = need.get(k, 0) + 1
-            times = 1 if single else min(now[k] // n for k, n in need.items())
+            times = min(now[k] // n for k, n in need.items())
             after = {k: m for k, n in now.items() if (m := n - times * need.get(k, 0))}
-            plan.append((times, (top, *f)))
-            search(after, used + times, plan)
-            plan.pop()
-            if best_n <= bound or reached and left <= 0:
-                return
+            stack.append((after, used + times, (times, (top, *f))))
+    return best
 
-    import sys
 
-    deep = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(deep, 20_000))
-    try:
-        search(counts, 0, [])
-    finally:
-        sys.setrecursionlimit(deep)
-    return best
+def pack(counts: dict[int, int], size: int, rounds: int = ROUNDS, seed: int = 1) -> list[tuple[int, tuple[int, ...]]]:
+    """(times, lengths in a sequence) that use up counts (length -> pieces) in few sequences; the same in every run."""
+    counts = {k: n for k, n in counts.items() if n}
+    if not counts:
+        return []
+    bound = waste_bound(counts, size)
+    plan = best_fit(counts, size)
+    total = lambda p: sum(times for times, _ in p)
+    for k in range(len(POWERS)):
+        if total(plan) > bound:
+            plan = complete(counts, size, POWERS[k:] + POWERS[:k], total(plan) - 1) or plan
+    now: dict[tuple[int, ...], int] = {}
+    for times, f in plan:
+        f = tuple(sorted(f, reverse=True))
+        now[f] = now.get(f, 0) + times
+    n, rng = total(plan), random.Random(seed)
+    waste = lambda p: sum(times * (size - sum(f)) ** 2 for f, times in p)
+    for _ in range(rounds):
+        if n <= bound:
+            break
+        part: dict[tuple[int, ...], int] = {}
+        for kinds in ([f for f in now if sum(f) < size], [f for f in now if sum(f) == size]):
+            for f in rng.sample(kinds, min(len(kinds), rng.randint(0, KINDS))):
+                part[f] = min(now[f], rng.choice((1, 2, 5, 20)))
+        own: dict[int, int] = {}
+        for f, times in part.items():
+            for k in f:
+                own[k] = own.get(k, 0) + times
+        if not own:
+            continue
+        powers = rng.sample(POWERS, len(POWERS))
+        got = complete(own, size, tuple(powers), sum(part.values()))
+        # Of plans of one size, those whose waste stands together leave room for another piece.
+        if got is None or total(got) == sum(part.values()) and waste((f, t) for t, f in got) < waste(part.items()):
+            continue
+        n += total(got) - sum(part.values())
+        for f, times in part.items():
+            now[f] -= times
+            if not now[f]:
+                del now[f]
+        for times, f in got:
+            f = tuple(sorted(f, reverse=True))
+            now[f] = now.get(f, 0) + times
+    return [(times, f) for f, times in now.items()]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = END_ID) -> DataFrame:
@@ -176,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
 
     A document is its ids and the end id; a longer one than size is cut, its first piece taking the
     remainder. Null text: the end id only. Rows without a doc_id are left out; repeated rows are
-    packed each. Other columns are not read.
+    packed each. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     on_workers(spark)
