@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_local, drop_dir, mix, on_workers, prefix_hash, released, shared_dir, span_hash, stored
+from ._common import BASE_INVERSE, as_local, drop_dir, mix, on_workers, powers, prefix_hash, released, shared_dir, stored
 
 LENGTH, GRAM = 50, 24
 #: Windows of a range, documents of a block, bytes of text looked at at once, and parts of a group of exact copies.
@@ -58,11 +58,13 @@ def anchors(buf: np.ndarray, ok: np.ndarray, length: int, gram: int):
     if not len(q):
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    at = np.arange(len(buf) - gram + 1)
-    h = span_hash(prefix_hash(buf), at, at + gram) | np.uint64(1)
+    # Grams are ordered by the upper half of their hash; all of it is only made for anchors.
+    p, n = prefix_hash(buf), len(buf) - gram + 1
+    raw = (p[gram:] - p[:n]) * powers(BASE_INVERSE, n)
+    h = (raw >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     w = length - gram + 1
-    least = np.where(ok, sliding(h, w, np.minimum), np.uint64(0))
-    edge = np.zeros(w - 1, np.uint64)
+    least = np.where(ok, sliding(h, w, np.minimum), np.uint32(0))
+    edge = np.zeros(w - 1, np.uint32)
     mark = sliding(np.concatenate((edge, least, edge)), w, np.maximum) == h
     place = np.flatnonzero(mark)
     a = (np.cumsum(mark) - mark)[q]
@@ -70,7 +72,7 @@ def anchors(buf: np.ndarray, ok: np.ndarray, length: int, gram: int):
         a[wrong] += 1
     new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (q[1:] != q[:-1] + 1))))
     p = place[a[new]]
-    return h[p], p, q[new], q[np.append(new[1:], len(q)) - 1]
+    return mix(raw[p]) | np.uint64(1), p, q[new], q[np.append(new[1:], len(q)) - 1]
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
