@@ -110,23 +110,26 @@ def least_size(c: int) -> int:
 
 
 def _prefixes(percent: int):
-    """Rows (node, token, small, large, role) of each node's prefixes; role 0: it is the smaller."""
+    """Rows (node, of, open, token, small, large, role) of each node's prefixes; role 0: it is the smaller.
+
+    Tokens that can't bring an open node together with one of another component have no rows.
+    """
 
     @released
     def run(batches):
         for pdf in batches:
             out = []
-            for node, n, order in zip(pdf["node"], pdf["n"], pdf["order"], strict=True):
+            for node, of, open_, n, order in zip(pdf["node"], pdf["of"], pdf["open"], pdf["n"], pdf["order"], strict=True):
                 own = size_class(n)
                 for role in (0, 1):
                     c = own
                     while 100 * (least_size(c) if role == 0 else n) * percent <= 10000 * (n if role == 0 else least_size(c + 1) - 1) and c >= 0:
                         need = -(-percent * (n + least_size(c)) // (100 + percent))
                         for x in order[: max(0, n - need + 1)]:
-                            if x["df"] > 1:
-                                out.append((node, x["token"], own if role == 0 else c, c if role == 0 else own, role))
+                            if x["useful"]:
+                                out.append((node, of, open_, x["token"], own if role == 0 else c, c if role == 0 else own, role))
                         c += 1 if role == 0 else -1
-            yield pd.DataFrame(out, columns=["node", "token", "small", "large", "role"])
+            yield pd.DataFrame(out, columns=["node", "of", "open", "token", "small", "large", "role"])
 
     return run
 
@@ -245,11 +248,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     met = stored(met.select("bucket", "node", F.expr("nullif(node, leader)").alias("other"), F.coalesce("of", "node").alias("of"), (F.coalesce("of", "node") != F.coalesce("at", "leader")).alias("open")), f"{work}/met")
     there = stored(met.join(crowded(met), "bucket", "left_semi").groupBy("node").agg(F.max("open").alias("open"), F.first("of").alias("of")), f"{work}/there")
     tokens = stored(texts.join(there, "node", "left_semi").mapInPandas(_tokens(words), "node long, tokens array<long>"), f"{work}/tokens")
-    each = tokens.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
-    order = each.join(df, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    rows = order.mapInPandas(_prefixes(percent), "node long, token long, small int, large int, role int").join(there, "node")
-    rows = stored(rows, f"{work}/prefixes")
+    each = tokens.join(there, "node").select("node", "of", "open", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    useful = F.max("open") & (F.min("of") != F.max("of"))
+    df = each.groupBy("token").agg(F.count("*").alias("df"), useful.alias("useful"))
+    order = each.join(df, "token").groupBy("node", "of", "open", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", "useful"))).alias("order"))
+    rows = stored(order.mapInPandas(_prefixes(percent), "node long, of long, open boolean, token long, small int, large int, role int"), f"{work}/prefixes")
     mine = rows.where("open").selectExpr("node AS leader", "of AS mine", "token", "small", "large", "1 - role AS role")
     rest = mine.join(rows.select("node", "of", "token", "small", "large", "role"), ["token", "small", "large", "role"]).where("of <> mine")
     rest = rest.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
