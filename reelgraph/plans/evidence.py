@@ -116,13 +116,14 @@ def temporal_focus(spark, d):
     return S.read(spark, d, "documents").select("doc_id", F.array_join(f.cast("array<string>"), ",").alias("frames"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: trim(x)) AS w FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+@query("""WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: trim(x)) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
 k AS (SELECT doc_id, x, i, regexp_replace(lower(x), '\\s+', ' ', 'g') AS low FROM u WHERE x <> ''),
 n AS (SELECT * FROM k WHERE low NOT IN (""" + ", ".join(f"'{x}'" for x in T.NO_ENTITY) + r""") AND (starts_with(low, 'text:') OR regexp_matches(x, '\p{Nd}|\p{Lu}') OR (regexp_matches(x, '[\x{4e00}-\x{9fff}]') AND length(x) >= 2)))
 SELECT doc_id, count(DISTINCT low)::BIGINT AS n_entities FROM w LEFT JOIN n USING (doc_id) GROUP BY 1""")
 def entity_counts(spark, d):
-    words = S.read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.transform(F.split("text", " ", -1), lambda x: F.trim(x))).alias("i", "x"))
-    return words.groupBy("doc_id", (F.col("i") / 64).cast("int").alias("part")).agg(F.collect_list("x").alias("w")).select("doc_id", F.explode_outer(F.transform(T.entities(F.col("w")), lambda x: F.regexp_replace(F.lower(x), r"\s+", " "))).alias("low")).groupBy("doc_id").agg(F.countDistinct("low").alias("n_entities"))
+    """Documents without a text have none."""
+    words = S.read(spark, d, "documents").select("doc_id", F.posexplode_outer(F.transform(F.split("text", " ", -1), lambda x: F.trim(x))).alias("i", "x"))
+    return words.groupBy("doc_id", F.coalesce((F.col("i") / 64).cast("int"), F.lit(0)).alias("part")).agg(F.collect_list("x").alias("w")).select("doc_id", F.explode_outer(F.transform(T.entities(F.col("w")), lambda x: F.regexp_replace(F.lower(x), r"\s+", " "))).alias("low")).groupBy("doc_id").agg(F.countDistinct("low").alias("n_entities"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE props END AS found FROM events")
@@ -131,8 +132,10 @@ def json_salvage(spark, d):
     return S.read(spark, d, "events").select("event_id", T.json_found(reply).alias("found"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM l)
-SELECT doc_id, count(*)::BIGINT AS n_events, round(sum(i * (60.0::DOUBLE / n)), 4) + 0.0 AS starts, sum(length(t))::BIGINT AS chars FROM (SELECT *, trim(regexp_replace(trim(x), '^[\d.\-*\s]+', '')) AS t FROM u WHERE length(trim(x)) >= 10) WHERE t <> '' GROUP BY 1""")
+@query(r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM documents), u AS (SELECT doc_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM l)
+SELECT doc_id, count(*) FILTER (t <> '')::BIGINT AS n_events, round(coalesce(sum(i * (60.0::DOUBLE / n)) FILTER (t <> ''), 0), 4) + 0.0 AS starts, coalesce(sum(length(t)), 0)::BIGINT AS chars FROM (SELECT *, CASE WHEN length(trim(x)) >= 10 THEN trim(regexp_replace(trim(x), '^[\d.\-*\s]+', '')) ELSE '' END AS t FROM u) GROUP BY 1""")
 def timeline_lines(spark, d):
-    e = S.read(spark, d, "documents").select("doc_id", F.inline(T.timeline_lines(F.col("text"), F.lit(60.0))))
-    return e.groupBy("doc_id").agg(F.count("*").alias("n_events"), (F.round(F.sum("start"), 4) + F.lit(0.0)).alias("starts"), F.sum(F.length("description")).alias("chars"))
+    """Documents without a line that counts, or without a text, have no events."""
+    e = S.read(spark, d, "documents").select("doc_id", F.inline_outer(T.timeline_lines(F.coalesce("text", F.lit("")), F.lit(60.0))))
+    zero = lambda c, x: F.coalesce(c, F.lit(x))
+    return e.groupBy("doc_id").agg(F.count("description").alias("n_events"), (F.round(zero(F.sum("start"), 0.0), 4) + F.lit(0.0)).alias("starts"), zero(F.sum(F.length("description")), 0).alias("chars"))
