@@ -62,7 +62,17 @@ def patrol(spark, d):
     return _patrol(spark, d)[2].withColumn("belief", F.round("belief", 6) + F.lit(0.0))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PATROL}, seen_best AS (SELECT video_id, option, arg_max(node, (round(relevance, 9), -step)) AS node FROM patrolled WHERE option IS NOT NULL GROUP BY 1, 2),
+offered AS (SELECT video_id, option, node, 0 AS turn, 0.0::DOUBLE AS k FROM seen_best UNION ALL SELECT video_id, option, node, 1, 0 FROM anchors UNION ALL SELECT video_id, option, node, 2, -s FROM p WHERE s > 0),
+once AS (SELECT * FROM offered QUALIFY row_number() OVER (PARTITION BY video_id, option, node ORDER BY turn, k) = 1),
+placed AS (SELECT video_id, option, node, row_number() OVER (PARTITION BY video_id, option ORDER BY turn, k, node) AS r FROM once QUALIFY r <= 2),
+shown AS (SELECT a.video_id, option, r, unnest(CASE WHEN e - s + 1 <= 4 THEN range(s, e + 1)::INT[] ELSE [floor(s + i * (e - s + 1) / 4)::INT FOR i IN range(0, 4)] END) AS frame_idx FROM placed a JOIN nodes n ON n.video_id = a.video_id AND n.node = a.node),
+own AS (SELECT *, row_number() OVER (PARTITION BY video_id, option ORDER BY r, frame_idx) AS k FROM shown QUALIFY k <= 8),
+packed AS (SELECT video_id, option, row_number() OVER (PARTITION BY video_id ORDER BY option, k)::INT AS pos, frame_idx FROM own),
+total AS (SELECT n.video_id, max(e) + 1 AS frames FROM nodes n GROUP BY 1),
+have AS (SELECT t.video_id, frames, count(q.pos) AS n, list(DISTINCT q.frame_idx) FILTER (q.frame_idx IS NOT NULL) AS used, greatest(32 - count(q.pos), 1) AS c FROM total t LEFT JOIN packed q ON q.video_id = t.video_id GROUP BY 1, 2),
+spare AS (SELECT video_id, n, list_filter(CASE WHEN frames <= c THEN range(frames)::INT[] ELSE list_sort(list_distinct([floor(k * (frames - 1) / greatest(1, c - 1))::INT FOR k IN range(0, c)])) END, lambda f: NOT list_contains(coalesce(used, []), f)) AS f FROM have WHERE n < 32)
+SELECT * FROM packed WHERE pos <= 32 UNION ALL SELECT video_id, NULL, (n + i)::INT, f[i] FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM spare) WHERE n + i <= 32""")
 def option_pack(spark, d):
     n, channels, seen = _patrol(spark, d)
     return O.option_pack(n, O.best_of_options(seen), C.option_anchors(channels), channels, 4)
