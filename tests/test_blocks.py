@@ -2,8 +2,12 @@
 
 import math
 import random
+import time
 
-from reelgraph.operators import selection
+from pyspark.sql import functions as F
+
+from reelgraph.functions import text as T
+from reelgraph.operators import scores, selection
 
 
 def test_belief_history_over_many_blocks(spark):
@@ -21,3 +25,24 @@ def test_belief_history_over_many_blocks(spark):
     got = {(r.video_id, r.step, r.frame_idx): (r.mu, r.sigma) for r in selection.belief_history(b, spark.createDataFrame(seen, "video_id long, step int, t int, relevance double")).collect()}
     assert got.keys() == want.keys()
     assert all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def quick(rows, seconds=8.0):
+    """Collected within so many seconds; what is made anew for every element takes minutes."""
+    at = time.monotonic()
+    got = rows.collect()
+    assert time.monotonic() - at < seconds
+    return got
+
+
+def test_pieces_of_a_long_text(spark):
+    t = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: i.cast("string")), " ").alias("t"))
+    t.count()
+    (r,) = quick(t.select(T.pieces(F.col("t")).alias("p")).select(F.size("p").alias("n"), F.element_at("p", -1).alias("last")))
+    assert r.n == 4000 and r.last.split() == [str(i) for i in range(199_951, 200_001)]
+
+
+def test_start_of_a_text_as_evidence(spark):
+    rows = [(1, 1, "asr", 0.5, "a" * 300), (1, 2, "asr", 0.5, " \n x  y "), (1, 3, "asr", 0.5, "  "), (1, 4, "asr", 0.5, ""), (1, 5, "asr", 0.5, None), (1, 6, "asr", 0.5, "\n")]
+    got = {r.step: (r.text, r.says) for r in scores.best_channel(spark.createDataFrame(rows, "video_id long, step int, source string, score double, text string")).collect()}
+    assert got == {1: ("a" * 180 + "...", True), 2: ("x y", True), 3: ("", False), 4: (None, False), 5: (None, False), 6: ("", True)}
