@@ -46,3 +46,17 @@ def test_start_of_a_text_as_evidence(spark):
     rows = [(1, 1, "asr", 0.5, "a" * 300), (1, 2, "asr", 0.5, " \n x  y "), (1, 3, "asr", 0.5, "  "), (1, 4, "asr", 0.5, ""), (1, 5, "asr", 0.5, None), (1, 6, "asr", 0.5, "\n")]
     got = {r.step: (r.text, r.says) for r in scores.best_channel(spark.createDataFrame(rows, "video_id long, step int, source string, score double, text string")).collect()}
     assert got == {1: ("a" * 180 + "...", True), 2: ("x y", True), 3: ("", False), 4: (None, False), 5: (None, False), 6: ("", True)}
+
+
+def test_timeline_of_many_lines(spark):
+    t = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("- line number "), i.cast("string"))), "\n").alias("t"))
+    t.count()
+    (r,) = quick(t.select(T.timeline_lines(F.col("t"), F.lit(60.0)).alias("e")).select(F.size("e").alias("n"), F.element_at("e", -1).alias("last")))
+    assert r.n == 20_000 and r.last.description == "line number 20000" and abs(r.last.end - 60) < 1e-9
+
+
+def test_entities_of_many_words(spark):
+    t = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("Name"), (i % 1500).cast("string"))).alias("k"))
+    t.count()
+    (r,) = quick(t.select(T.entities(F.col("k")).alias("e")).select(F.size("e").alias("n"), F.get("e", F.lit(0)).alias("first")))
+    assert (r.n, r.first) == (1500, "Name1")
