@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from reelgraph.functions import text as T
-from reelgraph.operators import scores, selection
+from reelgraph.operators import graph, scores, selection
 
 
 def test_belief_history_over_many_blocks(spark):
@@ -60,3 +60,23 @@ def test_entities_of_many_words(spark):
     t.count()
     (r,) = quick(t.select(T.entities(F.col("k")).alias("e")).select(F.size("e").alias("n"), F.get("e", F.lit(0)).alias("first")))
     assert (r.n, r.first) == (1500, "Name1")
+
+
+def test_tfidf_moves_texts_once(spark):
+    """Words that repeat everywhere, texts without words, and phrases with words that no text has."""
+    texts = [(1, ["a1", "b1", "a1"]), (2, ["b1", "c1"]), (3, []), (4, None), (5, ["d1"])]
+    phrases = [(10, ["a1", "x1"]), (11, ["b1", "c1"]), (12, [])]
+    t = spark.createDataFrame(texts, "id long, tokens array<string>")
+    got = graph.tfidf(t, spark.createDataFrame(phrases, "phrase long, tokens array<string>"))
+    idf = {k: math.log(7 / (1 + n)) + 1 for k, n in {"a1": 2, "b1": 2, "c1": 1, "d1": 1, "x1": 0}.items()}
+    vector = lambda ws: {w: ws.count(w) / len(ws) * idf[w] for w in ws or []}
+    want = {}
+    for i, a in texts:
+        for p, b in phrases:
+            u, v = vector(a), vector(b)
+            if u.keys() & v.keys():
+                want[i, p] = sum(u[w] * v[w] for w in u.keys() & v.keys()) / math.hypot(*u.values()) / math.hypot(*v.values())
+    rows = {(r.id, r.phrase): r.score for r in got.collect()}
+    assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-12 for k in want)
+    dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert dealt and all("REPARTITION_BY_COL" in x for x in dealt)  # all else meets where the texts lie
