@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from reelgraph.functions import text as T
 from reelgraph.functions import vectors as V
 from reelgraph.models import StandIn, hashed, words
-from reelgraph.operators import final, graph, kernels, selection
+from reelgraph.operators import final, graph, kernels, rounds, selection
 from reelgraph.operators import solve as A
 from reelgraph.operators.solve import planned
 from reelgraph.settings import Settings
+from reelgraph.workers import Scratch
 
 SCENES = ["a red car drives along the coast", "two dogs play with a ball", "a man cooks soup in a kitchen", "children sing in a choir", "a storm over the sea", "a train leaves the station"]
 QUESTION = "What do the dogs do?\nA. They play with a ball\nB. They sing\nC. They cook soup"
@@ -153,6 +154,26 @@ def test_what_an_observer_misses_is_searched_for(spark, frames):
     assert got[2].answer == "Error" and got[1].answer == "B" and "[RETRY]" in got[1].raw
 
 
+def test_states_stay_where_they_are(spark, frames):
+    """Without broadcasts, as on large tables: a round moves what was seen, but no state with its graph, and no search leaves tables."""
+    asked = [(v, 10 * v + k, QUESTION) for v in (1, 2) for k in range(4)]
+    cases = spark.createDataFrame(asked, "video_id long, question_id long, question string").withColumn("case", F.col("question_id"))
+    heard = spark.createDataFrame([(1, 17, "the dogs play ball")], "video_id long, frame int, said string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with Scratch(spark):
+            s = A.Search(frames, cases, stand_in, heard, Settings(threshold=0.5), 10, 32)
+            rows = s.pick(s.start()).where("node IS NOT NULL")
+            after = rounds.looked(s.look(rows, 1))
+            plan = spark._jvm.PythonSQLUtils.explainString(after._jdf.queryExecution(), "formatted")
+            moved = [x.split("\n")[1] for x in plan.split("\n\n") if ") Exchange\n" in x + "\n"]
+            assert "near#" in plan and moved and not any("near#" in x for x in moved)
+            assert after.count() == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [x.name for x in spark.catalog.listTables() if "reelgraph" in x.name]
+
+
 def test_many_requests_go_in_one_call(spark):
     def factory():
         class Many:
