@@ -1,6 +1,8 @@
 """Whole searches on small videos, held against the single operators."""
 
 import json
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from reelgraph.operators import final, graph, kernels, rounds, selection
 from reelgraph.operators import solve as A
 from reelgraph.operators.solve import planned
 from reelgraph.settings import Settings
-from reelgraph.workers import Scratch
+from reelgraph.workers import ROOT, Scratch
 
 SCENES = ["a red car drives along the coast", "two dogs play with a ball", "a man cooks soup in a kitchen", "children sing in a choir", "a storm over the sea", "a train leaves the station"]
 QUESTION = "What do the dogs do?\nA. They play with a ball\nB. They sing\nC. They cook soup"
@@ -174,6 +176,22 @@ def test_states_stay_where_they_are(spark, frames):
     assert not [x.name for x in spark.catalog.listTables() if "reelgraph" in x.name]
 
 
+def test_states_of_a_session_that_can_hold_no_tables():
+    """Where no warehouse can be made, states are kept without a table."""
+    code = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", "file:///dev/null/none").getOrCreate()
+from reelgraph.workers import Scratch, beside, dealt, tables
+with Scratch(spark):
+    held = tables(spark)
+    rows = dealt(spark.range(10).withColumnRenamed("id", "video_id"), "video_id", 2, held)
+    more = spark.range(5).selectExpr("id AS video_id", "id * 2 AS x")
+    print("rows", held, beside(rows, more, "video_id", 2).count(), beside(rows, more, "video_id", 2, "left").count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, timeout=120)
+    assert "rows False 5 10" in done.stdout, done.stderr[-2000:]
+
+
 def test_many_requests_go_in_one_call(spark):
     def factory():
         class Many:
