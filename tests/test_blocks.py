@@ -80,3 +80,27 @@ def test_tfidf_moves_texts_once(spark):
     assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-12 for k in want)
     dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
     assert dealt and all("REPARTITION_BY_COL" in x for x in dealt)  # all else meets where the texts lie
+
+
+def test_tfidf_of_more_words_than_are_sent(spark, monkeypatch):
+    """Frequent words and those of phrases are sent, others weighed apart: the same scores, and no text's words are dealt by word."""
+    rng = random.Random(3)
+    texts = [(i, [f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(30)]) for i in range(40)] + [(40, ["once"]), (41, ["w1", "w1", "twice", "twice"]), (42, [])]
+    texts += [(42, ["w1", "again"]), (42, ["w1", "again", "more"])]
+    phrases = [(1, ["w1", "w2", "none"]), (2, ["w7", "once"]), (3, ["w399", "w398", "w1"])]
+    t, p = spark.createDataFrame(texts, "id long, tokens array<string>"), spark.createDataFrame(phrases, "phrase long, tokens array<string>")
+    want = {(r.id, r.phrase): r.score for r in graph.tfidf(t, p).collect()}
+    assert (40, 2) in want and (41, 1) in want and (42, 1) in want
+    monkeypatch.setattr(graph, "BROADCAST_WORDS", 8)
+    monkeypatch.setattr(graph, "TASK_WORDS", 300)
+    got = graph.tfidf(t, p)
+    dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert dealt and all("hashpartitioning(id#" in x for x in dealt)  # by id, and none by word
+    rows = {(r.id, r.phrase): r.score for r in got.collect()}
+    assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_the_most_frequent_words(spark):
+    freq = spark.createDataFrame([("a", 9), ("b", 8), ("c", 7), ("d", 4), ("e", 1)], "tok string, n long")
+    kept = lambda most: sorted(r.tok for r in freq.where(graph.most_frequent(freq, most)).collect())
+    assert [kept(k) for k in (1, 2, 3, 4, 5)] == [[], ["a", "b"], ["a", "b"], ["a", "b", "c", "d"], ["a", "b", "c", "d", "e"]]
